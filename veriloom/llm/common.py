@@ -1,4 +1,4 @@
-"""What the operators of this subpackage share: tables, the shared scratch folder, tokenising."""
+"""What the operators of this subpackage share: tables, the shared scratch folder, batches."""
 
 from __future__ import annotations
 
@@ -60,90 +60,6 @@ def publish(system, path: str, write) -> None:
     system.move(own, path)
 
 
-class WordTokens:
-    """Ids of whole texts from a file of the tokenizers library, as little-endian 32-bit bytes.
-
-    The library encodes each distinct piece once and its ids are kept; a text is then the pieces' ids joined. Texts are
-    cut only where the library's own pre-tokenizer always cuts, so the ids are those of the whole text:
-
-    * `word`: its vocabulary drops white space, so every space or line feed is a cut.
-    * `byte`: a token takes at most one leading space and none spans from a letter into a space. A text is cut before
-      single spaces and around single line feeds; texts with any other white space go to the library whole.
-
-    `most` bounds the pieces kept (some 200 bytes each); when full they are dropped and gathered anew.
-    """
-
-    def __init__(self, path: str, kind: str, most: int = 500_000):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # a text's "<|...|>" is plain text
-        self.kind, self.most = kind, most
-        self.plain: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.asarray(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, kept: dict[str, bytes], pieces: set[str], lead: str) -> None:
-        if new := list(pieces.difference(kept)):
-            if len(kept) + len(new) > self.most:
-                kept.clear()
-                new = list(pieces)
-            for at in range(0, len(new), 20_000):
-                part = new[at : at + 20_000]
-                kept.update(zip(part, self.whole([lead + x for x in part] if lead else part)))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return self._words(texts) if self.kind == "word" else self._bytes(texts)
-
-    def _words(self, texts: list[str]) -> list[bytes]:
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        self.learn(self.plain, set().union(*cut), "")
-        return [b"".join(map(self.plain.__getitem__, x)) for x in cut]
-
-    def _bytes(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        cut: list[tuple[int, list[list[str]]]] = []
-        odd: list[int] = []
-        first: set[str] = {"\n"}
-        later: set[str] = set()
-        for i, text in enumerate(texts):
-            lines = [line.split(" ") for line in text.split("\n")]
-            if all(all(line) for line in lines) and sum(map(len, lines)) == len(text.split()):
-                cut.append((i, lines))
-                for line in lines:
-                    first.add(line[0])
-                    later.update(line[1:])
-            elif text:
-                odd.append(i)
-        self.learn(self.plain, first, "")
-        self.learn(self.spaced, later, " ")
-        feed = self.plain["\n"]
-        for i, lines in cut:
-            parts: list[bytes] = []
-            for line in lines:
-                parts.append(feed)
-                parts.append(self.plain[line[0]])
-                parts.extend(map(self.spaced.__getitem__, line[1:]))
-            out[i] = b"".join(parts[1:])
-        for i, ids in zip(odd, self.whole([texts[i] for i in odd])):
-            out[i] = ids
-        return out
-
-
-_tokens: dict[tuple[str, str], WordTokens] = {}
-
-
-def word_tokens(path: str, kind: str) -> WordTokens:
-    """This worker's tokens of the file; kept between tasks."""
-    if (path, kind) not in _tokens:
-        _tokens[path, kind] = WordTokens(path, kind)
-    return _tokens[path, kind]
-
-
 def slices(batches: Iterable, most_rows: int = 512, most_chars: int = 8_000_000, text: str = "text") -> Iterator:
     """Record batches cut so that each holds few rows and few bytes of `text` (one row at least)."""
     import pyarrow.compute as pc

@@ -20,7 +20,8 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.common import slices, word_tokens
+from veriloom.llm.common import slices
+from veriloom.llm.tokens import word_tokens
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
@@ -125,8 +126,8 @@ def _pack(tokenizer: str, kind: str, end_id: int, capacity: int, window: int, li
             packer.placed.clear()
 
         waiting, held = [], 0
-        for batch in slices(batches):
-            ids = tokens.encode([t or "" for t in batch.column("text").to_pylist()])
+        for batch in slices(batches, 4096, 6_000_000):
+            ids = tokens.encode(batch.column("text"))
             for doc_id, x in zip(batch.column("doc_id").to_pylist(), ids):
                 waiting.append(Piece(doc_id, 0, x + end, len(x) // 4 + 1))
                 held += len(x) // 4 + 1

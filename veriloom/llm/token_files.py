@@ -17,7 +17,8 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriloom.llm.common import open_folder, publish, slices, word_tokens
+from veriloom.llm.common import open_folder, publish, slices
+from veriloom.llm.tokens import word_tokens
 
 MAGIC = b"VTOK0001"
 _FOOTER = struct.Struct("<QQQQ8s")
@@ -156,8 +157,8 @@ def _write_shards(folder: str, tokenizer: str, kind: str, end_id: int, block_ids
 
         def write(out):
             writer = ShardWriter(out, block_ids, mode)
-            for batch in slices(batches):
-                ids = tokens.encode([t or "" for t in batch.column("text").to_pylist()])
+            for batch in slices(batches, 4096, 6_000_000):
+                ids = tokens.encode(batch.column("text"))
                 for doc_id, x in zip(batch.column("doc_id").to_pylist(), ids):
                     writer.add(doc_id, x + end)
             writer.close()
