@@ -8,11 +8,12 @@
    share a key just as often as chance has it, which misses 1.4 pairs in 100,000 at 0.8 exactly and fewer above.
 3. `edges`: a key's documents are linked as a star, first within a task, then over all: what has a key in common is one
    tree of as many edges as members, however large. A task's window forwards a key once.
-4. Each document's nearest hub (within a signature distance of 50: a pair at 0.8 is beyond it once in 10 million) is
-   confirmed on the full shingle sets; links make components.
-5. Keys whose members lie in different components are done in full: a grid of bounded blocks finds the pairs of different
-   components that are near enough, each in the first key it shares only, and these are confirmed too. No partner is
-   dropped: pairs that stay unconfirmed are those within one component already.
+4. Each document's nearest hub (within a signature distance of 46: a pair at 0.8 is beyond it once in 100,000) is
+   confirmed on the full shingle sets, then its other hubs that lie in other components; links make components.
+5. Keys whose members still lie in different components are done in full. Components with near members in one key are a
+   family; in a grid of bounded blocks, each member outside a family's largest component is confirmed against all members of
+   other components. No partner is dropped: pairs that stay unconfirmed are those within one component already. Tasks hand
+   on what joins components, never all pairs of a group.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from veriloom.llm.common import slices, through_table
 
-SYMBOLS, CHUNKS, FARTHEST = 128, 16, 50
+SYMBOLS, CHUNKS, FARTHEST = 128, 16, 46
 WIDTH = SYMBOLS // CHUNKS
 _WINDOW_KEYS = 1_000_000
 _HUB_ROWS = 64
@@ -274,50 +275,109 @@ def components(links: DataFrame) -> DataFrame:
         edges = new
 
 
-def _cross(left, right):
-    """Pairs of two blocks of one key that are near, of different labels, and share no earlier key."""
+class _Sets:
+    """Union-find over labels."""
+
+    def __init__(self):
+        self.over: dict[int, int] = {}
+
+    def top(self, x: int) -> int:
+        while (up := self.over.get(x, x)) != x:
+            self.over[x] = x = self.over.get(up, up)
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.top(x), self.top(y)
+        self.over[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _label_forest(left, right):
+    """Of two blocks of one key: label pairs (hub, id) that tie together all labels which have near members."""
     import numpy as np
     import pyarrow as pa
 
-    out: list[list] = [[], []]
+    out: list[tuple[int, int]] = []
     if left.num_rows and right.num_rows:
-        key = left.column("key")[0].as_py()
         a, b = _matrix(left.column("sig").combine_chunks()), _matrix(right.column("sig").combine_chunks())
-        a_id, b_id = left.column("id").to_numpy(), right.column("id").to_numpy()
         a_label, b_label = left.column("label").to_numpy(), right.column("label").to_numpy()
-        a_keys, b_keys = chunk_keys(a), chunk_keys(b)
-        same_block = left.column("block")[0].as_py() == left.column("other")[0].as_py()
+        sets = _Sets()
         for i in range(len(a)):
-            want = b_label != a_label[i]
-            if same_block:
-                want &= b_id > a_id[i]
-            js = np.flatnonzero(want)
-            js = js[(b[js] != a[i]).sum(1) <= FARTHEST]
-            if len(js):
-                shared = b_keys[js] == a_keys[i]
-                js = js[a_keys[i][shared.argmax(1)] == key]
-                out[0].extend(np.minimum(a_id[i], b_id[js]).tolist())
-                out[1].extend(np.maximum(a_id[i], b_id[js]).tolist())
-    return pa.table([pa.array(x, pa.int64()) for x in out], names=["hub", "id"])
-
-
-def unsettled_pairs(edges: DataFrame, labels: DataFrame, prints: DataFrame) -> DataFrame:
-    """All pairs (hub < id) of near documents that share a key and have different labels, each once."""
-    of = lambda c, name: labels.select(F.col("id").alias(c), F.col("label").alias(name))
-    marked = edges.join(of("hub", "hub_label"), "hub", "left").join(of("id", "id_label"), "id", "left")
-    split = marked.where(F.coalesce("hub_label", "hub") != F.coalesce("id_label", "id")).select("key").distinct()
-    mixed = edges.join(split, "key", "left_semi")
+            js = np.flatnonzero(b_label != a_label[i])
+            for label in np.unique(b_label[js[(b[js] != a[i]).sum(1) <= FARTHEST]]).tolist():
+                if sets.join(int(a_label[i]), label):
+                    out.append((int(a_label[i]), label))
+    return pa.table([pa.array(x, pa.int64()) for x in (zip(*out) if out else ([], []))], names=["hub", "id"])
+
+
+def _family_cell(k: int, percent: int):
+    def run(left, right):
+        """Links (hub, id) between members of two blocks of a family that join labels not joined here so far."""
+        import numpy as np
+        import pyarrow as pa
+        import zstandard
+
+        out: list[tuple[int, int]] = []
+        if left.num_rows and right.num_rows:
+            unpack = zstandard.ZstdDecompressor().decompress
+            read = lambda t: [shingle_set(unpack(x).lower().split(), k) for x in t.column("packed").to_pylist()]
+            own = read(left)
+            sizes = np.array([len(x) for x in own])
+            shingles, owner = np.concatenate(own), np.repeat(np.arange(len(own)), sizes)
+            order = np.argsort(shingles, kind="stable")
+            shingles, owner = shingles[order], owner[order]
+            a_id, a_label = left.column("id").to_pylist(), left.column("label").to_numpy()
+            sets = _Sets()
+            for b_id, b_label, other in zip(right.column("id").to_pylist(), right.column("label").to_pylist(), read(right)):
+                lo, hi = np.searchsorted(shingles, other, "left"), np.searchsorted(shingles, other, "right")
+                n = hi - lo
+                hits = owner[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                both = np.bincount(hits, minlength=len(own))
+                similar = (both > 0) & (100 * both >= percent * (sizes + len(other) - both)) & (a_label != b_label)
+                for i in np.flatnonzero(similar).tolist():
+                    if sets.join(int(a_label[i]), b_label):
+                        out.append((a_id[i], b_id))
+        return pa.table([pa.array(x, pa.int64()) for x in (zip(*out) if out else ([], []))], names=["hub", "id"])
+
+    return run
+
+
+def _different(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of `edges` (hub, id, ...) whose ends have different labels; an id without a label is its own."""
+    marked = edges
+    for end in ("hub", "id"):
+        marked = marked.join(labels.select(F.col("id").alias(end), F.col("label").alias(f"{end}_label")), end, "left")
+    return marked.where(F.coalesce("hub_label", "hub") != F.coalesce("id_label", "id")).select(*edges.columns)
+
+
+def _grid(rows: DataFrame, by: str, left_where: str, left_blocks: str, right_blocks: str, *columns: str):
+    """Both sides of a grid of (left block, right block) cells within each `by`, for a cogroup."""
+    names = [by, *columns]
+    cell = lambda side, i, j: side.select(*(F.col(c).alias(c) for c in names), i.alias("i"), j.alias("j"))
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = cell(rows.where(left_where), dealt(left_blocks), each(right_blocks))
+    right = cell(rows, each(left_blocks), dealt(right_blocks))
+    return left.groupBy(by, "i", "j").cogroup(right.groupBy(by, "i", "j"))
+
+
+def family_links(edges: DataFrame, labels: DataFrame, prints: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (hub, id) that join the components of near documents which share a key, as far as they are joined at all."""
+    blocks = lambda n, size: F.ceil(F.col(n) / size).cast("int")
+    mixed = edges.join(_different(edges, labels).select("key").distinct(), "key", "left_semi")
     members = mixed.select("key", "id").union(mixed.select("key", F.col("hub").alias("id"))).distinct()
     sized = members.join(members.groupBy("key").agg(F.count("*").alias("n")), "key")
-    blocks = F.ceil(F.col("n") / _BLOCK_ROWS).cast("int")
     rows = through_table(sized.join(labels, "id", "left").join(prints.select("id", "sig"), "id").select(
-        "key", "id", F.coalesce("label", "id").alias("label"), "sig", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("own")), "mixed")
-    # a block meets itself and every later one: as the left side of (own, other), as the right side of (block, own)
-    part = lambda block, other: rows.select(*(F.col(c).alias(c) for c in ("key", "id", "label", "sig")), block.alias("block"), other.alias("other"))
-    left = part(F.col("own"), F.explode(F.sequence("own", F.col("blocks") - 1)))
-    right = part(F.explode(F.sequence(F.lit(0), "own")), F.col("own"))
-    by = ["key", "block", "other"]
-    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_cross, "hub bigint, id bigint")
+        "key", "id", F.coalesce("label", "id").alias("label"), "sig", blocks("n", _BLOCK_ROWS).alias("blocks")), "mixed")
+    forest = _grid(rows, "key", "true", "blocks", "blocks", "id", "label", "sig").applyInArrow(_label_forest, "hub bigint, id bigint")
+    families = components(forest).select(F.col("id").alias("label"), F.col("label").alias("family"))
+
+    of = rows.select("id", "label").distinct().join(families, "label")
+    sizes = of.groupBy("family", "label").agg(F.count("*").alias("n")).groupBy("family").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most"))
+    placed = of.join(sizes, "family").withColumns({"minor": F.col("label") != F.col("most.label"), "n_minor": F.col("n") - F.col("most.n")})
+    family = through_table(placed.join(texts, "id").select(
+        "family", "id", "label", "packed", "minor", blocks("n_minor", _BLOCK_ROWS / 2).alias("minor_blocks"), blocks("n", _BLOCK_ROWS).alias("blocks")), "families")
+    return _grid(family, "family", "minor", "minor_blocks", "blocks", "id", "label", "packed").applyInArrow(_family_cell(k, percent), "hub bigint, id bigint")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -341,14 +401,17 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     edges = through_table(firsts.mapInArrow(_runs, "key bigint, hub bigint, id bigint").union(stars.where("hub is not null")), "edges")
 
     pairs = edges.select("hub", "id").distinct().join(reps, "id").join(reps.select(F.col("id").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
-    near = pairs.select("hub", "id", "sig", "hub_sig").mapInArrow(_near, "hub bigint, id bigint, far bigint")
+    near = through_table(pairs.select("hub", "id", "sig", "hub_sig").mapInArrow(_near, "hub bigint, id bigint, far bigint"), "near")
+    met = edges.select("id").union(edges.select(F.col("hub").alias("id"))).distinct()
+    texts = own.where("id is not null").mapInArrow(_packed, "id bigint, packed binary").join(met, "id", "left_semi")
+    texts = through_table(texts, "texts")
+
     nearest = near.groupBy("id").agg(F.min(F.struct("far", "hub")).alias("best")).select("best.hub", "id")
-    texts = own.where("id is not null").mapInArrow(_packed, "id bigint, packed binary")
-    links = through_table(confirmed(through_table(nearest, "nearest"), texts, shingle_words, percent), "confirmed")
+    links = through_table(confirmed(nearest, texts, shingle_words, percent), "confirmed")
+    others = _different(near.select("hub", "id").distinct(), components(links))
+    links = links.union(through_table(confirmed(others, texts, shingle_words, percent), "confirmed"))
+    links = links.union(family_links(edges, components(links), reps, texts, shingle_words, percent))
     labels = components(links)
-    more = through_table(unsettled_pairs(edges, labels, reps), "unsettled")
-    last = confirmed(more, texts, shingle_words, percent)
-    labels = components(links.union(last))
 
     of_class = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("class", F.coalesce("label", "rep").alias("component_id"))
     own_class = prints.select(F.col("id").alias("doc_id"), "class", "n_shingles")
