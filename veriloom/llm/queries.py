@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriloom.llm import exact_dedup, near_dedup, packing, secret_scan, token_files, top_k, toxicity, url_filter
+from veriloom.llm import exact_dedup, near_dedup, packing, pieces, secret_scan, token_files, top_k, toxicity, url_filter, warc
 from veriloom.llm.common import scratch, table
 
 #: (action, host, path)
@@ -30,10 +30,20 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    return warc.read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.rule_table(spark, URL_RULES))
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), with_ids=False)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), "word", 1, with_ids=False)
 
@@ -52,7 +62,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_top_k, op2_secret_scan, op3_near_dedup, op5_url_filter, op7_packing, op8_token_files, op9_exact_dedup, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_top_k, op2_secret_scan, op3_near_dedup, op4_warc, op5_url_filter, op6_pieces, op7_packing, op8_token_files, op9_exact_dedup, op10_toxicity)}
 
 ORACLES = {
     "op1_top_k": """
