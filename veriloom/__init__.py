@@ -1,0 +1 @@
+"""Evidence-first evaluation analytics on Spark."""
