@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from veriloom.functions import columns as C
 from veriloom.operators import attempts, frontier, gate, ratios, scoring, selective
 from veriloom.schemas import ITEMS, OUTCOMES, RATES, RATIO_OUTCOMES
-from veriloom.sources import imports
+from veriloom.sources import corpus, imports
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -387,3 +387,306 @@ def near_best(spark, sf):
 def pareto_frontier(spark, sf):
     rows = _table(spark, sf, "part").select("p_brand", "p_partkey", F.col("p_size").alias("accuracy"), F.col("p_retailprice").alias("cost"))
     return frontier.pareto(rows, "p_brand").select("p_brand", "p_partkey", "accuracy", "cost")
+
+
+# text of documents
+
+VOCABULARY = [("function", 1, "the"), ("function", 1, "and"), ("place", 2, "in the"), ("place", 2, "on the"), ("german", 3, "der"), ("german", 3, "und"), ("french", 4, "les"), ("spanish", 5, "los")]
+VOCAB_SQL = "vo(item, conf, phrase, ord) AS (VALUES " + ", ".join(f"('{i}', {c}, '{p}', {n})" for n, (i, c, p) in enumerate(VOCABULARY)) + ")"
+LINES_SQL = """
+    ar AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents),
+    li AS (SELECT doc_id, unnest(a) AS line, CAST(generate_subscripts(a, 1) - 1 AS INTEGER) AS line_no FROM ar)"""
+HITS_SQL = f"""{LINES_SQL}, {VOCAB_SQL},
+    hi AS (SELECT doc_id, line_no, item, conf, phrase, ord, length(phrase) AS span FROM li, vo WHERE (' ' || lower(line) || ' ') LIKE '% ' || phrase || ' %'),
+    be AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY span DESC, ord) AS rn FROM hi) WHERE rn = 1)"""
+
+
+def _lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines in reading order, without a shuffle."""
+    return _table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+
+
+def _line_hits(lines: DataFrame) -> DataFrame:
+    """(..., hits): the vocabulary's phrases on a line as an array in declaration order; the vocabulary is in the plan."""
+    padded = F.concat(F.lit(" "), F.lower("line"), F.lit(" "))
+    each = [F.when(F.contains(padded, F.lit(f" {p} ")), F.struct(F.lit(i).alias("item"), F.lit(c).alias("conf"), F.lit(p).alias("phrase"), F.lit(len(p)).alias("span"), F.lit(-n).alias("ord"))) for n, (i, c, p) in enumerate(VOCABULARY)]
+    return lines.withColumn("hits", F.array_compact(F.array(*each)))
+
+
+def _best_lines(lines: DataFrame) -> DataFrame:
+    """The longest phrase of each line, the first declared of equals, or null."""
+    by = lambda h: F.struct(h["span"], h["ord"], h["item"], h["conf"], h["phrase"])
+    return _line_hits(lines).withColumn("best", F.array_max(F.transform("hits", by))).drop("hits")
+
+
+@query(f"WITH {LINES_SQL} SELECT doc_id, line_no, line FROM li WHERE trim(line) <> ''")
+def page_lines(spark, sf):
+    return _lines(spark, sf).where("trim(line) <> ''").select("doc_id", "line_no", "line")
+
+
+@query(f"WITH {HITS_SQL} SELECT doc_id, line_no, item, phrase FROM hi")
+def label_hits(spark, sf):
+    return _line_hits(_lines(spark, sf)).select("doc_id", "line_no", F.explode("hits").alias("h")).select("doc_id", "line_no", "h.item", "h.phrase")
+
+
+@query(f"WITH {HITS_SQL} SELECT doc_id, line_no, item, phrase FROM be")
+def best_label(spark, sf):
+    return _best_lines(_lines(spark, sf)).where("best is not null").select("doc_id", "line_no", "best.item", "best.phrase")
+
+
+@query(f"WITH {HITS_SQL} SELECT doc_id, item, CAST(min(line_no) AS INTEGER) AS line_no FROM be GROUP BY 1, 2")
+def first_hit(spark, sf):
+    return _best_lines(_lines(spark, sf)).where("best is not null").groupBy("doc_id", F.col("best.item").alias("item")).agg(F.min("line_no").alias("line_no"))
+
+
+@query(f"""WITH {HITS_SQL}, ne AS (SELECT li.doc_id, li.line_no, li.line, be.item, be.conf, lead(li.line) OVER w AS below, lead(be.item) OVER w AS below_item
+    FROM li LEFT JOIN be USING (doc_id, line_no) WINDOW w AS (PARTITION BY li.doc_id ORDER BY li.line_no))
+    SELECT doc_id, line_no, item, round(greatest(0, conf - 0.1::DOUBLE), 9) AS confidence, md5(line || chr(10) || below) AS quote FROM ne WHERE item IS NOT NULL AND below IS NOT NULL AND below_item IS NULL""")
+def wrapped_rows(spark, sf):
+    """A labelled line whose next line has no label; next lines come from the document's own array, not from a window."""
+    docs = _table(spark, sf, "documents").select("doc_id", F.split("text", "\n", -1).alias("a"))
+    pairs = docs.select("doc_id", F.posexplode(F.zip_with("a", F.slice("a", F.lit(2), F.size("a")), lambda x, y: F.struct(x.alias("line"), y.alias("below")))).alias("line_no", "p"))
+    own = _best_lines(pairs.select("doc_id", "line_no", F.col("p.line").alias("line"), F.col("p.below").alias("below"))).where("best is not null and below is not null")
+    below = _best_lines(own.select("doc_id", "line_no", F.col("best").alias("own"), F.col("line").alias("first"), F.col("below").alias("line"))).where("best is null")
+    confidence = F.greatest(F.lit(0.0), F.col("own.conf") - F.lit(0.1))
+    return below.select("doc_id", "line_no", "own.item", _r(confidence).alias("confidence"), F.md5(F.concat_ws("\n", "first", "line")).alias("quote"))
+
+
+def _earliest(text: Column, choices: list[tuple[str, str]]) -> Column:
+    """The choice whose pattern matches first in a text; of equal places the earlier choice."""
+    places = [F.when(F.regexp_instr(text, F.lit(f"(?i){p}")) > 0, F.struct(F.regexp_instr(text, F.lit(f"(?i){p}")).alias("at"), F.lit(n).alias("n"), F.lit(v).alias("v"))) for n, (v, p) in enumerate(choices)]
+    return F.array_min(F.array_compact(F.array(*places)))["v"]
+
+
+def _earliest_sql(text: str, choices: list[tuple[str, str]]) -> str:
+    rows = " UNION ALL ".join(f"SELECT {n} AS n, '{v}' AS v, regexp_extract({text}, '(?is)^(.*?)(?:{p})', 1) AS pre, regexp_matches({text}, '(?i){p}') AS hit" for n, (v, p) in enumerate(choices))
+    return f"(SELECT v FROM ({rows}) WHERE hit ORDER BY length(pre), n LIMIT 1)"
+
+
+SCALES = [("1e9", "in +billions|the the"), ("1e6", "in +millions|of the"), ("1e3", "in +thousands|and the")]
+MONEY = [("EUR", "der|das"), ("GBP", "£|the"), ("USD", "los|las")]
+MARKED_SQL = "SELECT doc_id, 'In ' || CASE doc_id % 4 WHEN 0 THEN 'millions ' WHEN 1 THEN 'thousands ' WHEN 2 THEN '' ELSE 'billions ' END || text AS t FROM documents"
+
+
+def _marked(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with a units note in front of most of them."""
+    k = F.col("doc_id") % 4
+    note = F.when(k == 0, "millions ").when(k == 1, "thousands ").when(k == 2, "").otherwise("billions ")
+    return _table(spark, sf, "documents").select("doc_id", F.concat(F.lit("In "), note, F.col("text")).alias("t"))
+
+
+@query(f"WITH d AS ({MARKED_SQL}) SELECT doc_id, coalesce({_earliest_sql('t', SCALES)}, '1') AS scale FROM d")
+def unit_scale(spark, sf):
+    return _marked(spark, sf).select("doc_id", F.coalesce(_earliest(F.col("t"), SCALES), F.lit("1")).alias("scale"))
+
+
+@query(f"SELECT doc_id, {_earliest_sql('text', MONEY)} AS currency FROM documents")
+def currency(spark, sf):
+    return _table(spark, sf, "documents").select("doc_id", _earliest(F.col("text"), MONEY).alias("currency"))
+
+
+@query("SELECT doc_id, CAST(len(string_split(text, chr(10))) AS INTEGER) AS n_pages FROM documents")
+def page_count(spark, sf):
+    return _table(spark, sf, "documents").select("doc_id", F.size(F.split("text", "\n", -1)).alias("n_pages"))
+
+
+@query("SELECT doc_id, CAST(least(len(string_split(text, chr(10))), 60) AS INTEGER) AS kept, md5(array_to_string(string_split(text, chr(10))[1:60], '|')) AS digest FROM documents")
+def page_truncate(spark, sf):
+    pages = F.slice(F.split("text", "\n", -1), 1, 60)
+    return _table(spark, sf, "documents").select("doc_id", F.size(pages).alias("kept"), F.md5(F.array_join(pages, "|")).alias("digest"))
+
+
+_FLAT = "trim(regexp_replace(lower(text), '[ \\n\\t\\r]+', ' ', 'g'))"
+
+
+def _flat(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(text), "[ \\n\\t\\r]+", " "))
+
+
+QUOTES_SQL = f"""q AS (SELECT item_id, {_FLAT} AS q FROM benchmark), d AS (SELECT doc_id, {_FLAT} AS p FROM documents),
+    f AS (SELECT item_id, doc_id FROM q JOIN d ON contains(p, q) WHERE q <> '')"""
+
+
+def _quoted(spark: SparkSession, sf: str) -> DataFrame:
+    """(item_id, doc_id): passages found in documents, by an equi-join instead of a nested loop.
+
+    A passage's words but its first and last are whole words of any text that holds it. Passages and documents meet on a run
+    of such words, up to six, and only then is the whole passage looked for. Passages of less than three words have no such
+    word and are compared with every document.
+    """
+    quotes = _table(spark, sf, "benchmark").select("item_id", _flat(F.col("text")).alias("q")).where("q <> ''").withColumn("w", F.split("q", " "))
+    quotes = quotes.withColumn("width", F.greatest(F.lit(0), F.least(F.lit(6), F.size("w") - 2)))
+    widths = sorted(r["width"] for r in quotes.select("width").distinct().collect())  # 0 to 6
+    docs = _table(spark, sf, "documents").select("doc_id", _flat(F.col("text")).alias("p"))
+    run = lambda at, width: F.xxhash64(F.array_join(F.slice(F.col("w"), at, width), " "))
+    parts = []
+    for width in widths:
+        own = quotes.where(F.col("width") == width)
+        if not width:
+            parts.append(docs.join(own, F.contains("p", "q")).select("item_id", "doc_id"))
+            continue
+        keyed = own.select("item_id", "q", run(F.lit(2), width).alias("key"))
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - width + 1))
+        runs = docs.withColumn("w", F.split("p", " ")).select("doc_id", F.explode(F.array_distinct(F.transform(starts, lambda at: run(at, width)))).alias("key"))
+        met = runs.join(keyed, "key").select("doc_id", "item_id", "q").distinct()
+        parts.append(met.join(docs, "doc_id").where(F.contains("p", "q")).select("item_id", "doc_id"))
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.union(part)
+    return found
+
+
+@query(f"WITH {QUOTES_SQL} SELECT * FROM f")
+def quote_on_page(spark, sf):
+    return _quoted(spark, sf)
+
+
+@query(f"WITH {QUOTES_SQL} SELECT item_id, count(doc_id) AS n_documents, min(doc_id) AS first_document FROM q LEFT JOIN f USING (item_id) GROUP BY item_id")
+def verify_claims(spark, sf):
+    every = _table(spark, sf, "benchmark").select("item_id")
+    return every.join(_quoted(spark, sf), "item_id", "left").groupBy("item_id").agg(F.count("doc_id").alias("n_documents"), F.min("doc_id").alias("first_document"))
+
+
+@query(f"""WITH {CLAIMS}, a AS (SELECT s.doc_id, name, k, actual, event_id, CASE WHEN actual IS NULL THEN '' WHEN event_id % 9 = 0 THEN 'no evidence' WHEN k % 7 + 1 > 5 THEN 'page out of range'
+    WHEN event_id % 11 = 0 THEN 'quote absent' WHEN event_id % 13 = 0 THEN 'figure absent' ELSE '' END AS problem FROM s)
+    SELECT doc_id, name, problem = '' AS accepted, problem FROM a""")
+def claim_admission(spark, sf):
+    i, page = F.col("event_id"), F.col("k") % 7 + 1
+    problem = (
+        F.when(F.col("actual").isNull(), "").when(i % 9 == 0, "no evidence").when(page > 5, "page out of range").when(i % 11 == 0, "quote absent")
+        .when(i % 13 == 0, "figure absent").otherwise(""))
+    return _events(spark, sf).select("doc_id", "name", (problem == "").alias("accepted"), problem.alias("problem"))
+
+
+# numbers: a grammar without look-behind, so that both engines have it
+
+_NUMBER = r"(?:^|[^\w.'])(\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)"
+NUMBERS_SQL = f"nu AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_NUMBER.replace(chr(39), chr(39) * 2)}', 1)) AS n FROM documents), nv AS (SELECT doc_id, n, try_cast(replace(n, ',', '') AS DOUBLE) AS value FROM nu)"
+
+
+def _numbers(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(_NUMBER), F.lit(1))).alias("n"))
+    return docs.withColumn("value", F.replace("n", F.lit(","), F.lit("")).try_cast("double"))
+
+
+@query(f"WITH {NUMBERS_SQL} SELECT doc_id, n, value FROM nv")
+def numbers_in_text(spark, sf):
+    return _numbers(spark, sf).select("doc_id", "n", "value")
+
+
+@query(f"WITH {NUMBERS_SQL} SELECT doc_id, n, value FROM nv WHERE NOT regexp_full_match(n, '(19|20)[0-9][0-9]') AND n <> '000'")
+def plausible_number(spark, sf):
+    return _numbers(spark, sf).where(~F.col("n").rlike("^(?:19|20)[0-9][0-9]$") & (F.col("n") != "000")).select("doc_id", "n", "value")
+
+
+@query(f"WITH {NUMBERS_SQL} SELECT doc_id, n, CASE WHEN value < 1000 THEN value * 1000 ELSE value END AS scaled FROM nv")
+def scaled_numbers(spark, sf):
+    v = F.col("value")
+    inline = F.when(v < 1000, 1.0).otherwise(0.001)
+    return _numbers(spark, sf).select("doc_id", "n", F.when(inline != 1, v).otherwise(v * 1000).alias("scaled"))
+
+
+@query(f"""WITH {NUMBERS_SQL}, g AS (SELECT doc_id, list(value) AS vs, max(value) AS top FROM nv GROUP BY doc_id), w AS (SELECT *, top * CASE WHEN doc_id % 3 = 0 THEN 1.004::DOUBLE WHEN doc_id % 3 = 1 THEN 1.5::DOUBLE ELSE 0.001::DOUBLE END AS want FROM g)
+    SELECT doc_id, len(list_filter(vs, lambda n: abs(n - want) <= 0.01::DOUBLE * abs(want) OR abs(n - want * 1000) <= 0.01::DOUBLE * abs(want * 1000))) > 0 AS quoted FROM w""")
+def value_in_quote(spark, sf):
+    quotes = _table(spark, sf, "documents").select("doc_id", F.transform(F.regexp_extract_all("text", F.lit(_NUMBER), F.lit(1)), lambda n: F.replace(n, F.lit(","), F.lit("")).try_cast("double")).alias("vs")).where(F.size("vs") > 0)
+    k = F.col("doc_id") % 3
+    want = F.array_max("vs") * F.when(k == 0, 1.004).when(k == 1, 1.5).otherwise(0.001)
+    return quotes.select("doc_id", C.value_in_numbers(want, F.lit(1000.0), F.lit(False), F.col("vs")).alias("quoted"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 5 = 1 THEN -round(o_totalprice, 2) WHEN o_orderkey % 5 = 2 THEN round(o_totalprice, 2) * 1000 ELSE round(o_totalprice, 2) END AS value FROM orders""")
+def parse_number(spark, sf):
+    k, money = F.col("o_orderkey") % 5, F.format_number(F.col("o_totalprice"), 2)
+    text = F.when(k == 0, F.concat(money, F.lit(" unaudited"))).when(k == 1, F.concat(F.lit("($"), money, F.lit(")"))).when(k == 2, F.concat(F.lit("A$"), money, F.lit(" k"))).otherwise(money)
+    return _table(spark, sf, "orders").select("o_orderkey", C.parse_number(text).alias("value"))
+
+
+@query("""SELECT p_partkey, try_cast(replace(replace(CASE WHEN p_partkey % 4 = 0 THEN '1,0' || p_size WHEN p_partkey % 4 = 1 THEN p_size || '_000' WHEN p_partkey % 4 = 2 THEN 'n/a ' || p_size ELSE ' ' || p_size || '.5 ' END, ',', ''), '_', '') AS DOUBLE) AS value FROM part""")
+def tolerant_float(spark, sf):
+    k, size = F.col("p_partkey") % 4, F.col("p_size").cast("string")
+    text = F.when(k == 0, F.concat(F.lit("1,0"), size)).when(k == 1, F.concat(size, F.lit("_000"))).when(k == 2, F.concat(F.lit("n/a "), size)).otherwise(F.concat(F.lit(" "), size, F.lit(".5 ")))
+    return _table(spark, sf, "part").select("p_partkey", C.tolerant_float(text).alias("value"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 0 ELSE greatest(0, least(1, value / 50 - 0.5::DOUBLE)) END AS confidence FROM events")
+def clamp_confidence(spark, sf):
+    raw = F.when(F.col("event_id") % 4 == 0, "high").otherwise((F.col("value") / 50 - F.lit(0.5)).cast("string"))
+    return _table(spark, sf, "events").select("event_id", C.clamp(raw).alias("confidence"))
+
+
+# corpora, imports, presentation
+
+@query("""SELECT count(DISTINCT doc_id) AS n_documents, count(*) AS n_fields, count(*) FILTER (quality = 1) AS n_stated, count(*) FILTER (quality = 0) AS n_absent, count(*) FILTER (toxic = 1) AS n_ambiguous FROM labels""")
+def corpus_inventory(spark, sf):
+    stated, doubtful = F.col("quality") == 1, F.col("toxic") == 1
+    return _table(spark, sf, "labels").agg(
+        F.count_distinct("doc_id").alias("n_documents"), F.count("*").alias("n_fields"), F.count_if(stated).alias("n_stated"), F.count_if(F.col("quality") == 0).alias("n_absent"), F.count_if(doubtful).alias("n_ambiguous"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def unlabelled_documents(spark, sf):
+    return _table(spark, sf, "documents").select("doc_id").join(_table(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+@query("SELECT l.doc_id, CASE WHEN p.page_id IS NOT NULL THEN 'pdf' WHEN d.doc_id IS NOT NULL THEN 'text' ELSE 'missing' END AS kind FROM labels l LEFT JOIN pages p ON p.page_id = l.doc_id LEFT JOIN documents d ON d.doc_id = l.doc_id AND d.doc_id % 5 <> 0")
+def source_resolution(spark, sf):
+    text = _table(spark, sf, "documents").where("doc_id % 5 <> 0").select("doc_id")
+    pdfs = _table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"))
+    return corpus.resolve(_table(spark, sf, "labels").select("doc_id"), text, pdfs).select("doc_id", "kind")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 4 = 0 THEN 'absent' WHEN doc_id % 7 = 0 THEN NULL ELSE 'value' END AS kind FROM documents""")
+def decoy_import(spark, sf):
+    d = F.col("doc_id")
+    asked = F.when(d % 3 == 0, "name town").otherwise("name income")
+    expected = F.when(d % 4 == 0, "name=x").when(d % 7 == 0, "name=x income=unknown").otherwise("name=x income=1,250_000.5")
+    return _table(spark, sf, "documents").select("doc_id", imports.label_of(asked, C.first_of_keys(expected), "income").alias("kind"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, unnest(string_split('a=' || turn || ' junk role=' || role || ' a=x b=1=2', ' ')) AS t, generate_subscripts(string_split('a=' || turn || ' junk role=' || role || ' a=x b=1=2', ' '), 1) AS k FROM conversations),
+    p AS (SELECT conv_id, turn, split_part(t, '=', 1) AS key, substr(t, instr(t, '=') + 1) AS value, k FROM t WHERE instr(t, '=') > 1)
+    SELECT conv_id, turn, key, arg_min(value, k) AS value FROM p GROUP BY ALL""")
+def kv_parse_first_wins(spark, sf):
+    line = F.concat(F.lit("a="), F.col("turn").cast("string"), F.lit(" junk role="), F.col("role"), F.lit(" a=x b=1=2"))
+    return _table(spark, sf, "conversations").select("conv_id", "turn", F.explode(C.first_of_keys(line)))
+
+
+@query("""WITH a AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS position FROM customer), b AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS position FROM orders WHERE o_orderkey IN (SELECT min(o_orderkey) FROM orders GROUP BY o_custkey)),
+    c AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS position FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders))
+    SELECT c.c_custkey, b.o_orderkey, position FROM c JOIN b USING (position)""")
+def positional_zip(spark, sf):
+    orders = _table(spark, sf, "orders")
+    left = _table(spark, sf, "customer").select("c_custkey").join(orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
+    right = orders.groupBy("o_custkey").agg(F.min("o_orderkey").alias("o_orderkey")).select("o_orderkey")
+    return imports.zip_by_position(imports.positioned(left, "c_custkey"), imports.positioned(right, "o_orderkey")).select("c_custkey", "o_orderkey", F.col("position").cast("bigint").alias("position"))
+
+
+@query(r"""SELECT page_id, substr(trim(regexp_replace(lower(regexp_replace(regexp_replace(url, '/+$', ''), '^.*/', '')) || '', '[^a-z0-9._-]+', '-', 'g'), '-.'), 1, 100) AS slug FROM pages""")
+def safe_doc_id(spark, sf):
+    return _table(spark, sf, "pages").select("page_id", C.safe_doc_id(F.concat(F.regexp_replace("url", "/+$", ""), F.lit(".pdf"))).alias("slug"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_block(spark, sf):
+    reply = F.concat(F.lit("Sure! Here it is:\n"), F.col("props"), F.lit("\nAnything else?"))
+    return _table(spark, sf, "events").select("event_id", F.from_json(C.json_block(reply), "k bigint")["k"].alias("k"))
+
+
+@query("""SELECT conv_id, md5(string_agg('<page number="' || (turn + 1) || '">' || chr(10) || text || chr(10) || '</page>', chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id""")
+def prompt_assembly(spark, sf):
+    part = F.concat(F.lit('<page number="'), (F.col("turn") + 1).cast("string"), F.lit('">\n'), F.col("text"), F.lit("\n</page>"))
+    turns = _table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", part.alias("part")))).alias("parts"))
+    return turns.select("conv_id", F.md5(F.array_join(F.col("parts.part"), "\n")).alias("digest"))
+
+
+@query(f"""WITH {CLAIMS}, n AS (SELECT outcome, count(*) AS n, (SELECT count(*) FROM s) AS total FROM s GROUP BY 1)
+    SELECT outcome, n, printf('%.1f%%', n / CAST(total AS DOUBLE) * 100) AS share, repeat('#', CAST(round_even(28 * n / CAST(total AS DOUBLE), 0) AS INTEGER)) || repeat('.', 28 - CAST(round_even(28 * n / CAST(total AS DOUBLE), 0) AS INTEGER)) AS bar FROM n""")
+def taxonomy_bars(spark, sf):
+    rows = scoring.taxonomy(_fields(spark, sf))
+    return rows.select("outcome", "n", C.percent(F.col("share")).alias("share"), C.bar(F.col("n"), F.col("total")).alias("bar"))
+
+
+@query(r"SELECT doc_id, md5(trim(regexp_replace(lower(nfc_normalize(text)), '\s+', ' ', 'g'))) AS digest FROM documents")
+def normalise_text(spark, sf):
+    return _table(spark, sf, "documents").select("doc_id", F.md5(C.normalise("text")).alias("digest"))
