@@ -8,8 +8,8 @@
    share a key just as often as chance has it, which misses 1.4 pairs in 100,000 at 0.8 exactly and fewer above.
 3. `edges`: a key's documents are linked as a star, first within a task, then over all: what has a key in common is one
    tree of as many edges as members, however large. A task's window forwards a key once.
-4. Each document's nearest hub (within a signature distance of 46: a pair at 0.8 is beyond it once in 100,000) is
-   confirmed on the full shingle sets, then its other hubs that lie in other components; links make components.
+4. Pairs of a document and a hub within a signature distance of 46 (a pair at 0.8 is beyond it once in 100,000) are
+   confirmed on the full shingle sets; links make components.
 5. Keys whose members still lie in different components are done in full. Components with near members in one key are a
    family; in a grid of bounded blocks, each member outside a family's largest component is confirmed against all members of
    other components. No partner is dropped: pairs that stay unconfirmed are those within one component already. Tasks hand
@@ -28,7 +28,7 @@ from veriloom.llm.common import slices, through_table
 
 SYMBOLS, CHUNKS, FARTHEST = 128, 16, 46
 WIDTH = SYMBOLS // CHUNKS
-_WINDOW_KEYS = 1_000_000
+_WINDOW_KEYS = 500_000
 _HUB_ROWS = 64
 _BLOCK_ROWS = 1024
 _LARGEST = (1 << 32) - 1
@@ -40,7 +40,7 @@ class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -255,24 +255,44 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return dealt.mapInArrow(_confirm(k, percent), "hub bigint, id bigint")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, in_task: int = 500_000) -> DataFrame:
     """(id, label): every id of `links` (hub, id) with the smallest id that it is connected to.
 
-    Large-star and small-star steps in turn: each hangs neighbours on the smallest one, until nothing changes. A step is two
-    joins on ids, so no node's neighbours meet in one task; it is written to the shared folder.
+    Up to `in_task` links are joined by one task; more go through star steps, which know no bound. Either gives the same.
     """
     edges = through_table(links.select(F.greatest("hub", "id").alias("u"), F.least("hub", "id").alias("v")).where("u <> v").distinct(), "links")
+    if edges.count() > in_task:
+        return _star_components(edges)
+    return through_table(edges.coalesce(1).mapInArrow(_joined_labels, "id bigint, label bigint"), "labels")
+
+
+def _joined_labels(batches: Iterable) -> Iterator:
+    import pyarrow as pa
+
+    sets, ids = _Sets(), set()
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
+            sets.join(u, v)
+            ids.update((u, v))
+    own = sorted(ids)
+    yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([sets.top(x) for x in own], pa.int64())], ["id", "label"])
+
+
+def _star_components(edges: DataFrame) -> DataFrame:
+    """Large-star and small-star steps in turn: each hangs neighbours on the smallest one, until nothing changes. A step is
+    two joins on ids, so no node's neighbours meet in one task; it is written to the shared folder."""
+    sign = lambda e: e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+    before = sign(edges)
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(small, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        new = through_table(hung.where("u <> v").distinct(), "links")
-        same = lambda e: e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if same(new) == same(edges):
-            return new.select(F.col("u").alias("id"), F.col("v").alias("label")).union(new.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct())
-        edges = new
+        edges = through_table(hung.where("u <> v").distinct(), "links")
+        if (after := sign(edges)) == before:
+            return edges.select(F.col("u").alias("id"), F.col("v").alias("label")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct())
+        before = after
 
 
 class _Sets:
@@ -301,8 +321,10 @@ def _label_forest(left, right):
     if left.num_rows and right.num_rows:
         a, b = _matrix(left.column("sig").combine_chunks()), _matrix(right.column("sig").combine_chunks())
         a_label, b_label = left.column("label").to_numpy(), right.column("label").to_numpy()
+        # rows of the most common label are met from the other side, in this cell or in its mirror image
+        labels, counts = np.unique(np.concatenate((a_label, b_label)), return_counts=True)
         sets = _Sets()
-        for i in range(len(a)):
+        for i in np.flatnonzero(a_label != labels[counts.argmax()]):
             js = np.flatnonzero(b_label != a_label[i])
             for label in np.unique(b_label[js[(b[js] != a[i]).sum(1) <= FARTHEST]]).tolist():
                 if sets.join(int(a_label[i]), label):
@@ -406,10 +428,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     texts = own.where("id is not null").mapInArrow(_packed, "id bigint, packed binary").join(met, "id", "left_semi")
     texts = through_table(texts, "texts")
 
-    nearest = near.groupBy("id").agg(F.min(F.struct("far", "hub")).alias("best")).select("best.hub", "id")
-    links = through_table(confirmed(nearest, texts, shingle_words, percent), "confirmed")
-    others = _different(near.select("hub", "id").distinct(), components(links))
-    links = links.union(through_table(confirmed(others, texts, shingle_words, percent), "confirmed"))
+    links = through_table(confirmed(near.select("hub", "id").distinct(), texts, shingle_words, percent), "confirmed")
     links = links.union(family_links(edges, components(links), reps, texts, shingle_words, percent))
     labels = components(links)
 
