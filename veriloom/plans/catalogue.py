@@ -687,6 +687,6 @@ def taxonomy_bars(spark, sf):
     return rows.select("outcome", "n", C.percent(F.col("share")).alias("share"), C.bar(F.col("n"), F.col("total")).alias("bar"))
 
 
-@query(r"SELECT doc_id, md5(trim(regexp_replace(lower(nfc_normalize(text)), '\s+', ' ', 'g'))) AS digest FROM documents")
+@query(r"SELECT doc_id, md5(trim(regexp_replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '\s+', ' ', 'g'))) AS digest FROM documents")
 def normalise_text(spark, sf):
     return _table(spark, sf, "documents").select("doc_id", F.md5(C.normalise("text")).alias("digest"))
