@@ -75,7 +75,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
             return OK
         limits, undefined = [], False
         if args.verb == "gate":  # thresholds first: a bad file must not cost a run
-            text = spark.read.option("wholetext", True).text(args.thresholds or f"{args.corpus}/thresholds.json").first()
+            text = spark.read.text(args.thresholds or f"{args.corpus}/thresholds.json", wholetext=True).first()
             limits, undefined = gate.thresholds(text[0] if text else "")
         run = run_corpus(spark, args.corpus, extractor, not args.no_verify, args.alpha)
         if args.save:

@@ -87,7 +87,7 @@ def json_block(text: Column) -> Column:
 
 
 def percent(x: Column) -> Column:
-    return F.coalesce(F.format_string("%.1f%%", x * 100), F.lit("n/a"))
+    return F.when(x.isNull(), "n/a").otherwise(F.format_string("%.1f%%", x * 100))
 
 
 def bar(count: Column, total: Column, width: int = 28) -> Column:

@@ -54,18 +54,12 @@ def _missing(item: str) -> Column:
 def general(x: Column) -> Column:
     """A number as `%g` in C prints it: six significant digits, no trailing zeros."""
     exponent = F.when(x == 0, 0).otherwise(F.regexp_extract(F.format_string("%.5e", x), r"e([-+]\d+)$", 1).cast("int"))
-    fixed = F.format_string("%.12f", F.round(x.cast("decimal(38,12)"), 12))
-    plain = F.when(exponent >= 0, F.regexp_replace(F.regexp_replace(_digits(x, exponent), r"(\.\d*?)0+$", "$1"), r"\.$", "")).otherwise(F.regexp_replace(F.regexp_replace(fixed, r"(\.\d*?)0+$", "$1"), r"\.$", ""))
-    scientific = F.regexp_replace(F.regexp_replace(F.format_string("%.5e", x), r"(\.\d*?)0+e", "$1e"), r"\.e", "e")
+    fixed = F.coalesce(*(F.when(exponent == e, F.format_string(f"%.{5 - e}f", x)) for e in range(-4, 6)))
+    plain = F.when(F.contains(fixed, F.lit(".")), F.regexp_replace(fixed, r"\.?0+$", "")).otherwise(fixed)
+    scientific = F.regexp_replace(F.format_string("%.5e", x), r"\.?0+e", "e")
     return F.when((exponent < -4) | (exponent >= 6), scientific).otherwise(plain)
 
 
-def _digits(x: Column, exponent: Column) -> Column:
-    """Six significant digits of a number of 1 to 999,999."""
-    choices = [F.when(exponent == e, F.format_string(f"%.{5 - e}f", x)) for e in range(6)]
-    return F.coalesce(*choices)
-
-
 def with_ratios(inputs: DataFrame) -> DataFrame:
     """`inputs` with a struct for each ratio."""
     names = lambda *items: F.array(*map(F.lit, items)).cast("array<string>")

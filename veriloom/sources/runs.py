@@ -15,7 +15,7 @@ def save_run(artifact: DataFrame, path: str) -> None:
 
 def load_run(spark: SparkSession, path: str):
     """The artifact as a VARIANT, so that documents of any version can be read."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.parse_json("value").alias("run"))
 
 
