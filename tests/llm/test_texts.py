@@ -32,18 +32,19 @@ TEXTS = [
 
 
 def test_secret_scan_equals_brute_force(spark):
-    rows = [*enumerate(TEXTS), (1, TEXTS[2]), (None, TEXTS[2])]
-    df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, n_hex int, spans string")
+    rows = [*enumerate(TEXTS), (None, TEXTS[2])]
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in [*rows, rows[2]]], "doc_id long, text string, n_hex int, spans string")
     got = secret_scan.scan_secrets(df).collect()
-    assert len(got) == len(rows)
-    for r, (i, t) in zip(sorted(got, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.spans)), sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, str(brute_base(r[1])) if r[0] != 1 else ""))):
-        if r.doc_id == 1:
-            continue
-        base = brute_base(t)
-        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+    assert len(got) == len(rows) + 1
+    by = {r.doc_id: r for r in got}
+    for i, text in rows:
+        base, r = brute_base(text), by[i]
+        joined = [f"{k}:{a}:{b}" for k, a, b in base]
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(x[0] == k for x in base) for k in ("assign", "access", "hex")]
-        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
-        assert [s for s in r.spans.split(",") if s and not s.startswith("guess")] == [s for s in joined.split(",") if s]
+        assert r.base_sha256 == hashlib.sha256(",".join(joined).encode()).hexdigest()
+        assert [x for x in r.spans.split(",") if x and not x.startswith("guess")] == joined
+    guessed = {i for i, r in by.items() if r.n_guess}
+    assert 12 in guessed and 13 not in guessed
     assert secret_scan.scan_secrets(df.limit(0)).count() == 0
 
 
@@ -92,7 +93,7 @@ def model():
 
 def best_score(model, word):
     """The least loss over all segmentations, by plain dynamic programming over a dictionary of pieces."""
-    names = {"".join(t): s for t, s in _names(model)}
+    names = dict(_names(model))
     best = [0.0] + [-math.inf] * len(word)
     for end in range(1, len(word) + 1):
         for start in range(end):
@@ -115,7 +116,6 @@ def test_segmentations_are_best(model):
     rng = random.Random(3)
     for word in ["▁the", "▁idiot", "straße", "▁▁▁x", "日本語", "▁" + "ab" * 20, "\U0001f600", "▁Anthn.", *("▁" + "".join(rng.choice("aeinrstü.") for _ in range(rng.randrange(1, 14))) for _ in range(60))]:
         ids = model.segment(word)
-        unknown = sum(not any(True for e, _ in model.trie.prefixes(word, i) if e == i + 1) and len(c.encode()) for i, c in enumerate(word))
         got, k = 0.0, 0
         while k < len(ids):
             if ids[k] in set(model.byte_ids.values()):
@@ -125,7 +125,7 @@ def test_segmentations_are_best(model):
             else:
                 got += model.scores[ids[k]]
                 k += 1
-        assert got == pytest.approx(best_score(model, word)), (word, unknown)
+        assert got == pytest.approx(best_score(model, word)), word
 
 
 def test_trie_holds_every_piece_and_nothing_else(model):
@@ -154,7 +154,7 @@ def test_pieces_round_trip(spark, model):
 # toxicity
 
 
-def labelled(spark, n=900):
+def labelled(n=900):
     rng = random.Random(8)
     filler = [f"wort{c}{d}" for c in "abcdefgh" for d in "klmnopqr"]
     rows, labels = [], []
@@ -169,7 +169,7 @@ def labelled(spark, n=900):
 
 
 def test_toxicity_on_held_out_rows(spark):
-    rows, labels = labelled(spark)
+    rows, labels = labelled()
     extra = [(10_000, None), (10_001, ""), (10_002, "idiot " * 20_000), (10_003, "nothing at all"), (None, "idiot"), (3, rows[3][1])]
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows + extra], "doc_id long, text string, score int, evidence string")
     lab = spark.createDataFrame([(i, y, y) for i, y in labels] + [(None, 1, 1), (5, None, 1), (7, 9, 1), (77_777, 1, 1)], "doc_id long, toxic int, held_out int")
@@ -204,9 +204,8 @@ def test_neighbours_are_exact():
 
 
 def test_finder_agrees_with_terms():
-    vocabulary = ["idiot", "~idio", "~idi", "été", "~clown", "a"]
+    vocabulary = ["idiot", "~idio", "été", "~clown", "a"]
     find = toxicity.Finder(vocabulary)
     for text in ("Idiot idiots xidiot idiot_ IDIOT2 été étés a aa clown clowns clowning", "", None, "İdiot idiot"):
         want = {n: c for n, c in toxicity.terms(text).items() if n in vocabulary}
-        want |= {"~idi": sum(w.startswith("idi") and len(w) > 3 for w in re.findall(r"[^\W\d_]+", (text or "").lower()))} if text else {}
-        assert {vocabulary[i]: c for i, c in find(text).items()} == {n: c for n, c in want.items() if c and (n[0] != "~" or len(n) != 6 or True)}
+        assert {vocabulary[i]: c for i, c in find(text).items()} == want
