@@ -402,6 +402,14 @@ def family_links(edges: DataFrame, labels: DataFrame, prints: DataFrame, texts:
     return _grid(family, "family", "minor", "minor_blocks", "blocks", "id", "label", "packed").applyInArrow(_family_cell(k, percent), "hub bigint, id bigint")
 
 
+def _repeated_ids(prints: DataFrame, classes: DataFrame) -> DataFrame:
+    """(hub, id): ids whose rows are of several classes, with the first id of each."""
+    known = prints.where("class is not null and id is not null").select("id", "class")
+    h = F.xxhash64("class")
+    several = known.groupBy("id").agg(F.min(h).alias("a"), F.max(h).alias("b")).where("a <> b").select("id")
+    return known.join(several, "id", "left_semi").join(classes, "class").select(F.col("rep").alias("hub"), "id").where("hub <> id")
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of `docs`: doc_id, n_shingles, component_id, kept.
 
@@ -428,7 +436,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     texts = own.where("id is not null").mapInArrow(_packed, "id bigint, packed binary").join(met, "id", "left_semi")
     texts = through_table(texts, "texts")
 
-    links = through_table(confirmed(near.select("hub", "id").distinct(), texts, shingle_words, percent), "confirmed")
+    links = confirmed(near.select("hub", "id").distinct(), texts, shingle_words, percent).union(_repeated_ids(prints, classes))
+    links = through_table(links, "confirmed")
     links = links.union(family_links(edges, components(links), reps, texts, shingle_words, percent))
     labels = components(links)
 

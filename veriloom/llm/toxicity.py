@@ -146,7 +146,8 @@ class Index:
 
         votes = np.array([self.vote(self.nearest(v, but=i)) for i, v in enumerate(self.vectors)])
         bare = np.array([not v for v in self.vectors], bool)
-        weight = np.where(self.labels == 1, self.prior / max(self.labels.mean(), 1e-9), (1 - self.prior) / max(1 - self.labels.mean(), 1e-9))
+        ones = float(self.labels.mean()) if len(self.labels) else 0.0
+        weight = np.where(self.labels == 1, self.prior / max(ones, 1e-9), (1 - self.prior) / max(1 - ones, 1e-9))
         share = lambda m: float((weight[m] * self.labels[m]).sum() / weight[m].sum()) if m.any() else self.prior
         self.bare_score = share(bare)
         order = np.argsort(votes[~bare], kind="stable")
