@@ -1,4 +1,4 @@
-"""`python -m veriloom.cli corpus|extract|run|gate|sweep CORPUS`: exit code 0, 1 for a breach, 2 for bad data or usage."""
+"""`python -m veriloom.cli corpus|extract|run|gate|sweep|import CORPUS`: exit code 0, 1 for a breach, 2 for bad data or usage."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from veriloom.functions import columns as C
 from veriloom.operators import gate, scoring
 from veriloom.operators.extract import EXTRACTORS, Extractor, Replay
 from veriloom.plans.run import artifact, inspect, run_corpus
-from veriloom.sources import corpus, runs
+from veriloom.sources import corpus, imports, runs, writers
 
 OK, BREACH, USAGE = 0, 1, 2
 
@@ -35,6 +35,20 @@ def taxonomy_lines(fields: DataFrame) -> DataFrame:
     return scoring.taxonomy(fields).orderBy("ordinal").select(F.format_string("%-20s %4d  %6s  %s", "outcome", n, C.percent(F.col("share")), C.bar(n, total)).alias("line"))
 
 
+def import_split(spark: SparkSession, source: str, root: str, fields: dict[str, str], limit: int | None) -> int:
+    """A data set's split as a corpus: rows and expectations zipped by position."""
+    if not fields or any(i not in schemas.ITEMS for i in fields.values()):
+        raise corpus.CorpusError("--field KEY=ITEM says which key is which line item")
+    cells = F.split("line", "\t", -1)
+    rows = imports.read_xz(spark, f"{source}/in.tsv.xz").where(F.trim("line") != "")
+    rows = imports.positioned(rows.drop("path"), "position").select("position", *(F.get(cells, i).alias(c) for i, c in enumerate(imports.COLUMNS)))
+    expected = imports.positioned(spark.read.text(f"{source}/expected.tsv", wholetext=False).select(F.monotonically_increasing_id().alias("_k"), F.col("value").alias("expected")), "_k").drop("_k")
+    pairs = imports.zip_by_position(rows, expected)
+    if limit is not None:
+        pairs = pairs.where(F.col("position") < limit)
+    return writers.save_corpus(imports.import_rows(pairs, fields), root)
+
+
 def show(frame: DataFrame, *columns: str) -> None:
     for row in frame.toLocalIterator():
         print("  ".join(str(row[c]) for c in columns or frame.columns))
@@ -42,7 +56,7 @@ def show(frame: DataFrame, *columns: str) -> None:
 
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> int:
     parser = argparse.ArgumentParser(prog="veriloom")
-    parser.add_argument("verb", choices=("corpus", "extract", "run", "gate", "sweep"))
+    parser.add_argument("verb", choices=("corpus", "extract", "run", "gate", "sweep", "import"))
     parser.add_argument("corpus")
     parser.add_argument("--extractor", default="heuristic")
     parser.add_argument("--transcripts")
@@ -50,6 +64,9 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     parser.add_argument("--no-verify", action="store_true")
     parser.add_argument("--thresholds")
     parser.add_argument("--save")
+    parser.add_argument("--source", help="import: a folder with in.tsv.xz and expected.tsv of a split")
+    parser.add_argument("--limit", type=int, help="import: the first so many rows only")
+    parser.add_argument("--field", action="append", default=[], metavar="KEY=ITEM", help="import: which key is which line item")
     try:
         args = parser.parse_args(argv)
     except SystemExit as e:
@@ -59,6 +76,9 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         if args.verb == "corpus":
             show(corpus.inventory(corpus.golden_records(spark, args.corpus)))
             return OK
+        if args.verb == "import":
+            print(import_split(spark, args.source or "", args.corpus, dict(f.split("=", 1) for f in args.field), args.limit), "documents")
+            return OK
         if args.verb == "sweep":
             failed = 0
             names = args.extractor.split(",")
