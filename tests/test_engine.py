@@ -176,6 +176,13 @@ def test_threshold_is_the_order_statistic(spark):
         selective.threshold(cal, 1.0)
 
 
+@pytest.mark.parametrize("buckets", [1, 3, 200])
+def test_documents_alternate(spark, buckets):
+    ids = sorted(f"doc {i * 37 % 1000:x}é" for i in range(0, 1000, 3))
+    df = spark.createDataFrame([(i,) for i in ids * 2], "doc_id string").repartition(5)
+    assert {r.doc_id: r.half for r in selective.split_documents(df, buckets).collect()} == {d: n % 2 for n, d in enumerate(ids)}
+
+
 def test_curve_and_area(spark):
     rows = selective.risk_coverage(items(spark, [(0.9, True), (0.9, False), (0.5, True), (0.1, False)])).orderBy("coverage").collect()
     assert [(r.coverage, r.risk) for r in rows] == [(0.5, 0.5), (0.75, pytest.approx(1 / 3)), (1.0, 0.5)]

@@ -19,74 +19,103 @@ def scored_items(fields: DataFrame) -> DataFrame:
     return fields.where(F.col("actual").isNotNull()).select("doc_id", "confidence", (F.col("outcome") == "correct").alias("correct"))
 
 
-def split_documents(documents: DataFrame) -> DataFrame:
+def split_documents(documents: DataFrame, buckets: int = 200) -> DataFrame:
     """(doc_id, half): every other document, in order of id, calibrates (0) or tests (1).
 
-    Positions come from counts per range partition and ranks within it, so the sort is not in one task.
+    Positions are ranks within ranges of ids plus what lies in the ranges before, so the sort is not in one task. The ranges'
+    edges come from a sample of some 20 ids each; which edges they are changes how even the tasks are, not the result.
     """
-    ids = documents.select("doc_id").distinct().repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    numbered = ids.select("doc_id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("k"))
-    first = numbered.groupBy("part").agg(F.count("*").alias("n"), F.min("k").alias("first"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = first.select("part", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    return numbered.join(F.broadcast(offsets), "part").select("doc_id", ((F.col("k") - F.col("first") + F.col("offset")) % 2).cast("int").alias("half"))
+    ids = documents.select("doc_id").where("doc_id is not null").distinct()
+    step = max(1, ids.count() // (20 * buckets))
+    sample = sorted(r["doc_id"] for r in ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).collect())
+    edges = F.array(*map(F.lit, sample[19::20])) if len(sample) > 19 else None
+    bucket = F.lit(0) if edges is None else F.size(F.filter(edges, lambda e: e <= F.col("doc_id")))
+    ranged = ids.withColumn("bucket", bucket)
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("bucket").agg(F.count("*").alias("n")).select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    ranked = ranged.withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy("doc_id")) - 1)
+    return ranked.join(F.broadcast(offsets), "bucket").select("doc_id", ((F.col("k") + F.col("offset")) % 2).cast("int").alias("half"))
 
 
-def _by_confidence(items: DataFrame) -> DataFrame:
-    return items.groupBy("confidence").agg(F.count("*").alias("n"), F.count_if(~F.col("correct")).alias("wrong"))
+def _by_confidence(items: DataFrame, *by: str) -> DataFrame:
+    """Items and wrong ones per confidence: all that the operators below need of them."""
+    return items.groupBy(*by, "confidence").agg(F.count("*").alias("n"), F.count_if(~F.col("correct")).alias("wrong"))
 
 
-def risk_coverage(items: DataFrame) -> DataFrame:
-    """(confidence, n_answered, coverage, risk) for each distinct confidence, answering it and everything above."""
+def _share(a: str, b: str):
+    return F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
+
+
+def _curve(counts: DataFrame) -> DataFrame:
     down = Window.orderBy(F.desc("confidence")).rowsBetween(Window.unboundedPreceding, 0)
-    summed = _by_confidence(items).select("confidence", F.sum("n").over(down).alias("n_answered"), F.sum("wrong").over(down).alias("errors"))
-    total = items.agg(F.count("*").alias("total"))
+    all_ = Window.orderBy(F.desc("confidence")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     answered = F.col("n_answered").cast("double")
-    return summed.crossJoin(F.broadcast(total)).select("confidence", "n_answered", (answered / F.col("total")).alias("coverage"), (F.col("errors") / answered).alias("risk"))
+    summed = counts.select("confidence", F.sum("n").over(down).alias("n_answered"), F.sum("wrong").over(down).alias("errors"), F.sum("n").over(all_).alias("total"))
+    return summed.select("confidence", "n_answered", (answered / F.col("total")).alias("coverage"), (F.col("errors") / answered).alias("risk"))
 
 
-def aurc(items: DataFrame) -> DataFrame:
-    """The area under the curve by trapezoids; 0 for fewer than two points."""
+def _area(counts: DataFrame) -> DataFrame:
     up = Window.orderBy("coverage")
-    steps = risk_coverage(items).select("coverage", "risk", F.lag("coverage").over(up).alias("c"), F.lag("risk").over(up).alias("r"))
+    steps = _curve(counts).select("coverage", "risk", F.lag("coverage").over(up).alias("c"), F.lag("risk").over(up).alias("r"))
     return steps.agg(F.coalesce(F.sum((F.col("coverage") - F.col("c")) * (F.col("risk") + F.col("r")) / 2), F.lit(0.0)).alias("aurc"))
 
 
-def threshold(calibration: DataFrame, alpha: float = 0.1) -> DataFrame:
-    """(n_correct, k, threshold): 1 minus the k-th smallest of 1 - confidence over correct items, k = ceil((n+1)(1-alpha)).
-
-    The k-th value comes from running counts over distinct confidences.
-    """
+def _threshold(counts: DataFrame, alpha: float) -> DataFrame:
     if not 0.0 < alpha < 1.0:
         raise ValueError(f"alpha must lie between 0 and 1, not {alpha!r}")
-    scores = calibration.where("correct").groupBy((F.lit(1.0) - F.col("confidence")).alias("score")).agg(F.count("*").alias("m"))
+    scores = counts.where("n > wrong").groupBy((F.lit(1.0) - F.col("confidence")).alias("score")).agg(F.sum(F.col("n") - F.col("wrong")).alias("m"))
     reached = scores.withColumn("upto", F.sum("m").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, 0)))
     n = scores.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("n_correct")).withColumn("k", F.ceil((F.col("n_correct") + 1) * (F.lit(1.0) - F.lit(alpha))).cast("bigint"))
     at = n.join(reached, F.col("upto") >= F.col("k"), "left").groupBy("n_correct", "k").agg(F.min("score").alias("score"))
     return at.select("n_correct", "k", F.coalesce(F.lit(1.0) - F.col("score"), F.lit(IMPOSSIBLE)).alias("threshold"))
 
 
+def _evaluate(counts: DataFrame, cut: DataFrame, alpha: float) -> DataFrame:
+    above = F.col("confidence") >= F.col("threshold")
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0))
+    summed = cut.select("threshold").join(counts, F.lit(True), "left").groupBy("threshold").agg(
+        total(F.col("n")).alias("n_total"), total(F.when(above, F.col("n"))).alias("n_answered"), total(F.when(above, F.col("wrong"))).alias("errors"))
+    rated = summed.withColumns({"coverage": _share("n_answered", "n_total"), "error_on_answered": _share("errors", "n_answered")})
+    return rated.withColumn("guarantee_held", F.col("error_on_answered") <= alpha)
+
+
+def risk_coverage(items: DataFrame) -> DataFrame:
+    """(confidence, n_answered, coverage, risk) for each distinct confidence, answering it and everything above."""
+    return _curve(_by_confidence(items))
+
+
+def aurc(items: DataFrame) -> DataFrame:
+    """The area under the curve by trapezoids; 0 for fewer than two points."""
+    return _area(_by_confidence(items))
+
+
+def threshold(calibration: DataFrame, alpha: float = 0.1) -> DataFrame:
+    """(n_correct, k, threshold): 1 minus the k-th smallest of 1 - confidence over correct items, k = ceil((n+1)(1-alpha)).
+
+    The k-th value comes from running counts over distinct confidences.
+    """
+    return _threshold(_by_confidence(calibration), alpha)
+
+
 def evaluate(test: DataFrame, cut: DataFrame, alpha: float = 0.1) -> DataFrame:
     """(n_total, n_answered, coverage, error_on_answered, guarantee_held) at the one threshold of `cut`; zeros when empty."""
-    marked = cut.select("threshold").join(test.withColumn("_own", F.lit(1)), F.lit(True), "left")
-    counted = marked.groupBy("threshold").agg(
-        F.count("_own").alias("n_total"), F.count_if(F.col("confidence") >= F.col("threshold")).alias("n_answered"),
-        F.count_if((F.col("confidence") >= F.col("threshold")) & ~F.col("correct")).alias("errors"))
-    share = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
-    return counted.withColumns({"coverage": share("n_answered", "n_total"), "error_on_answered": share("errors", "n_answered")}).withColumn("guarantee_held", F.col("error_on_answered") <= alpha)
+    return _evaluate(_by_confidence(test), cut, alpha)
 
 
 def summarise(fields: DataFrame, alpha: float = 0.1) -> DataFrame:
-    """One row: sizes, threshold, operating point on the test half, area and baseline error over all items."""
-    items = scored_items(fields)
-    halves = items.join(split_documents(fields), "doc_id")
-    cut = threshold(halves.where("half = 0"), alpha)
-    point = evaluate(halves.where("half = 1"), cut, alpha).select("coverage", "error_on_answered", "guarantee_held", F.col("n_total").alias("n_test"))
-    base = items.agg(
-        F.count("*").alias("n_items"), F.coalesce(F.try_divide(F.count_if(~F.col("correct")).cast("double"), F.count("*").cast("double")), F.lit(0.0)).alias("baseline_error"),
-        F.count_distinct("confidence").alias("n_distinct_confidences"))
-    one = halves.agg(F.count_if(F.col("half") == 0).alias("n_calibration"))
-    joined = base.crossJoin(one).crossJoin(cut.select(F.col("n_correct").alias("n_calibration_correct"), "threshold")).crossJoin(point).crossJoin(aurc(items))
+    """One row: sizes, threshold, operating point on the test half, area and baseline error over all items.
+
+    Items are read once, into counts per half and confidence; the rest is over those.
+    """
+    counts = _by_confidence(scored_items(fields).join(split_documents(fields), "doc_id"), "half")
+    whole = counts.groupBy("confidence").agg(F.sum("n").alias("n"), F.sum("wrong").alias("wrong"))
+    cut = _threshold(counts.where("half = 0"), alpha)
+    point = _evaluate(counts.where("half = 1"), cut, alpha).select("coverage", "error_on_answered", "guarantee_held", F.col("n_total").alias("n_test"))
+    base = counts.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_items"), F.coalesce(F.sum("wrong"), F.lit(0)).alias("n_wrong"), F.count_distinct("confidence").alias("n_distinct_confidences"),
+        F.coalesce(F.sum(F.when(F.col("half") == 0, F.col("n"))), F.lit(0)).alias("n_calibration"))
+    base = base.withColumn("baseline_error", _share("n_wrong", "n_items")).drop("n_wrong")
+    joined = base.crossJoin(cut.select(F.col("n_correct").alias("n_calibration_correct"), "threshold")).crossJoin(point).crossJoin(_area(whole))
     return joined.withColumns({"threshold_supported": F.col("threshold") < IMPOSSIBLE, "aurc_is_informative": F.col("n_distinct_confidences") >= 4, "alpha": F.lit(alpha)})
 
 

@@ -30,13 +30,13 @@ class Run:
 def score_run(golden: DataFrame, documents: DataFrame, extractor: Extractor, check: bool = True, alpha: float = 0.1, run_id: str | None = None, skipped: DataFrame | None = None) -> Run:
     """`golden` is (doc_id, name, expected, ambiguous), `documents` (doc_id, pages). Labels without a document take no part.
 
-    Claims are persisted: the extractor, the only dear step, runs once for everything that reads them.
+    Claims and scored fields are persisted: the extractor, the dear step, runs once for all that reads them.
     """
     run_id = run_id or f"{datetime.now(timezone.utc):%Y%m%dT%H%M%SZ}-{extractor.name}"
     here = golden.join(documents.select("doc_id"), "doc_id", "left_semi")
     claims = extractor.claims(documents)
     claims = (verify(claims, documents) if check else unverified(claims)).persist()
-    fields = scoring.score_fields(here, claims)
+    fields = scoring.score_fields(here, claims).persist()
     report = scoring.report(fields)
     first = scoring.first_claims(claims).select("doc_id", "name", (F.col("value") * F.col("unit_scale")).alias("value"), "grounded")
     truth = here.select("doc_id", "name", F.col("expected").alias("value"), F.lit(None).cast("boolean").alias("grounded"))
