@@ -21,8 +21,11 @@ def pareto(rows: DataFrame, *by: str) -> DataFrame:
 
 
 def near_best(rows: DataFrame, share: float = 0.9, cost_share: float = 0.5) -> DataFrame:
-    """Rows that reach `share` of the best accuracy at `cost_share` of its cost: label, best, accuracy_share, cost_share."""
-    top = rows.where("accuracy is not null").agg(F.max_by(F.struct("label", "accuracy", "cost"), F.struct("accuracy", F.negative(F.hash("label")))).alias("top"))
+    """Rows that reach `share` of the best accuracy at `cost_share` of its cost: label, best, accuracy_share, cost_share.
+
+    Of equally accurate rows the one with the smallest label is the best.
+    """
+    top = rows.where("accuracy is not null").orderBy(F.desc("accuracy"), "label").limit(1).select(F.struct("label", "accuracy", "cost").alias("top"))
     pairs = rows.crossJoin(F.broadcast(top)).where((F.col("label") != F.col("top.label")) & (F.col("cost") != 0) & (F.col("top.cost") != 0))
     shares = pairs.select("label", F.col("top.label").alias("best"), F.coalesce(F.try_divide("accuracy", "top.accuracy"), F.lit(0.0)).alias("accuracy_share"), (F.col("cost") / F.col("top.cost")).alias("cost_share"))
     return shares.where((F.col("accuracy_share") >= share) & (F.col("cost_share") <= cost_share))
