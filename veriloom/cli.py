@@ -1,4 +1,4 @@
-"""`python -m veriloom.cli corpus|extract|run|gate|sweep|import CORPUS`: exit code 0, 1 for a breach, 2 for bad data or usage."""
+"""`python -m veriloom.cli corpus|extract|run|gate|sweep|import|serve CORPUS`: exit code 0, 1 for a breach, 2 for bad data or usage."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriloom import schemas
+from veriloom import schemas, web
 from veriloom.functions import columns as C
 from veriloom.operators import gate, scoring
 from veriloom.operators.extract import EXTRACTORS, Extractor, Replay
@@ -56,7 +56,7 @@ def show(frame: DataFrame, *columns: str) -> None:
 
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> int:
     parser = argparse.ArgumentParser(prog="veriloom")
-    parser.add_argument("verb", choices=("corpus", "extract", "run", "gate", "sweep", "import"))
+    parser.add_argument("verb", choices=("corpus", "extract", "run", "gate", "sweep", "import", "serve"))
     parser.add_argument("corpus")
     parser.add_argument("--extractor", default="heuristic")
     parser.add_argument("--transcripts")
@@ -64,6 +64,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     parser.add_argument("--no-verify", action="store_true")
     parser.add_argument("--thresholds")
     parser.add_argument("--save")
+    parser.add_argument("--port", type=int, default=8756)
     parser.add_argument("--source", help="import: a folder with in.tsv.xz and expected.tsv of a split")
     parser.add_argument("--limit", type=int, help="import: the first so many rows only")
     parser.add_argument("--field", action="append", default=[], metavar="KEY=ITEM", help="import: which key is which line item")
@@ -79,6 +80,8 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         if args.verb == "import":
             print(import_split(spark, args.source or "", args.corpus, dict(f.split("=", 1) for f in args.field), args.limit), "documents")
             return OK
+        if args.verb == "serve":
+            web.server(web.App(spark, args.corpus, args.save or f"{args.corpus}/runs", args.extractor, args.alpha), port=args.port).serve_forever()
         if args.verb == "sweep":
             failed = 0
             names = args.extractor.split(",")
