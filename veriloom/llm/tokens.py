@@ -27,7 +27,7 @@ class WordTokens:
     `most` bounds the pieces kept (some 200 bytes each); when full they are dropped and gathered anew.
     """
 
-    def __init__(self, path: str, kind: str, most: int = 1_200_000):
+    def __init__(self, path: str, kind: str, most: int = 800_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
