@@ -443,6 +443,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
 
     of_class = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("class", F.coalesce("label", "rep").alias("component_id"))
     own_class = prints.select(F.col("id").alias("doc_id"), "class", "n_shingles")
-    return own_class.join(of_class, "class", "left").select(
+    # a join key of its own gives both sides an exchange of their own, whose large partitions Spark may split
+    key = F.xxhash64("class").alias("key")
+    return own_class.select("*", key).join(of_class.select("*", key), ["class", "key"], "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
         F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"))
