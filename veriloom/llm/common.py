@@ -60,6 +60,18 @@ def publish(system, path: str, write) -> None:
     system.move(own, path)
 
 
+_resident: dict[object, object] = {}
+
+
+def resident(name, make=dict):
+    """What a worker keeps between tasks under a name. A worker keeps one operator's at a time: the last one's memory goes
+    when another operator comes."""
+    if name not in _resident:
+        _resident.clear()
+        _resident[name] = make()
+    return _resident[name]
+
+
 def slices(batches: Iterable, most_rows: int = 512, most_chars: int = 8_000_000, text: str = "text") -> Iterator:
     """Record batches cut so that each holds few rows and few bytes of `text` (one row at least)."""
     import pyarrow.compute as pc

@@ -24,7 +24,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.common import slices, through_table
+from veriloom.llm.common import resident, slices, through_table
 
 SYMBOLS, CHUNKS, FARTHEST = 128, 16, 46
 WIDTH = SYMBOLS // CHUNKS
@@ -46,9 +46,6 @@ class _WordHashes(dict):
         return h
 
 
-_words = _WordHashes()
-
-
 @lru_cache(1)
 def _permutations():
     import numpy as np
@@ -79,7 +76,7 @@ def shingle_set(words: list[bytes], k: int):
 
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(resident("word hashes", _WordHashes).__getitem__, words), np.uint64, len(words))
     k = min(k, len(words))
     n = len(h) - k + 1
     x = np.full(n, k, np.uint64)
@@ -416,9 +413,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     Documents are linked when their sets of distinct `shingle_words`-word shingles have at least `percent` hundredths of
     their union in common; component_id is the smallest id that links reach, kept says that it is the row's own. Words are
     what white space `[\\x20\\x09-\\x0D]` leaves, A-Z in lower case. Texts with fewer words are one shingle; null, empty and
-    blank texts have none and are linked with nothing. Rows that
-    repeat an id are one document with several texts: it is linked by any of them, and all its rows have its component. A null id has a null
-    component and is linked with nothing. Other columns are left out, so their names can't clash.
+    blank texts have none and are linked with nothing. Rows that repeat an id are one document with several texts: it is
+    linked by any of them, and all its rows have its component. A null id has a null component and is linked with nothing.
+    Other columns are left out, so their names can't clash.
     """
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     prints = through_table(own.mapInArrow(_prints(shingle_words), "id bigint, class binary, n_shingles bigint, sig binary"), "prints")

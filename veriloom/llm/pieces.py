@@ -20,7 +20,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.common import slices
+from veriloom.llm.common import resident, slices
 
 MARK = "▁"
 _WORDS = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
@@ -192,14 +192,9 @@ class Pieces:
         return text.removeprefix(" ")
 
 
-_models: dict[str, Pieces] = {}
-
-
 def pieces(model_file: str) -> Pieces:
     """This worker's pieces of the file; kept between tasks."""
-    if model_file not in _models:
-        _models[model_file] = Pieces(model_file)
-    return _models[model_file]
+    return resident(("pieces", model_file), lambda: Pieces(model_file))
 
 
 _COLUMNS = ["n_tokens", "n_byte_tokens", "ids_crc32", "decoded_sha256", "round_trip"]

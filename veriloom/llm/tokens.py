@@ -5,6 +5,8 @@ from __future__ import annotations
 import struct
 from itertools import chain
 
+from veriloom.llm.common import resident
+
 #: White space other than single spaces and line feeds: texts with any go to the library whole.
 _ODD = "  |^ | $|^\\n|\\n$|\\n\\n| \\n|\\n |[\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
@@ -137,11 +139,6 @@ class WordTokens:
         return [flat[a:b] for a, b in zip(bounds, bounds[1:])]
 
 
-_tokens: dict[tuple[str, str], WordTokens] = {}
-
-
 def word_tokens(path: str, kind: str) -> WordTokens:
     """This worker's tokens of the file; kept between tasks."""
-    if (path, kind) not in _tokens:
-        _tokens[path, kind] = WordTokens(path, kind)
-    return _tokens[path, kind]
+    return resident(("tokens", path, kind), lambda: WordTokens(path, kind))

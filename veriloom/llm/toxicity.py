@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.common import slices, through_table
+from veriloom.llm.common import resident, slices, through_table
 
 #: Bounds of the fit: examples of each label in the sample, and terms kept.
 MOST_EXAMPLES, MOST_TERMS = 3000, 4096
@@ -216,6 +216,7 @@ def _document_counts(vocabulary: list[str]):
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
+        resident("toxicity")  # so that no other operator's memory stays
         find, counts, n = Finder(vocabulary), Counter(), 0
         for batch in slices(batches):
             for text in batch.column("text").to_pylist():
