@@ -66,3 +66,27 @@ def test_candidates_that_are_no_members_are_passed_over():
         assert got[0] == len(junk) and len(got) == len(set(got))
         whole = [at for at, _, _ in warc.records_in(file, 0, file.size(), step)]
         assert set(whole) <= set(got)
+
+
+def test_urls_of_any_length_come_back(spark, tmp_path):
+    rng = random.Random(5)
+    long = lambda n: "data:," + "".join(rng.choice("abcdefghijklmnop0123456789é") for _ in range(n))
+    rows = [(i, long(n), f"page {i}") for i, n in enumerate([5, 65_400, 65_536, 70_000, 1_000_000])]
+    folder = f"file://{tmp_path}/warc"
+    written = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), folder)
+    for split in (50_000, 4 << 20):
+        got = warc.all_records(warc.read_archives(spark, folder, split), written).select("page_id", "target_uri").collect()
+        assert sorted(map(tuple, got)) == [(i, u) for i, u, _ in rows]
+    for step in (16, 65_536):
+        file = File(warc.record(1, rows[3][1], b"x", None) + warc.record(2, "v", b"y", None))
+        assert [fields["warc-page-id"] for _, fields, _ in warc.records_in(file, 0, file.size(), step)] == ["1", "2"]
+
+
+def test_a_lost_record_is_an_error(spark, pages, tmp_path):
+    rows, df = pages
+    folder = f"file://{tmp_path}/warc"
+    written = warc.write_archives(df, folder)
+    read = warc.read_archives(spark, folder)
+    assert warc.all_records(read, written).count() == len(rows)
+    with pytest.raises(ValueError):
+        warc.all_records(read.where("page_id <> 7 OR page_id IS NULL"), written)

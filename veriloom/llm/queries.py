@@ -32,8 +32,9 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "warc")
-    warc.write_archives(table(spark, sf_dir, "pages"), folder)
-    return warc.read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    written = warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.all_records(warc.read_archives(spark, folder).select(*names, "file"), written).select(*names)
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import io
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -21,7 +20,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriloom.llm.common import open_folder, publish, slices
+from veriloom.llm.common import open_folder, publish, slices, through_table
 
 MAGIC = b"\x1f\x8b\x08"
 _VERSION = b"WARC/1.1\r\n"
@@ -135,30 +134,31 @@ def _headers(raw: bytes) -> tuple[dict[str, str], int] | None:
 
 def _member(window: _Window) -> tuple[dict[str, str], bytes, int] | None:
     """The record whose member starts where the window does: headers, block, size of the member; None if there is none."""
-    unpack, out, used = zlib.decompressobj(31), io.BytesIO(), 0
-    parsed = None
+    unpack, out, used = zlib.decompressobj(31), bytearray(), 0
+    parsed, sought = None, 0
     while not unpack.eof:
         if not window.reach(used + 1):
             return None
         part = window.held[used : used + window.step]
         try:
-            out.write(unpack.decompress(part))
+            out += unpack.decompress(part)
         except zlib.error:
             return None
         used += len(part)
         if parsed is None:
-            start = out.getvalue()[:65_536]
-            if not b"WARC/".startswith(start[:5]):
-                return None
-            parsed = _headers(start)
-            if parsed is None and len(start) == 65_536:
+            if not b"WARC/".startswith(out[:5]):
                 return None
+            # a header has any length; what was sought in is not sought in again
+            if (end := out.find(b"\r\n\r\n", sought)) >= 0:
+                parsed = _headers(bytes(out[: end + 4]))
+                if parsed is None:
+                    return None
+            sought = max(0, len(out) - 3)
     used -= len(unpack.unused_data)
-    parsed = parsed or _headers(out.getvalue())
     if parsed is None:
         return None
     fields, start = parsed
-    block = out.getvalue()[start : start + int(fields["content-length"])]
+    block = bytes(memoryview(out)[start : start + int(fields["content-length"])])
     return (fields, block, used) if len(block) == int(fields["content-length"]) else None
 
 
@@ -225,3 +225,16 @@ def read_archives(spark: SparkSession, folder: str, split_bytes: int = 4 << 20)
     n = sum(-(-size // split_bytes) for _, size in files)
     dealt = ranges.withColumn("end", F.col("start") + split_bytes).repartition(max(1, n))
     return dealt.mapInArrow(_read(folder), RECORD)
+
+
+def all_records(records: DataFrame, written: DataFrame) -> DataFrame:
+    """`records`, of `read_archives`, if every archive gave as many of them as `write_archives` says that it holds.
+
+    The records are read once, through a table in the shared folder. A count that differs is an error.
+    """
+    records = through_table(records, "warc-records")
+    want = {r["file"]: r["n"] for r in written.where("n > 0").collect()}  # a row per file
+    got = {r["file"]: r["n"] for r in records.groupBy("file").agg(F.count("*").alias("n")).collect()}
+    if wrong := sorted(f for f in want.keys() | got.keys() if want.get(f) != got.get(f)):
+        raise ValueError(f"{len(wrong)} archives gave other counts of records than were written, {wrong[0]}: {got.get(wrong[0], 0)} of {want.get(wrong[0], 0)}")
+    return records
