@@ -77,6 +77,19 @@ def test_guess_costs_rank_secrets():
     assert max(map(secret_scan.guess_bits, cheap)) < 36 <= min(map(secret_scan.guess_bits, dear))
 
 
+@pytest.mark.parametrize("context", [
+    "password: ", "passwd=", "pass: ", "pwd := ", "pwd => '", "pwd == ", "passphrase=", "key=", "KEY: ", "bearer ", "Bearer: ", "Authorization: Bearer ", "Authorization: Basic ", "secret_key = ", "encryption_key: ",
+    "ENCRYPTION-KEY=", "encryptionKey: ", "dbPass=", "\"key\": \"", "mypassword: ", "key: token: ", "key: pwd = ", "api_keys\t=\t", "credentials: ", "auth=", "ſecret pwd=", "Bearer\n",
+])
+def test_values_of_every_context_are_guessed(context):
+    text = f"é {context}kX9#vT2!qLm. end"
+    assert [text[a:b] for k, a, b in secret_scan.find_secrets(text) if k == "guess"] == ["kX9#vT2!qLm"]
+
+
+def test_many_contexts_in_one_value_take_no_long_time():
+    assert len(secret_scan.find_secrets("key=" * 30_000 + " " + "key: " * 30_000)) <= 1
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "a password=abcdef12 b", 20, "s"), (2, None, None, "s"), (3, "clean", 99, "s")], "doc_id long, text string, n_chars long, source string")
     got = {r.doc_id: (r.text, r.n_chars) for r in secret_scan.without_secrets(df).collect()}

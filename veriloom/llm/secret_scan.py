@@ -5,8 +5,9 @@ Patterns are leftmost and non-overlapping within a kind; matches that are too sh
 * `assign`: a credential word, `:` or `=`, and a value of 6 or more of `[A-Za-z0-9+/_.=-]`; letters of the word in any case.
 * `access`: `AKIA[A-Z0-9]+` of 20 or more characters. * `hex`: `[0-9a-f]+` of 24 or more.
 
-The method adds `guess` spans: values behind a wider set of credential words (pass, pwd, passphrase, key, bearer, ...), of
-any characters but white space and quotes, whose guess cost is at least `min_bits`. The cost of a value is the least, over
+The method adds `guess` spans: values behind a wider set of credential words (pass, pwd, passphrase, key, bearer, ..., also at
+the end of a longer name as in `encryption_key`), of any characters but white space, quotes and angle brackets, whose guess
+cost is at least `min_bits`. Between them is `:`, `=`, `:=`, `=>` or `==`; white space is enough after `bearer`. The cost of a value is the least, over
 all ways to cut it into spans, of the bits it takes to guess every span: a word of a list, in whatever letter case and with
 digits for letters; a date; a repeat of a shorter unit; a walk over neighbouring keys or an alphabetic or numeric sequence;
 or brute force. So `P@ssword2024` is cheap and no secret, `kX9#vT2!qLm` costs what its characters cost. Values that a pattern
@@ -31,9 +32,16 @@ KINDS = ("assign", "access", "hex", "guess")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
+#: Words that other words end in (compass, monkey) count behind no letter, or as a part of their own in camelCase.
 _CONTEXT = re.compile(
-    r"""(?:password|passwd|passphrase|passcode|pwd|pass|secret|token|credential|auth|api[_-]?key|access[_-]?key|private[_-]?key|bearer)s?["']?\x20*[:=]\x20*["'`]?([^\s"'`<>]+)""",
-    re.ASCII | re.IGNORECASE)
+    r"""(?:(?ai:password|passwd|passphrase|passcode|secret|token|credential|(?:api|access|private|secret|encryption|signing)[_-]?key)
+    |(?:(?<![^\W\d_])|(?<=[a-z])(?=[A-Z]))(?ai:pwd|pass|auth(?:orization)?|key|bearer))(?ai:s?)
+    (?:["'`]?[\x20\t]*(?::=|=>|==?|:)[\x20\t]*(?:(?ai:bearer|basic|token)[\x20\t]+)?|(?<=(?ai:bearer))(?a:\s+))["'`]?(?a:([^\s"'`<>]+))""",
+    re.VERBOSE)
+#: Every match holds one of these in lower case.
+_STEMS = ("pass", "pwd", "secret", "token", "credential", "auth", "key", "bearer")
+#: No context word is longer, with its separator.
+_LONGEST_CONTEXT = 24
 
 #: Common words of passwords and of placeholders, most frequent first.
 WORDS = (
@@ -121,10 +129,17 @@ def find_secrets(text: str | None, min_bits: float = 36.0) -> list[tuple[str, in
     found = [("assign", m.start(), m.end()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
     found += [("access", m.start(), m.end()) for m in _ACCESS.finditer(text)]
     found += [("hex", m.start(), m.end()) for m in _HEX.finditer(text)]
-    for m in _CONTEXT.finditer(text):
+    low = text.lower()
+    at = 0 if any(x in low for x in _STEMS) else len(text)
+    while m := _CONTEXT.search(text, at):
         start, end = m.span(1)
-        if not any(a <= start and end <= b for _, a, b in found) and guess_bits(m[1].rstrip(".,;:)")) >= min_bits:
+        at = end
+        if any(a <= start and end <= b for _, a, b in found):
+            continue
+        if guess_bits(m[1].rstrip(".,;:)")) >= min_bits:
             found.append(("guess", start, start + len(m[1].rstrip(".,;:)"))))
+        else:
+            at = max(start, end - _LONGEST_CONTEXT)  # the value may itself be the context of another
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
