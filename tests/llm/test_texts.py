@@ -86,6 +86,21 @@ def test_values_of_every_context_are_guessed(context):
     assert [text[a:b] for k, a, b in secret_scan.find_secrets(text) if k == "guess"] == ["kX9#vT2!qLm"]
 
 
+@pytest.mark.parametrize("text", [
+    "Compass: northwest", "credentials: available", "Compass: kX9#vT2!qLm", "monkey: kX9#vT2!qLm", "key: Administration", "the bearer congratulations", "secret: extraordinary", "Token: internationally", "pass: verfügbar",
+    "key: disponible", "password: erforderlich", "credential: unavailable.", "auth: authentication", "api_key: documentation",
+])
+def test_ordinary_words_are_no_guesses(text):
+    assert not [x for x in secret_scan.find_secrets(text) if x[0] == "guess"]
+
+
+def test_random_values_stay_dear():
+    rng = random.Random(6)
+    for alphabet in ("abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "0123456789abcdef"):
+        values = ["".join(rng.choice(alphabet) for _ in range(16)) for _ in range(300)]
+        assert sum(secret_scan.guess_bits(v) >= 36 for v in values) >= 298
+
+
 def test_many_contexts_in_one_value_take_no_long_time():
     assert len(secret_scan.find_secrets("key=" * 30_000 + " " + "key: " * 30_000)) <= 1
 

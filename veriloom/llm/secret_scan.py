@@ -16,7 +16,9 @@ found already get no second span.
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import json
 import math
 import re
 from collections.abc import Iterable, Iterator
@@ -43,7 +45,7 @@ _STEMS = ("pass", "pwd", "secret", "token", "credential", "auth", "key", "bearer
 #: No context word is longer, with its separator.
 _LONGEST_CONTEXT = 24
 
-#: Common words of passwords and of placeholders, most frequent first.
+#: Common words of passwords and of placeholders, most frequent first; the words of `_ranked` come behind them.
 WORDS = (
     "password", "admin", "user", "test", "example", "secret", "token", "login", "welcome", "changeme", "default", "master",
     "root", "guest", "letmein", "dragon", "monkey", "shadow", "sunshine", "princess", "football", "baseball", "iloveyou",
@@ -51,8 +53,6 @@ WORDS = (
     "sample", "placeholder", "insert", "hidden", "redacted", "summer", "winter", "spring", "autumn", "hello", "world",
     "love", "star", "king", "queen", "server", "database", "public", "private", "config", "string", "value", "name",
 )
-_RANK = {w: math.log2(i + 2) for i, w in enumerate(WORDS)}
-_LONGEST = max(map(len, WORDS))
 _PLAIN = str.maketrans("013457@$!|", "oieastasil")
 _ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz", "0123456789")
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d", re.ASCII)
@@ -61,6 +61,30 @@ _SPAN_BITS = 1.0
 _LONGEST_UNIT = 32
 
 
+@lru_cache(1)
+def _ranked() -> tuple[dict[str, float], int]:
+    """Bits of each word by its rank, and the longest word's length.
+
+    `WORDS` come first, then words and parts of words of 3 or more letters in the order in which three public vocabularies
+    learnt them from large corpora, most frequent first.
+    """
+    import public_tokenizers
+
+    ranks = {w: i for i, w in enumerate(WORDS)}
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        lists = [[w.removesuffix("</w>") for w, _ in sorted(json.load(file)["model"]["vocab"].items(), key=lambda x: x[1])]]
+    for name in ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"):
+        with open(public_tokenizers.path(name), "rb") as file:
+            lists.append([base64.b64decode(line.split()[0]).decode("utf-8", "replace").strip() for line in file])
+    for words in lists:
+        rank = len(WORDS)
+        for word in dict.fromkeys(w.lower() for w in words):
+            if len(word) >= 3 and word.isalpha():
+                ranks[word] = min(ranks.get(word, rank), rank)
+                rank += 1
+    return {w: math.log2(i + 2) for w, i in ranks.items()}, max(map(len, ranks))
+
+
 @lru_cache(1)
 def _neighbours() -> frozenset[tuple[str, str]]:
     """Pairs of keys or characters that follow one another, either way."""
@@ -81,9 +105,10 @@ def _spans(value: str) -> Iterator[tuple[int, int, float]]:
     low = value.lower()
     low = low if len(low) == len(value) else value
     plain = low.translate(_PLAIN)
+    ranked, longest = _ranked()
     for start in range(len(value)):
-        for end in range(start + 3, min(len(value), start + _LONGEST) + 1):
-            if (bits := _RANK.get(plain[start:end])) is not None:
+        for end in range(start + 3, min(len(value), start + longest) + 1):
+            if (bits := ranked.get(plain[start:end])) is not None:
                 upper = sum(c.isupper() for c in value[start:end])
                 swapped = sum(a != b for a, b in zip(low[start:end], plain[start:end]))
                 yield start, end, bits + (upper > 0) * 1.0 + math.log2(math.comb(end - start, min(upper, 2))) * (1 < upper < end - start) + swapped
