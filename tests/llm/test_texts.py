@@ -213,6 +213,18 @@ def test_toxicity_on_held_out_rows(spark):
     assert 10_003 in kept and 10_002 not in kept
 
 
+def test_labels_without_documents_take_no_places(spark, monkeypatch):
+    rows, labels = labelled(300)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame(labels + [(i, i % 2) for i in range(1000, 6000)], "doc_id long, toxic int")
+    train = [(i, y) for i, y in labels if not toxicity.held_out(i)]
+    monkeypatch.setattr(toxicity, "MOST_EXAMPLES", 30)
+    examples, prior = toxicity._sample(df, lab, "toxic")
+    got = [(r.doc_id, r.y) for r in examples.collect()]
+    assert [sum(y == k for _, y in got) for k in (0, 1)] == [30, 30] and set(got) <= set(train)
+    assert prior == pytest.approx(sum(y for _, y in train) / len(train))
+
+
 def test_toxicity_without_evidence(spark):
     df = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")

@@ -170,10 +170,12 @@ class Index:
 
 def _sample(docs: DataFrame, labels: DataFrame, label: str) -> tuple[DataFrame, float]:
     """(doc_id, text, y) of at most MOST_EXAMPLES training rows of each label, those with the least hash of their id, and the
-    share of label 1 among all training rows."""
+    share of label 1 among all training rows. Ids without a document are no training rows."""
     learn = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
     # an id with rows of both labels counts as label 1
-    learn = learn.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y")).withColumn("h", F.xxhash64("doc_id"))
+    learn = learn.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
+    ids = docs.where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    learn = through_table(learn.join(ids, "doc_id", "left_semi").withColumn("h", F.xxhash64("doc_id")), "training-ids")
     ones, zeros = (learn.where(F.col("y") == y).orderBy("h", "doc_id").limit(MOST_EXAMPLES) for y in (1, 0))
     chosen = F.broadcast(ones.union(zeros).select("doc_id", "y"))  # 2 * MOST_EXAMPLES rows at most
     prior = learn.agg(F.avg("y")).first()[0] or 0.0
