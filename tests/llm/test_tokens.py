@@ -29,6 +29,19 @@ def test_ids_are_the_library_s(texts, path, kind):
         assert got == want
 
 
+@pytest.mark.parametrize(("path", "kind"), [(BYTE, "byte"), (WORD, "word")])
+def test_ids_are_those_of_a_tokenizer_loaded_afresh(texts, path, kind):
+    from tokenizers import Tokenizer
+
+    texts = [*texts, "a <|endoftext|> b", "<|startoftext|>a<|endoftext|>", "x\n<|endoftext|>\ny"]
+    fresh = Tokenizer.from_file(path)
+    special = {i: x.content for i, x in fresh.get_added_tokens_decoder().items()}
+    fresh.encode_special_tokens = True  # as the README says: such a string in a text is plain text
+    want = [x.ids for x in fresh.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    got = [np.frombuffer(x, "<u4").tolist() for x in WordTokens(path, kind).encode(pa.array(texts, pa.string()))]
+    assert got == want and special and not any(special.keys() & set(x) for x in got)
+
+
 @pytest.mark.parametrize("mode", ["byte", "bit"])
 def test_planes_round_trip(mode):
     rng = np.random.default_rng(2)
