@@ -20,12 +20,13 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.common import resident, slices
+from veriloom.llm.common import Kept, resident, slices
 
 MARK = "▁"
 _WORDS = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 _ODD = f"  |^ | $| \\n|\\n |{MARK}"
-_MOST_KEPT = 800_000
+#: Bytes of words and their ids that a worker keeps.
+_MOST_BYTES = 160_000_000
 
 
 class DoubleArray:
@@ -112,7 +113,7 @@ class Pieces:
         words = [model.id_to_piece(i) for i in normal]
         if any(MARK in w.lstrip(MARK) or "\n" in w for w in words):
             raise ValueError("a piece has a marker or a line feed inside: words can't be segmented one by one")
-        self.kept: dict[str, bytes] = {}
+        self.kept = Kept(_MOST_BYTES)
 
     def segment(self, word: str) -> list[int]:
         """Ids of the best segmentation."""
@@ -151,12 +152,13 @@ class Pieces:
 
     def _of_words(self, words: list[str]) -> list[bytes]:
         out = list(map(self.kept.get, words))
-        for i, x in enumerate(out):
-            if x is None:
-                ids = self.segment(words[i])
-                out[i] = self.kept[words[i]] = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self.kept) > _MOST_KEPT:
-            self.kept.clear()
+        if missing := [i for i, x in enumerate(out) if x is None]:
+            new = list(dict.fromkeys(words[i] for i in missing))
+            segments = map(self.segment, new)
+            found = dict(zip(new, [struct.pack(f"<{len(ids)}I", *ids) for ids in segments]))
+            self.kept.add(new, list(found.values()))
+            for i in missing:
+                out[i] = found[words[i]]
         return out
 
     def encode(self, text: str | None) -> bytes:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import struct
 from itertools import chain
 
-from veriloom.llm.common import resident
+from veriloom.llm.common import Kept, resident
 
 #: White space other than single spaces and line feeds: texts with any go to the library whole.
 _ODD = "  |^ | $|^\\n|\\n$|\\n\\n| \\n|\\n |[\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
@@ -26,16 +26,15 @@ class WordTokens:
     * `byte`: a token takes at most one leading space and none spans from a letter into a space. A text is cut before
       single spaces and around single line feeds; texts with any other white space go to the library whole.
 
-    `most` bounds the pieces kept (some 200 bytes each); when full they are dropped and gathered anew.
+    `most_bytes` bounds the memory of the pieces kept, however long they are; when full they are dropped and gathered anew.
     """
 
-    def __init__(self, path: str, kind: str, most: int = 800_000):
+    def __init__(self, path: str, kind: str, most_bytes: int = 160_000_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # a text's "<|...|>" is plain text
-        self.kind, self.most = kind, most
-        self.kept: dict[str, bytes] = {}
+        self.kind, self.kept = kind, Kept(most_bytes)
         #: What parts new pieces in one text for the library: a token of its own, of one id, that no piece has.
         self.mark, self.between = ("\x01", " \x01 ") if kind == "word" else ("\n", "\n")
         self.ends = dict(zip(".,", self.whole([".", ","])))
@@ -97,9 +96,7 @@ class WordTokens:
             # in `byte` texts a piece has a leading space unless it is a line feed or comes marked with a carriage return
             plain = new if self.kind == "word" else [x[1:] if x[0] == "\r" else x if x == "\n" else " " + x for x in new]
             found = self._new(plain)
-            if len(self.kept) + len(new) > self.most:
-                self.kept.clear()
-            self.kept.update(zip(new, found))
+            self.kept.add(new, found)
             for i, x in zip(missing, found):
                 ids[i] = x
         return ids

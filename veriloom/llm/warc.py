@@ -92,13 +92,16 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES
 
     The payload is html in UTF-8, a null is empty. Of records with equal payloads of at least `least_bytes`, the row with the
     largest page_id is the response and the others revisit it; smaller payloads are responses all. Which page stays is found
-    by a combining aggregate on digest and length, so a third of the pages may share a payload. Rows that repeat the
+    by a combining aggregate on digest and length, and pages join its result by a key of their own, whose large partitions
+    Spark may split, so a third of the pages may share a payload. Rows that repeat the
     response's id are responses too. A null page_id is written and, unless all of its group are null, is a revisit.
     """
     payload = F.coalesce("html", F.lit("")).cast("binary")
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(payload).alias("key"), F.octet_length(payload).alias("size"))
     newest = keyed.where(F.col("size") >= least_bytes).groupBy("key", "size").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    linked = keyed.join(newest, ["key", "size"], "left")
+    # a join key of its own gives both sides an exchange of their own, whose large partitions Spark may split
+    place = F.xxhash64("key", "size").alias("place")
+    linked = keyed.select("*", place).join(newest.select("*", place), ["key", "size", "place"], "left")
     refers = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     system, root = open_folder(folder)
     system.create_dir(root, recursive=True)
@@ -110,7 +113,7 @@ class _Window:
     """Bytes of a file from a moving start, read in steps."""
 
     def __init__(self, file, at: int, step: int):
-        self.file, self.at, self.step, self.held, self.size = file, at, step, b"", file.size()
+        self.file, self.at, self.step, self.held, self.size = file, at, step, bytearray(), file.size()
 
     def reach(self, n: int) -> bool:
         """Hold at least n bytes from `at` on, if the file has them."""
@@ -119,7 +122,8 @@ class _Window:
         return len(self.held) >= n
 
     def skip(self, n: int) -> None:
-        self.held, self.at = self.held[n:], self.at + n
+        del self.held[:n]
+        self.at += n
 
 
 def _headers(raw: bytes) -> tuple[dict[str, str], int] | None:
@@ -139,7 +143,7 @@ def _member(window: _Window) -> tuple[dict[str, str], bytes, int] | None:
     while not unpack.eof:
         if not window.reach(used + 1):
             return None
-        part = window.held[used : used + window.step]
+        part = bytes(window.held[used : used + window.step])
         try:
             out += unpack.decompress(part)
         except zlib.error:
