@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+import pytest
+
 from veriloom.llm import exact_dedup
 
 SPACE = re.compile("[\x20\x09-\x0d]")
@@ -41,9 +43,25 @@ def test_a_third_of_all_rows_in_one_group(spark):
 
 
 def test_without_copies_keeps_one_row_and_all_columns(spark):
-    df = spark.createDataFrame([(d, t, "x", 1) for d, t in ROWS], "doc_id long, text string, digest string, n_chars int")
-    kept = exact_dedup.without_copies(df.drop("digest"))
-    assert kept.columns == ["doc_id", "text", "n_chars"]
-    groups = {SPACE.sub("", t or "") for _, t in ROWS}
+    schema = "doc_id long, text string, digest string, `check` int, best string, Place int, `a.b` string, tags array<string>, m map<string, int>"
+    df = spark.createDataFrame([(d, t, "x", 1, "y", 2, "z", ["q"], {"k": 1}) for d, t in ROWS], schema).repartition(5)
+    kept = exact_dedup.without_copies(df)
+    assert kept.schema == df.schema
     rows = kept.collect()
-    assert len(rows) == len(groups) and {SPACE.sub("", r.text or "") for r in rows} == groups
+    best = {}
+    for d, t in ROWS:
+        bare = SPACE.sub("", t or "")
+        best[bare] = min(best.get(bare, (0, True, 0)), (-len(t or ""), d is None, d or 0))
+    assert sorted((-len(r.text or ""), r.doc_id is None, r.doc_id or 0) for r in rows) == sorted(best.values()) and {r["a.b"] for r in rows} == {"z"}
+    assert exact_dedup.without_copies(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_rows_that_repeat_an_id(spark, parts):
+    """The longest of an id's own rows stays, however the rows lie; equal ones are told apart by their other columns."""
+    rows = [(1, "ab", 1), (1, "a  b", 2), (1, "a b", 3), (2, "ab", 4), (3, "x", 9), (3, "x", 8), (3, "x", 8)]
+    found = set()
+    for turn in (rows, rows[::-1]):
+        df = spark.createDataFrame(turn, "doc_id long, text string, n int").repartition(parts)
+        found.add(tuple(sorted(tuple(r) for r in exact_dedup.without_copies(df).collect())))
+    assert len(found) == 1 and next(iter(found))[0] == (1, "a  b", 2) and len(next(iter(found))) == 2
