@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from veriloom.llm import pieces, secret_scan, toxicity
@@ -219,10 +220,15 @@ def test_labels_without_documents_take_no_places(spark, monkeypatch):
     lab = spark.createDataFrame(labels + [(i, i % 2) for i in range(1000, 6000)], "doc_id long, toxic int")
     train = [(i, y) for i, y in labels if not toxicity.held_out(i)]
     monkeypatch.setattr(toxicity, "MOST_EXAMPLES", 30)
-    examples, prior = toxicity._sample(df, lab, "toxic")
-    got = [(r.doc_id, r.y) for r in examples.collect()]
-    assert [sum(y == k for _, y in got) for k in (0, 1)] == [30, 30] and set(got) <= set(train)
-    assert prior == pytest.approx(sum(y for _, y in train) / len(train))
+    # a hot id with many texts, and a hot text with many ids, stay within the bound
+    hot = spark.createDataFrame([(train[0][0], f"other {i}") for i in range(200)] + [(20_000 + i, "same") for i in range(200)], "doc_id long, text string")
+    more = spark.createDataFrame([(20_000 + i, 0) for i in range(200)], "doc_id long, toxic int")
+    for docs, known in ((df, lab), (df.union(hot), lab.union(more))):
+        examples, prior = toxicity._sample(docs, known, "toxic")
+        got = examples.collect()
+        assert [sum(r.y == k for r in got) for k in (0, 1)] == [30, 30] and len({r.content for r in got}) == 60
+        if docs is df:
+            assert {(r.doc_id, r.y) for r in got} <= set(train) and prior == pytest.approx(sum(y for _, y in train) / len(train))
 
 
 def test_toxicity_without_evidence(spark):
@@ -232,20 +238,69 @@ def test_toxicity_without_evidence(spark):
     assert toxicity.toxicity(df.limit(0), none).count() == 0
 
 
-def test_neighbours_are_exact():
-    rng = random.Random(2)
-    terms = 40
-    vectors = [toxicity.unit_vector({t: rng.randrange(1, 4) for t in rng.sample(range(terms), rng.choice([0, 1, 3, 8]))}, np.linspace(1, 5, terms)) for _ in range(1500)]
-    index = toxicity.Index([f"t{i}" for i in range(terms)], np.linspace(1, 5, terms), [i % 2 for i in range(1500)], vectors, list(range(1500)), 0.5)
-    for _ in range(60):
-        q = toxicity.unit_vector({t: 1 for t in rng.sample(range(terms), rng.choice([1, 2, 5]))}, np.linspace(1, 5, terms))
-        scored = sorted(((-round(sum(w * v.get(t, 0.0) for t, w in q.items()), 9), i, n) for n, (i, v) in enumerate(zip(index.ids, index.vectors)) if q.keys() & v.keys()))[:15]
-        assert [(i, s) for s, i, _ in scored] == [(index.ids[n], -round(c, 9)) for c, n in index.nearest(q)]
-
-
-def test_finder_agrees_with_terms():
-    vocabulary = ["idiot", "~idio", "été", "~clown", "a"]
-    find = toxicity.Finder(vocabulary)
-    for text in ("Idiot idiots xidiot idiot_ IDIOT2 été étés a aa clown clowns clowning", "", None, "İdiot idiot"):
-        want = {n: c for n, c in toxicity.terms(text).items() if n in vocabulary}
-        assert {vocabulary[i]: c for i, c in find(text).items()} == want
+def test_no_row_votes_on_itself(spark):
+    """Of equal texts, with whatever label, all score alike, and a text's score is the same with its own label turned."""
+    rows, labels = labelled(400)
+    copies = [(1000 + i, t) for i, t in rows[:40]]
+    df = spark.createDataFrame(rows + copies, "doc_id long, text string")
+    scores = []
+    for turn in (False, True):
+        lab = spark.createDataFrame([(i, 1 - y if turn and i == 2 else y) for i, y in labels], "doc_id long, toxic int")
+        got = {r.doc_id: r for r in toxicity.toxicity(df, lab).collect()}
+        assert all(got[i].score == got[1000 + i].score and got[i].evidence == got[1000 + i].evidence and i not in got[i].evidence for i in range(40))
+        scores.append(got[2].predicted)
+    assert scores == [0, 0] and not toxicity.held_out(2)
+
+
+def brute_neighbours(texts, examples, weight, names, k=15):
+    """All cosines of all terms, one by one."""
+
+    def vector(text):
+        raw = {t: (1 + math.log(n)) * weight[names[t]] for t, n in toxicity.terms(text).items() if t in names}
+        length = math.sqrt(sum(x * x for x in raw.values()))
+        return {t: x / length for t, x in raw.items()}
+
+    own = [vector(t) for t in examples]
+    out = []
+    for text in texts:
+        v = vector(text)
+        scored = ((-round(sum(x * e.get(t, 0.0) for t, x in v.items()), 9), i) for i, e in enumerate(own) if examples[i] != text and v.keys() & e.keys())
+        out.append(sorted(scored)[:k])
+    return out
+
+
+@pytest.mark.parametrize("block", [4, 32, 256])
+def test_neighbours_are_exact_over_all_terms(monkeypatch, block):
+    monkeypatch.setattr(toxicity, "BLOCK", block)
+    rng = random.Random(block)
+    words = ["".join(rng.choice("abcdeé") for _ in range(rng.choice([1, 2, 5, 8]))) for _ in range(400)]
+    text = lambda n: " ".join(rng.choices(words, k=n)) + rng.choice(["", ".", " 12", " the the"])
+    examples = sorted({text(rng.choice([1, 3, 20, 200])) for _ in range(300)} | {"", "77"}, key=toxicity.content_digest)
+    names: dict = {}
+    owner, term, count = [], [], []
+    for i, t in enumerate(examples):
+        for name, n in toxicity.terms(t).items():
+            owner.append(i), term.append(names.setdefault(name, len(names))), count.append(n)
+    weight = np.array([rng.uniform(1, 9) for _ in names])
+    index = toxicity.Index(list(names), weight, [toxicity.content_digest(t) for t in examples], np.arange(len(examples)), np.zeros(len(examples)), 0.1, np.array(owner), np.array(term), np.array(count))
+    texts = [text(rng.choice([0, 1, 4, 50])) for _ in range(60)] + examples[:20] + ["", "unheard"]
+    cosines, found = index.nearest(len(texts), *toxicity.TermNumbers(list(names))(pa.array(texts)), [toxicity.content_digest(t) for t in texts])
+    got = [[(-round(c, 9), i) for c, i in zip(cs, es) if i >= 0] for cs, es in zip(cosines.tolist(), found.tolist())]
+    for mine, want in zip(got, brute_neighbours(texts, examples, weight, names)):
+        assert [c for c, _ in mine] == pytest.approx([c for c, _ in want], abs=2e-9)
+        assert all(a == b or abs(x - y) < 3e-9 for (x, a), (y, b) in zip(mine, want))
+
+
+def test_term_numbers_agree_with_terms():
+    vocabulary = ["idiot", "~idio", "été", "~clown", "a", "~clow"]
+    texts = ["Idiot idiots xidiot idiot_ IDIOT2 été étés a aa clown clowns clowning cloWned", "", None, "1 2", "a" * 100_000 + " a"]
+    text, term, count = toxicity.TermNumbers(vocabulary)(pa.array(texts, pa.string()))
+    for i, t in enumerate(texts):
+        want = {n: c for n, c in toxicity.terms(t).items() if n in vocabulary}
+        assert {vocabulary[k]: c for x, k, c in zip(text.tolist(), term.tolist(), count.tolist()) if x == i} == want
+
+
+def test_the_curve_rises():
+    curve = toxicity.fit_curve(np.array([0.1, 0.1, 0.2, 0.5, 0.6, 0.9]), np.array([0, 0, 1, 0, 1, 1]), 0.5)
+    scores = curve.scores(np.array([0.0, 0.1, 0.2, 0.5, 0.6, 1.0, np.nan]))
+    assert (np.diff(scores[:-1]) >= 0).all() and scores[0] == 0 and scores[5] == 1 and scores[6] == 0.5

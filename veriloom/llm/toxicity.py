@@ -1,318 +1,441 @@
 """Toxicity from the nearest labelled examples, by exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and their beginnings of 4 to 6 characters (which meet inflected forms). Training keeps the terms that
-speak for the label, so that a neighbour is near for its evidence and not for its filler. The index holds a bounded sample of
-labelled examples, `MOST_EXAMPLES`, which any session can hold and ship; document frequencies are of all documents.
-
-An index holds examples in the order of their heaviest term and is cut into blocks; per term and block it keeps the largest
-weight. A document's terms give
-every block a bound on its cosines; blocks are scored in descending order of it until no bound can better the k-th cosine.
-The k nearest vote with their cosine as weight, and an isotonic curve, fitted on each example's vote without itself, turns
-the vote into a calibrated score. Documents without any kept term have no neighbours; they get the rate of such examples.
+Terms are words and their beginnings of 4 to 6 characters (which meet inflected forms); every term of every example is in the
+index. Only the labelled rows are bounded: the index holds up to `MOST_EXAMPLES` distinct texts of each label, those with the
+least digests, so that a session can hold and ship it; it grows with those texts' terms and with nothing else. Document
+frequencies are counted over all documents.
+
+A term's weight is tf times idf times how much it tells about the label: the root of 1 plus its log-likelihood ratio in the
+sample beyond what the best of as many useless terms would reach by chance. For all but a few terms that is 1. Without that
+factor (plain TF-IDF) neighbours are near for their filler, and half of the toxic documents are missed.
+
+Examples lie in blocks, in the order of their heaviest terms; per term and block the index keeps the largest weight. A
+document's terms give every block a bound on its cosines; blocks are scored in descending order of it, until no bound can
+better the k-th cosine. The k nearest vote with their cosine as weight, and an isotonic curve, fitted on the votes on each
+example without itself, turns the vote into a calibrated score. An example that has the very text of a document never votes on
+it, so that a score is a function of the text and never of the row's own label; ties go by the digest of the text, not by id.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
-import re
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.common import resident, slices, through_table
+from veriloom.llm.common import discard, place_of, positional, resident, slices, through_table
 
-#: Bounds of the fit: examples of each label in the sample, and terms kept.
-MOST_EXAMPLES, MOST_TERMS = 3000, 4096
-NEIGHBOURS, BLOCK = 15, 512
-_WORD = re.compile(r"[^\W\d_]+")
+#: Bound of the fit: distinct texts of each label in the sample.
+MOST_EXAMPLES = 1500
+NEIGHBOURS, BLOCK = 15, 256
+#: Terms in so large a share of the examples have their weights in a matrix, the others in lists.
+_COMMON = 1 / 8
+_MOST_WORDS, _LONGEST_WORD = 300_000, 64
+#: Cosines count to so many parts of 1, so that sums in another order are the same.
+_PARTS = 10**9
+
+
+def words_of(texts):
+    """The words of each text of an Arrow array: runs of letters, in lower case (with an empty one at either end)."""
+    import pyarrow.compute as pc
+
+    return pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"\PL+")
+
+
+def terms_of(word: str) -> Iterator[str]:
+    """A word, and its beginnings of 4 to 6 characters (marked `~`) if it is longer."""
+    yield word
+    for k in range(4, min(6, len(word) - 1) + 1):
+        yield "~" + word[:k]
 
 
 def terms(text: str | None) -> Counter:
-    """Words of letters in lower case, and beginnings of 4 to 6 characters (marked `~`) of longer ones, with their counts."""
+    """The terms of a text with their counts."""
+    import pyarrow as pa
+
     found: Counter = Counter()
-    for word, n in Counter(_WORD.findall((text or "").lower())).items():
-        found[word] += n
-        for k in range(4, min(6, len(word) - 1) + 1):
-            found["~" + word[:k]] += n
+    for word, n in Counter(words_of(pa.array([text], pa.string()))[0].as_py()).items():
+        if word:
+            for term in terms_of(word):
+                found[term] += n
     return found
 
 
+def content_digest(text: str | None) -> str:
+    return hashlib.sha256((text or "").encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 == 0
 
 
-class Finder:
-    """Counts the terms of a vocabulary in texts, by one automaton; `terms` restricted to it."""
-
-    def __init__(self, vocabulary: list[str]):
-        import ahocorasick
-
-        self.automaton = ahocorasick.Automaton()
-        ends: dict[str, list[tuple[int, bool]]] = {}
-        for i, name in enumerate(vocabulary):
-            ends.setdefault(name.lstrip("~"), []).append((i, name[0] == "~"))
-        for text, hits in ends.items():
-            self.automaton.add_word(text, (len(text), hits))
-        if vocabulary:
-            self.automaton.make_automaton()
-        self.empty = not vocabulary
-
-    def __call__(self, text: str | None) -> dict[int, int]:
-        found: dict[int, int] = {}
-        low = (text or "").lower()
-        if self.empty or not low:
-            return found
-        for end, (size, hits) in self.automaton.iter(low):
-            start = end - size + 1
-            if start and _WORD.match(low, start - 1, start):
-                continue
-            goes_on = _WORD.match(low, end + 1, end + 2) is not None
-            for i, beginning in hits:
-                if beginning == goes_on:
-                    found[i] = found.get(i, 0) + 1
-        return found
+def _spread(starts, sizes):
+    """All places of the ranges [start, start + size), one range after another."""
+    import numpy as np
 
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
 
-def unit_vector(found: dict[int, int], idf) -> dict[int, float]:
-    """Tf-idf weights of counted terms, of length 1."""
-    raw = {t: (1 + math.log(n)) * float(idf[t]) for t, n in sorted(found.items())}
-    length = math.sqrt(sum(w * w for w in raw.values()))
-    return {t: w / length for t, w in raw.items()} if length else {}
+
+class TermNumbers:
+    """Counts the terms of a vocabulary in texts. Words met lately are remembered."""
+
+    def __init__(self, names: list[str]):
+        self.number = {name: i for i, name in enumerate(names)}
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def of_word(self, word: str) -> tuple[int, ...]:
+        found = tuple(i for term in terms_of(word) if (i := self.number.get(term)) is not None)
+        if len(word) <= _LONGEST_WORD:
+            if len(self.known) >= _MOST_WORDS:
+                self.known.clear()
+            self.known[word] = found
+        return found
+
+    def __call__(self, texts):
+        """(text, term, count), by text and term, of an Arrow array of texts."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        lists = words_of(texts)
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        of = [self.of_word(w) if x is None else x for w, x in zip(words, map(self.known.get, words))]
+        sizes = np.fromiter(map(len, of), np.int64, len(of))
+        pool, starts = np.fromiter(chain.from_iterable(of), np.int64, int(sizes.sum())), np.cumsum(sizes) - sizes
+        text = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        width, height = max(len(of), 1), max(len(self.number), 1)
+        pair, times = np.unique(text * width + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        text, word = pair // width, pair % width
+        key = np.repeat(text, sizes[word]) * height + pool[_spread(starts[word], sizes[word])]
+        times = np.repeat(times, sizes[word])
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+        counts = np.add.reduceat(times[order], first) if len(first) else first
+        return key[first] // height, key[first] % height, counts
 
 
 @dataclass
 class Index:
-    """A fitted index; `nearest` finds exact neighbours, `score` turns their vote into a probability."""
+    """Examples and their weighted terms; `nearest` finds exact neighbours.
 
-    vocabulary: list[str]
-    idf: object
+    `owner`, `term` and `count` list, example by example, what terms each has and how often; examples come in the order of
+    `contents`, the digests of their texts.
+    """
+
+    names: list[str]
+    weight: object
+    contents: list[str]
+    ids: object
     labels: object
-    vectors: list[dict[int, float]]
-    ids: list[int]
     prior: float
+    owner: object = field(repr=False)
+    term: object = field(repr=False)
+    count: object = field(repr=False)
 
     def __post_init__(self):
         import numpy as np
 
-        order = sorted(range(len(self.ids)), key=lambda i: (max(self.vectors[i].items(), key=lambda x: (x[1], -x[0]), default=(-1, 0.0))[0], self.ids[i]))
-        self.ids, self.vectors, self.labels = [self.ids[i] for i in order], [self.vectors[i] for i in order], np.asarray(self.labels)[order]
-        n = len(self.vectors)
+        n, owner, term = len(self.contents), np.asarray(self.owner, np.int64), np.asarray(self.term, np.int64)
+        values = (1 + np.log(np.asarray(self.count, float))) * self.weight[term]
+        values /= np.sqrt(np.bincount(owner, values * values, n))[owner]
+        # blocks of examples with the same heaviest terms have the tightest bounds
+        heaviest = np.full(n, -1)
+        by_weight = np.lexsort((-term, values))
+        heaviest[owner[by_weight]] = term[by_weight]
+        place = np.empty(n, np.int64)
+        place[np.lexsort((np.arange(n), heaviest))] = np.arange(n)
         self.blocks = -(-n // BLOCK)
-        rows: list[list[int]] = [[] for _ in self.vocabulary]
-        weights: list[list[float]] = [[] for _ in self.vocabulary]
-        for i, vector in enumerate(self.vectors):
-            for t, w in vector.items():
-                rows[t].append(i)
-                weights[t].append(w)
-        self.rows = [np.array(x, np.int64) for x in rows]
-        self.weights = [np.array(x) for x in weights]
-        self.block_max = np.zeros((len(self.vocabulary), self.blocks))
-        for t, (r, w) in enumerate(zip(self.rows, self.weights)):
-            np.maximum.at(self.block_max[t], r // BLOCK, w)
-        self.starts = [np.searchsorted(r, np.arange(self.blocks + 1) * BLOCK) for r in self.rows]
-
-    def nearest(self, vector: dict[int, float], k: int = NEIGHBOURS, but: int = -1) -> list[tuple[float, int]]:
-        """The k best (cosine, example) of all examples with a common term, ties to the smaller id."""
+        self.example_at = np.append(np.argsort(place), np.arange(n, self.blocks * BLOCK))
+        self.place, self.radix = place, max(self.blocks * BLOCK, 1)
+        self.of_content = {c: i for i, c in enumerate(self.contents)}
+
+        size = np.bincount(term, minlength=len(self.names))
+        self.common = np.full(len(self.names), -1)
+        frequent = np.flatnonzero(size >= max(1, n * _COMMON))
+        self.common[frequent] = np.arange(len(frequent))
+        at, row = place[owner], self.common[term]
+        self.matrix = np.zeros((len(frequent), self.blocks * BLOCK))
+        self.matrix[row[row >= 0], at[row >= 0]] = values[row >= 0]
+        self.matrix_max = self.matrix.reshape(len(frequent), self.blocks, BLOCK).max(2) if self.blocks else self.matrix
+        # the lists: runs of one term in one block, where they start, how long they are, their largest weight
+        rare = row < 0
+        term, at, values = term[rare], at[rare], values[rare]
+        order = np.lexsort((at, term))
+        term, at, values = term[order], at[order], values[order]
+        block = at // BLOCK
+        first = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])))) if len(term) else np.zeros(0, np.int64)
+        self.at, self.values = (at % BLOCK).astype(np.int16), values
+        self.run_start, self.run_size = first, np.diff(np.append(first, len(term)))
+        self.run_block, self.run_max = block[first].astype(np.int16), np.maximum.reduceat(values, first) if len(first) else np.zeros(0)
+        self.runs_of = np.searchsorted(term[first], np.arange(len(self.names) + 1))
+        self.owner = self.term = self.count = None
+
+    def nearest(self, n: int, text, term, count, contents: list, k: int = NEIGHBOURS):
+        """(cosines, examples) of the k best examples of each of n texts, best first; of those with a common term and another
+        content, ties to the smaller digest. Places that no example takes have a cosine of 0."""
         import numpy as np
 
-        if not vector:
-            return []
-        ts = list(vector)
-        bounds = np.array([vector[t] for t in ts]) @ self.block_max[ts]
-        best: list[tuple[float, int]] = []
-        for block in np.argsort(-bounds, kind="stable"):
-            if bounds[block] <= 0 or len(best) == k and bounds[block] < best[-1][0] - 1e-8:
+        best = np.full((n, k), -1, np.int64)
+        weights = (1 + np.log(count)) * self.weight[term]
+        weights = weights / np.sqrt(np.bincount(text, weights * weights, n))[text]
+        row = self.common[term]
+        own = np.fromiter((self.place[i] if (i := self.of_content.get(c)) is not None else -1 for c in contents), np.int64, n)
+        dense = np.zeros((n, len(self.matrix)))
+        dense[text[row >= 0], row[row >= 0]] = weights[row >= 0]
+        rare = row < 0
+        starts, sizes = self.runs_of[term[rare]], self.runs_of[term[rare] + 1] - self.runs_of[term[rare]]
+        run, asker, weight = _spread(starts, sizes), np.repeat(text[rare], sizes), np.repeat(weights[rare], sizes)
+        order = np.argsort(self.run_block[run], kind="stable")
+        run, asker, weight = run[order], asker[order], weight[order]
+        edges = np.searchsorted(self.run_block[run], np.arange(self.blocks + 1))
+        bounds = np.bincount(asker * self.blocks + self.run_block[run], weight * self.run_max[run], n * self.blocks).reshape(n, self.blocks)
+        bounds = bounds + dense @ self.matrix_max + 1e-8
+        ranked, everyone = np.argsort(-bounds, axis=1, kind="stable"), np.arange(n)
+        for turn in range(self.blocks):
+            # each text's next block, unless its k-th cosine is beyond the bound
+            block = ranked[:, turn]
+            open_ = (bounds[everyone, block] > 2e-8) & (bounds[everyone, block] * _PARTS >= best.min(1) // self.radix)
+            if not open_.any():
                 break
-            scores = np.zeros(BLOCK)
-            for t in ts:
-                a, b = self.starts[t][block], self.starts[t][block + 1]
-                scores[self.rows[t][a:b] - block * BLOCK] += vector[t] * self.weights[t][a:b]
-            hits = [(float(scores[i]), int(block * BLOCK + i)) for i in np.flatnonzero(scores) if block * BLOCK + i != but]
-            best = sorted(best + hits, key=lambda x: (-round(x[0], 9), self.ids[x[1]], x[1]))[:k]
-        return best
-
-    def vote(self, near: list[tuple[float, int]]) -> float:
-        """Share of label 1 among the neighbours, weighted by cosine, with the prior as one far neighbour."""
-        total = 0.05 + sum(c for c, _ in near)
-        return (0.05 * self.prior + sum(c for c, i in near if self.labels[i])) / total
-
-    def calibrate(self) -> None:
-        """Isotonic regression of labels on votes, each example's taken without itself; with the sample's weights undone."""
+            for b in np.unique(block[open_]).tolist():
+                who = np.flatnonzero(open_ & (block == b))
+                here = np.full(n, -1)
+                here[who] = np.arange(len(who))
+                scores = dense[who] @ self.matrix[:, b * BLOCK : (b + 1) * BLOCK]
+                part = slice(edges[b], edges[b + 1])
+                mine = here[asker[part]]
+                runs, mine, heavy = run[part][mine >= 0], mine[mine >= 0], weight[part][mine >= 0]
+                length = self.run_size[runs]
+                postings = _spread(self.run_start[runs], length)
+                scores += np.bincount(np.repeat(mine * BLOCK, length) + self.at[postings], np.repeat(heavy, length) * self.values[postings], len(who) * BLOCK).reshape(-1, BLOCK)
+                parts = np.rint(scores * _PARTS).astype(np.int64)
+                keys = np.where(parts > 0, parts * self.radix + (self.radix - 1 - self.example_at[b * BLOCK : (b + 1) * BLOCK]), -1)
+                same = own[who] - b * BLOCK
+                within = (same >= 0) & (same < BLOCK)
+                keys[np.flatnonzero(within), same[within]] = -1
+                best[who] = np.partition(np.concatenate((best[who], keys), axis=1), -k, axis=1)[:, -k:]
+        best = -np.sort(-best, axis=1)
+        return np.where(best >= 0, best // self.radix / _PARTS, 0.0), np.where(best >= 0, self.radix - 1 - best % self.radix, -1)
+
+    def votes(self, cosines, examples):
+        """Share of label 1 among the neighbours, weighted by cosine, with the prior as one far neighbour; NaN without any."""
         import numpy as np
 
-        votes = np.array([self.vote(self.nearest(v, but=i)) for i, v in enumerate(self.vectors)])
-        bare = np.array([not v for v in self.vectors], bool)
-        ones = float(self.labels.mean()) if len(self.labels) else 0.0
-        weight = np.where(self.labels == 1, self.prior / max(ones, 1e-9), (1 - self.prior) / max(1 - ones, 1e-9))
-        share = lambda m: float((weight[m] * self.labels[m]).sum() / weight[m].sum()) if m.any() else self.prior
-        self.bare_score = share(bare)
-        order = np.argsort(votes[~bare], kind="stable")
-        pools: list[list[float]] = []  # [weighted labels, weight, least vote, largest vote]
-        for v, y, w in zip(votes[~bare][order], self.labels[~bare][order], weight[~bare][order]):
-            pools.append([y * w, w, v, v])
-            while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
-                last = pools.pop()
-                pools[-1] = [pools[-1][0] + last[0], pools[-1][1] + last[1], pools[-1][2], last[3]]
-        self.knots = [x for p in pools for x in ((p[2], p[3]) if p[2] < p[3] else (p[2],))]
-        self.heights = [p[0] / p[1] for p in pools for _ in range(2 if p[2] < p[3] else 1)]
+        total = cosines.sum(1)
+        ones = (cosines * (np.append(self.labels, 0)[examples] == 1)).sum(1)
+        return np.where(total > 0, (0.05 * self.prior + ones) / (0.05 + total), np.nan)
 
-    def score(self, near: list[tuple[float, int]]) -> float:
-        import numpy as np
-
-        if not near or not self.knots:
-            return self.bare_score
-        return float(np.clip(np.interp(self.vote(near), self.knots, self.heights), 0, 1))
 
+@dataclass
+class Curve:
+    """A score for a vote: a monotone curve through `knots`; texts without any neighbour get `bare`."""
 
-def _sample(docs: DataFrame, labels: DataFrame, label: str) -> tuple[DataFrame, float]:
-    """(doc_id, text, y) of at most MOST_EXAMPLES training rows of each label, those with the least hash of their id, and the
-    share of label 1 among all training rows. Ids without a document are no training rows."""
-    learn = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
-    # an id with rows of both labels counts as label 1
-    learn = learn.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
-    ids = docs.where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    learn = through_table(learn.join(ids, "doc_id", "left_semi").withColumn("h", F.xxhash64("doc_id")), "training-ids")
-    ones, zeros = (learn.where(F.col("y") == y).orderBy("h", "doc_id").limit(MOST_EXAMPLES) for y in (1, 0))
-    chosen = F.broadcast(ones.union(zeros).select("doc_id", "y"))  # 2 * MOST_EXAMPLES rows at most
-    prior = learn.agg(F.avg("y")).first()[0] or 0.0
-    return docs.join(chosen, "doc_id").select("doc_id", "text", "y"), prior
+    bare: float
+    knots: list[float]
+    heights: list[float]
 
+    def scores(self, votes):
+        import numpy as np
 
-def _term_names(batches: Iterable) -> Iterator:
-    import pyarrow as pa
+        if not self.knots:
+            return np.full(len(votes), self.bare)
+        return np.where(np.isnan(votes), self.bare, np.clip(np.interp(votes, self.knots, self.heights), 0, 1))
 
-    for batch in slices(batches):
-        names = [list(terms(t)) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(names, pa.list_(pa.string()))], ["y", "names"])
 
+def fit_curve(votes, labels, prior: float) -> Curve:
+    """Isotonic regression of labels on votes; the sample's weights of the labels are undone."""
+    import numpy as np
 
-def select_terms(examples: DataFrame) -> list[str]:
-    """Terms that speak for label 1, by log-likelihood ratio.
+    ones = float(labels.mean()) if len(labels) else 0.0
+    weight = np.where(labels == 1, prior / max(ones, 1e-9), (1 - prior) / max(1 - ones, 1e-9))
+    order = np.lexsort((labels, votes))
+    pools: list[list[float]] = []  # [weighted labels, weight, least vote, largest vote]
+    for v, y, w in zip(votes[order].tolist(), labels[order].tolist(), weight[order].tolist()):
+        if pools and pools[-1][3] == v:
+            pools[-1][0] += y * w
+            pools[-1][1] += w
+        else:
+            pools.append([y * w, w, v, v])
+        while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
+            last = pools.pop()
+            pools[-1] = [pools[-1][0] + last[0], pools[-1][1] + last[1], pools[-1][2], last[3]]
+    knots = [x for p in pools for x in ((p[2], p[3]) if p[2] < p[3] else (p[2],))]
+    heights = [p[0] / p[1] for p in pools for _ in range(2 if p[2] < p[3] else 1)]
+    return Curve(prior, knots, heights)
 
-    Kept are the best MOST_TERMS of those in 3 examples or more that are at least 3 times as common with label 1 as without,
-    and whose ratio is beyond what the best of as many useless terms would reach, 2 ln of their number.
-    """
-    size = examples.agg(F.count_if(F.col("y") == 0).alias("n"), F.count_if(F.col("y") == 1).alias("m")).first()
-    n, m = float(size["n"]), float(size["m"])
-    if not n or not m:
-        return []
-    counts = examples.mapInArrow(_term_names, "y int, names array<string>").select("y", F.explode("names").alias("name"))
-    counts = through_table(counts.groupBy("name").agg(F.count_if(F.col("y") == 0).alias("a"), F.count_if(F.col("y") == 1).alias("b")).where("a + b >= 3"), "terms")
-    rate = (F.col("a") + F.col("b")) / F.lit(n + m)
 
-    def part(x, total: float, share):
-        return F.when(x > 0, x * F.log(x / (F.lit(total) * share))).otherwise(F.lit(0.0))
+def _sample(docs: DataFrame, labels: DataFrame, label: str) -> tuple[DataFrame, float]:
+    """(content, doc_id, y, names, counts) of at most MOST_EXAMPLES distinct texts of each label, those with the least digest, and
+    the share of label 1 among all texts of training rows. Ids without a document are no training rows."""
+    learn = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
+    # an id, or a text, with rows of both labels counts as label 1
+    learn = learn.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("content", F.sha2("text", 256))
+    # a join key of its own gives both sides an exchange of their own, whose large partitions Spark may split
+    place = F.xxhash64("doc_id").alias("place")
+    taught = keyed.where("doc_id is not null").select("doc_id", "content").distinct().select("*", place).join(learn.select("*", place), ["doc_id", "place"])
+    training = through_table(taught.groupBy("content").agg(F.max("y").alias("y"), F.min("doc_id").alias("doc_id")), "training")
+    ones, zeros = (training.where(F.col("y") == y).orderBy("content").limit(MOST_EXAMPLES) for y in (1, 0))
+    chosen = through_table(ones.union(zeros), "chosen")  # 2 * MOST_EXAMPLES rows at most
+    prior = training.agg(F.avg("y")).first()[0] or 0.0
+    one_each = keyed.select("content", "text").join(F.broadcast(chosen), "content").dropDuplicates(["content"])
+    examples = through_table(one_each.select("content", "doc_id", "y", "text").mapInArrow(_counted, "content string, doc_id bigint, y int, names array<string>, counts array<int>"), "examples")
+    discard(training, chosen)
+    return examples, prior
+
+
+def _counted(batches: Iterable) -> Iterator:
+    import pyarrow as pa
 
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    ratio = 2 * (part(a, n, rate) + part(b, m, rate) + part(n - a, n, 1 - rate) + part(m - b, m, 1 - rate))
-    enough = 2 * math.log(max(counts.count(), 1))
-    best = counts.where(b / F.lit(m) >= 3 * a / F.lit(n)).select("name", F.round(ratio, 6).alias("ratio")).where(F.col("ratio") >= enough).orderBy(F.desc("ratio"), "name").limit(MOST_TERMS)
-    return [r["name"] for r in best.collect()]
+    for batch in slices(batches):
+        found = [terms(t) for t in batch.column("text").to_pylist()]
+        names, counts = pa.array([list(f) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("content", "doc_id", "y")), names, counts], ["content", "doc_id", "y", "names", "counts"])
 
 
-def _document_counts(vocabulary: list[str]):
+def _document_counts(shared, key: str):
     def run(batches: Iterable) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
-        resident("toxicity")  # so that no other operator's memory stays
-        find, counts, n = Finder(vocabulary), Counter(), 0
+        numbers = resident(("toxicity", key), lambda: TermNumbers(shared.value))
+        counts, n = np.zeros(len(numbers.number), np.int64), 0
         for batch in slices(batches):
-            for text in batch.column("text").to_pylist():
-                counts.update(find(text).keys())
-                n += 1
-        counts[-1] = n
-        yield pa.RecordBatch.from_pydict({"term": pa.array(list(counts), pa.int32()), "n": pa.array(list(counts.values()), pa.int64())})
+            counts += np.bincount(numbers(batch.column("text"))[1], minlength=len(counts))
+            n += batch.num_rows
+        met = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_pydict({"term": pa.array(np.append(met, -1), pa.int32()), "n": pa.array(np.append(counts[met], n), pa.int64())})
 
     return run
 
 
-def _found_terms(vocabulary: list[str]):
+def relevance(zeros, ones, n_zeros: int, n_ones: int):
+    """The factor of each term, from the numbers of examples of both labels that have it: 1 where that is what chance gives."""
+    import numpy as np
+
+    both, n = zeros + ones, max(n_zeros + n_ones, 1)
+    rate = both / n
+
+    def part(x, total, share):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(x > 0, x * np.log(x / (total * share)), 0.0)
+
+    ratio = 2 * (part(zeros, n_zeros, rate) + part(ones, n_ones, rate) + part(n_zeros - zeros, n_zeros, 1 - rate) + part(n_ones - ones, n_ones, 1 - rate))
+    return np.sqrt(1 + np.maximum(0.0, ratio - 2 * math.log(max(len(both), 1))))
+
+
+def _votes(shared, key: str):
     def run(batches: Iterable) -> Iterator:
+        import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        find = Finder(vocabulary)
-        for batch in slices(batches):
-            found = [find(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("y"), pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))], ["doc_id", "y", "terms", "counts"])
+        index, numbers = resident(("toxicity", key), lambda: (shared.value, TermNumbers(shared.value.names)))
+        for batch in batches:
+            names = batch.column("names").flatten().dictionary_encode()
+            number = np.fromiter(map(numbers.number.__getitem__, names.dictionary.to_pylist()), np.int64, len(names.dictionary))
+            text = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column("names")).to_numpy(zero_copy_only=False))
+            near = index.nearest(batch.num_rows, text, number[names.indices.to_numpy(zero_copy_only=False)], batch.column("counts").flatten().to_numpy(zero_copy_only=False), batch.column("content").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(index.votes(*near))], ["y", "vote"])
 
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Index:
-    """Fit on training rows of `labels`; document frequencies are of all of `docs` (doc_id, text)."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic"):
+    """(broadcast index, its key, curve), fitted on training rows of `labels`; document frequencies are of all of `docs` (doc_id, text)."""
     import numpy as np
 
-    rows, prior = _sample(docs, labels, label)
-    examples = through_table(rows, "examples")
-    vocabulary = select_terms(examples)
-    counted = docs.select("text").mapInArrow(_document_counts(vocabulary), "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-    seen = {r["term"]: r["n"] for r in counted.collect()}  # MOST_TERMS rows at most
-    idf = np.array([math.log((1 + seen.get(-1, 0)) / (1 + seen.get(t, 0))) + 1 for t in range(len(vocabulary))])
-    found = examples.mapInArrow(_found_terms(vocabulary), "doc_id bigint, y int, terms array<int>, counts array<int>")
-    own = sorted(found.collect(), key=lambda r: (r["doc_id"], r["y"], r["terms"], r["counts"]))
-    vectors = [unit_vector(dict(zip(r["terms"], r["counts"])), idf) for r in own]
-    index = Index(vocabulary, idf, np.array([r["y"] for r in own], np.int64), vectors, [r["doc_id"] for r in own], prior)
-    index.calibrate()
-    return index
+    examples, prior = _sample(docs, labels, label)
+    rows = examples.toArrow().combine_chunks().sort_by("content")  # 2 * MOST_EXAMPLES rows at most
+    sizes = np.array([len(x) for x in rows.column("counts")], np.int64)
+    y = rows.column("y").to_numpy().astype(np.int64)
+    flat = lambda c: rows.column(c).combine_chunks().flatten()
+    coded = flat("names").dictionary_encode()
+    names, term, owner = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)
+    context = docs.sparkSession.sparkContext
+    vocabulary = context.broadcast(names)  # the sample's terms
+    counted = docs.select("text").mapInArrow(_document_counts(vocabulary, uuid.uuid4().hex), "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    seen = np.zeros(len(names) + 1, np.int64)
+    seen[counted.column("term").to_numpy()] = counted.column("n").to_numpy()  # the last place, -1, is the number of documents
+    vocabulary.unpersist()
+    idf = np.log((1 + seen[-1]) / (1 + seen[:-1])) + 1
+    ones = np.bincount(term[y[owner] == 1], minlength=len(names)).astype(float)
+    zeros = np.bincount(term[y[owner] == 0], minlength=len(names)).astype(float)
+    factor = relevance(zeros, ones, int((y == 0).sum()), int((y == 1).sum()))
+    index = Index(names, idf * factor, rows.column("content").to_pylist(), rows.column("doc_id").to_numpy(), y, prior, owner, term, flat("counts").to_numpy())
+    index.telling = factor > 1
+    shared, key = context.broadcast(index), uuid.uuid4().hex
+    voted = examples.repartition(max(1, len(y) // 64)).mapInArrow(_votes(shared, key), "y int, vote double").where("not isnan(vote)").toArrow()
+    discard(examples)
+    return shared, key, fit_curve(voted.column("vote").to_numpy(), voted.column("y").to_numpy(), prior)
 
 
 SCORES = "held_out boolean, score double, predicted int, evidence array<bigint>, evidence_terms array<string>"
 
 
-def _score(shared, extra: list[str]):
+def _scored(shared, key: str, curve: Curve, texts):
+    """(scores, examples, (text, term)) of an Arrow array of texts."""
+    index, numbers = resident(("toxicity", key), lambda: (shared.value, TermNumbers(shared.value.names)))
+    text, term, count = numbers(texts)
+    cosines, examples = index.nearest(len(texts), text, term, count, [content_digest(t) for t in texts.to_pylist()])
+    return curve.scores(index.votes(cosines, examples)), examples, (text, term)
+
+
+def _score(shared, key: str, curve: Curve):
     def run(batches: Iterable) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
         index = shared.value
-        find = Finder(index.vocabulary)
         for batch in slices(batches):
-            rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                found = find(text)
-                near = index.nearest(unit_vector(found, index.idf))
-                score = index.score(near)
-                rows.append((held_out(doc_id), score, int(score >= 0.5), [index.ids[i] for _, i in near], [index.vocabulary[t] for t in sorted(found)]))
-            kinds = [pa.bool_(), pa.float64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.string())]
-            columns = [pa.array(x, k) for x, k in zip(zip(*rows), kinds)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in extra), *columns], [*extra, *(x.split()[0] for x in SCORES.split(", "))])
+            scores, examples, (text, term) = _scored(shared, key, curve, batch.column("text"))
+            n, told = batch.num_rows, index.telling[term]
+            evidence = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum((examples >= 0).sum(1)))).astype(np.int32), pa.array(index.ids[examples[examples >= 0]], pa.int64()))
+            ends = np.cumsum(np.bincount(text[told], minlength=n))
+            told_terms = pa.ListArray.from_arrays(np.concatenate(([0], ends)).astype(np.int32), pa.array([index.names[t] for t in term[told].tolist()], pa.string()))
+            out = pa.array([held_out(d) for d in batch.column("doc_id").to_pylist()], pa.bool_())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), out, pa.array(scores), pa.array(scores >= 0.5).cast(pa.int32()), evidence, told_terms], ["doc_id", *(x.split()[0] for x in SCORES.split(", "))])
 
     return run
 
 
-def score_documents(docs: DataFrame, index: Index) -> DataFrame:
-    """A row for each row of `docs`: doc_id, held_out, score, predicted, evidence (ids of its neighbours), evidence_terms."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by MOST_EXAMPLES and MOST_TERMS
-    return own.mapInArrow(_score(shared, ["doc_id"]), "doc_id bigint, " + SCORES)
-
-
-def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
-    """Fit on the labels of `docs` and score every whole text.
+def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Fit on the labels of `docs` and score every whole text: doc_id, held_out, score, predicted, evidence (ids of the
+    neighbours), evidence_terms (terms of the text that tell about the label).
 
     Rows of `labels` with a null id or a label other than 0 and 1 teach nothing; nor do rows whose crc32(id as text) mod 5 is
-    0, which are held out, nor ids that have no document. Null and empty texts have no neighbours and get the score of such
-    examples. Without any labels of one kind there are no terms, and every score is the share of label 1 in the training
-    rows. Repeated rows score alike; ties among neighbours go to the smaller id. Other columns are never read.
+    0, which are held out, nor ids that have no document. Rows with equal texts are one example, with label 1 if any has it.
+    Texts without a word, null and empty ones among them, or without a term of any example get the share of label 1 among the
+    training texts; so do all texts where no row teaches. Equal texts score alike; ties among neighbours go to the smaller
+    digest of their text. Texts of any length are read whole. Other columns are never read, so their names can't clash; an
+    empty table gives an empty result.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return score_documents(own, fit(own, labels, label))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return own.mapInArrow(_score(*fit(own, labels, label)), "doc_id bigint, " + SCORES)
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
-    """`docs` without the rows that are predicted to have the label, all columns as they were."""
-    index = docs.sparkSession.sparkContext.broadcast(fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, label))
+def without_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` without the rows whose score is 0.5 or more, all columns as they were, whatever their names.
+
+    Null and empty texts, ties, repeated rows, empty tables and rows without a label are judged as `toxicity` says.
+    """
+    rows, doc, text = positional(docs), place_of(docs, id_col), place_of(docs, text_col)
+    shared, key, curve = fit(rows.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")), labels, label)
 
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
-        find = Finder(index.value.vocabulary)
-        for batch in slices(batches):
-            keep = [index.value.score(index.value.nearest(unit_vector(find(t), index.value.idf))) < 0.5 for t in batch.column("text").to_pylist()]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+        for batch in slices(batches, text=text):
+            scores, _, _ = _scored(shared, key, curve, batch.column(text))
+            yield batch.filter(pa.array(scores < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
