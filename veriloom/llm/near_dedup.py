@@ -5,11 +5,11 @@
 2. Pigeonhole: a signature is split into 16 chunks of 8 symbols. Two signatures at a distance of at most 31 symbols agree in
    some chunk but for one symbol, so each chunk is entered 8 times, once with each symbol left out (the allowed chunk
    errors). All such pairs share a key. At a similarity of 0.8 the expected distance is 26; pairs that lie further apart
-   share a key just as often as chance has it, which misses 1.4 pairs in 100,000 at 0.8 exactly and fewer above.
+   share a key just as often as chance has it, which misses 1.3 pairs in 100,000 at 0.8 exactly and fewer above.
 3. `edges`: a key's documents are linked as a star, first within a task, then over all: what has a key in common is one
    tree of as many edges as members, however large. A task's window forwards a key once.
 4. Pairs of a document and a hub within a signature distance of 46 (a pair at 0.8 is beyond it once in 100,000) are
-   confirmed on the full shingle sets; links make components.
+   confirmed on the full shingle sets; links make components: a forest in each task, then star steps over all.
 5. Keys whose members still lie in different components are done in full. Components with near members in one key are a
    family; in a grid of bounded blocks, each member outside a family's largest component is confirmed against all members of
    other components. No partner is dropped: pairs that stay unconfirmed are those within one component already. Tasks hand
@@ -21,28 +21,32 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from veriloom.llm.common import resident, slices, through_table
+from veriloom.llm.common import discard, place_of, positional, resident, slices, through_table
 
 SYMBOLS, CHUNKS, FARTHEST = 128, 16, 46
 WIDTH = SYMBOLS // CHUNKS
 _WINDOW_KEYS = 500_000
+_WINDOW_LINKS = 500_000
 _HUB_ROWS = 64
-_BLOCK_ROWS = 1024
+#: Bounds of a block of a family or a key; a cell compares two blocks.
+_BLOCK_ROWS, _BLOCK_BYTES = 256, 4_000_000
 _LARGEST = (1 << 32) - 1
 
 
 class _WordHashes(dict):
-    """64-bit hashes of words, kept for the worker's next texts; bounded."""
+    """64-bit hashes of words, kept for the worker's next texts; bounded, and long words are not kept."""
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 300_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64:
+            if len(self) > 300_000:
+                self.clear()
+            self[word] = h
         return h
 
 
@@ -205,8 +209,9 @@ def _packed(batches: Iterable) -> Iterator:
 
     pack = zstandard.ZstdCompressor(level=1).compress
     for batch in slices(batches):
-        texts = [pack((t or "").encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.binary())], ["id", "packed"])
+        texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("id"), pa.array([len(t) for t in texts], pa.int64()), pa.array([pack(t) for t in texts], pa.binary())], ["id", "size", "packed"])
 
 
 def _similar(a, b, percent: int) -> bool:
@@ -242,7 +247,7 @@ def _confirm(k: int, percent: int):
 
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The (hub, id) pairs whose full shingle sets have `percent` of their union in common. A hub's pairs are dealt to tasks
-    by salts of some 64 pairs each; `texts` (id, packed) moves once for the join and once per pair."""
+    by salts of some 64 pairs each; `texts` (id, size, packed) moves once for the join and once per pair."""
     degree = pairs.groupBy("hub").agg(F.count("*").alias("n"))
     salts = F.greatest(F.lit(1), F.ceil(F.col("n") / _HUB_ROWS)).cast("int")
     members = pairs.join(degree, "hub").select("id", "hub", F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"))
@@ -252,46 +257,60 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return dealt.mapInArrow(_confirm(k, percent), "hub bigint, id bigint")
 
 
-def components(links: DataFrame, in_task: int = 500_000) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(id, label): every id of `links` (hub, id) with the smallest id that it is connected to.
 
-    Up to `in_task` links are joined by one task; more go through star steps, which know no bound. Either gives the same.
+    Each task first joins what links it has, a window at a time, so that it hands on a forest. Large-star and small-star steps
+    in turn then hang neighbours on the smallest one, until nothing changes. A step is two joins on ids, whose large partitions
+    Spark may split, so no node's neighbours need meet in one task; it is written to the shared folder.
     """
-    edges = through_table(links.select(F.greatest("hub", "id").alias("u"), F.least("hub", "id").alias("v")).where("u <> v").distinct(), "links")
-    if edges.count() > in_task:
-        return _star_components(edges)
-    return through_table(edges.coalesce(1).mapInArrow(_joined_labels, "id bigint, label bigint"), "labels")
+    place = F.xxhash64("u").alias("place")  # a join key of its own gives both sides an exchange of their own
+    joined = lambda a, b: a.select("*", place).join(b.select("*", place), ["u", "place"]).drop("place")
 
+    def written(pairs: DataFrame) -> tuple[DataFrame, dict]:
+        """`pairs` through a table, with their number and the sum of their hashes, taken on the way."""
+        seen = Observation()
+        marks = (F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+        return through_table(pairs.observe(seen, *marks), "links"), seen.get
 
-def _joined_labels(batches: Iterable) -> Iterator:
-    import pyarrow as pa
-
-    sets, ids = _Sets(), set()
-    for batch in batches:
-        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
-            sets.join(u, v)
-            ids.update((u, v))
-    own = sorted(ids)
-    yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([sets.top(x) for x in own], pa.int64())], ["id", "label"])
-
-
-def _star_components(edges: DataFrame) -> DataFrame:
-    """Large-star and small-star steps in turn: each hangs neighbours on the smallest one, until nothing changes. A step is
-    two joins on ids, so no node's neighbours meet in one task; it is written to the shared folder."""
-    sign = lambda e: e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    before = sign(edges)
+    edges, before = written(links.select("hub", "id").where("hub <> id").mapInArrow(_forest, "u bigint, v bigint").distinct())
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = joined(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(small, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        edges = through_table(hung.where("u <> v").distinct(), "links")
-        if (after := sign(edges)) == before:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("label")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct())
+        hung = joined(large, small).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        last = edges
+        edges, after = written(hung.where("u <> v").distinct())
+        discard(last)
+        if after == before:
+            ends = edges.select(F.col("u").alias("id"), F.col("v").alias("label")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct())
+            labels = through_table(ends, "labels")
+            discard(edges)
+            return labels
         before = after
 
 
+def _forest(batches: Iterable) -> Iterator:
+    """Of each window of links, an edge from every id to the smallest one that it is connected to."""
+    import pyarrow as pa
+
+    def flush():
+        edges = [(x, top) for x in sets.over if (top := sets.top(x)) != x]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*edges) if edges else ([], []))], ["u", "v"])
+
+    sets, held = _Sets(), 0
+    for batch in batches:
+        for u, v in zip(batch.column("hub").to_pylist(), batch.column("id").to_pylist()):
+            sets.join(u, v)
+        held += batch.num_rows
+        if held >= _WINDOW_LINKS:
+            yield flush()
+            sets, held = _Sets(), 0
+    if held:
+        yield flush()
+
+
 class _Sets:
     """Union-find over labels."""
 
@@ -381,22 +400,31 @@ def _grid(rows: DataFrame, by: str, left_where: str, left_blocks: str, right_blo
 
 
 def family_links(edges: DataFrame, labels: DataFrame, prints: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (hub, id) that join the components of near documents which share a key, as far as they are joined at all."""
-    blocks = lambda n, size: F.ceil(F.col(n) / size).cast("int")
+    """Links (hub, id) that join the components of near documents which share a key, as far as they are joined at all.
+
+    Blocks of a key are bounded by rows, those of a family by rows and by bytes of text, so a cell takes as much memory
+    whatever the size of its family and the lengths of its texts (one text at least).
+    """
+    blocks = lambda n: F.ceil(F.col(n) / _BLOCK_ROWS).cast("int")
     mixed = edges.join(_different(edges, labels).select("key").distinct(), "key", "left_semi")
     members = mixed.select("key", "id").union(mixed.select("key", F.col("hub").alias("id"))).distinct()
     sized = members.join(members.groupBy("key").agg(F.count("*").alias("n")), "key")
     rows = through_table(sized.join(labels, "id", "left").join(prints.select("id", "sig"), "id").select(
-        "key", "id", F.coalesce("label", "id").alias("label"), "sig", blocks("n", _BLOCK_ROWS).alias("blocks")), "mixed")
+        "key", "id", F.coalesce("label", "id").alias("label"), "sig", blocks("n").alias("blocks")), "mixed")
     forest = _grid(rows, "key", "true", "blocks", "blocks", "id", "label", "sig").applyInArrow(_label_forest, "hub bigint, id bigint")
-    families = components(forest).select(F.col("id").alias("label"), F.col("label").alias("family"))
+    tied = components(forest)
+    families = tied.select(F.col("id").alias("label"), F.col("label").alias("family"))
 
-    of = rows.select("id", "label").distinct().join(families, "label")
-    sizes = of.groupBy("family", "label").agg(F.count("*").alias("n")).groupBy("family").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most"))
-    placed = of.join(sizes, "family").withColumns({"minor": F.col("label") != F.col("most.label"), "n_minor": F.col("n") - F.col("most.n")})
-    family = through_table(placed.join(texts, "id").select(
-        "family", "id", "label", "packed", "minor", blocks("n_minor", _BLOCK_ROWS / 2).alias("minor_blocks"), blocks("n", _BLOCK_ROWS).alias("blocks")), "families")
-    return _grid(family, "family", "minor", "minor_blocks", "blocks", "id", "label", "packed").applyInArrow(_family_cell(k, percent), "hub bigint, id bigint")
+    of = rows.select("id", "label").distinct().join(families, "label").join(texts.select("id", "size"), "id")
+    sizes = of.groupBy("family", "label").agg(F.count("*").alias("n"), F.sum("size").alias("b")).groupBy("family").agg(
+        F.sum("n").alias("n"), F.sum("b").alias("b"), F.max(F.struct("n", "label", "b")).alias("most"))
+    enough = lambda n, b: F.greatest(F.ceil(n / _BLOCK_ROWS), F.ceil(b / _BLOCK_BYTES), F.lit(1)).cast("int")
+    placed = of.join(sizes, "family").select(
+        "family", "id", "label", (F.col("label") != F.col("most.label")).alias("minor"), enough(F.col("n") - F.col("most.n"), F.col("b") - F.col("most.b")).alias("minor_blocks"), enough(F.col("n"), F.col("b")).alias("blocks"))
+    family = through_table(placed.join(texts.select("id", "packed"), "id"), "families")
+    links = through_table(_grid(family, "family", "minor", "minor_blocks", "blocks", "id", "label", "packed").applyInArrow(_family_cell(k, percent), "hub bigint, id bigint"), "family-links")
+    discard(rows, tied, family)
+    return links
 
 
 def _repeated_ids(prints: DataFrame, classes: DataFrame) -> DataFrame:
@@ -430,13 +458,16 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     pairs = edges.select("hub", "id").distinct().join(reps, "id").join(reps.select(F.col("id").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
     near = through_table(pairs.select("hub", "id", "sig", "hub_sig").mapInArrow(_near, "hub bigint, id bigint, far bigint"), "near")
     met = edges.select("id").union(edges.select(F.col("hub").alias("id"))).distinct()
-    texts = own.where("id is not null").mapInArrow(_packed, "id bigint, packed binary").join(met, "id", "left_semi")
+    texts = own.where("id is not null").mapInArrow(_packed, "id bigint, size bigint, packed binary").join(met, "id", "left_semi")
     texts = through_table(texts, "texts")
 
     links = confirmed(near.select("hub", "id").distinct(), texts, shingle_words, percent).union(_repeated_ids(prints, classes))
     links = through_table(links, "confirmed")
-    links = links.union(family_links(edges, components(links), reps, texts, shingle_words, percent))
-    labels = components(links)
+    discard(near)
+    first = components(links)
+    more = family_links(edges, first, reps, texts, shingle_words, percent)
+    labels = components(links.union(more))
+    discard(reps, edges, texts, links, first, more)
 
     of_class = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("class", F.coalesce("label", "rep").alias("component_id"))
     own_class = prints.select(F.col("id").alias("doc_id"), "class", "n_shingles")
@@ -445,3 +476,20 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     return own_class.select("*", key).join(of_class.select("*", key), ["class", "key"], "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
         F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"))
+
+
+def without_near_copies(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` with one document, that with the smallest id, of each group of near duplicates; all columns as they were.
+
+    Groups are those of `near_duplicates`, which says what null, empty, short and very long texts and ties give. Rows that
+    repeat an id are one document and stay or go together; rows without an id are in no group and stay. An empty table stays
+    empty, and columns may have any names.
+    """
+    rows, doc, text = positional(docs), place_of(docs, id_col), place_of(docs, text_col)
+    id_ = F.col(doc).cast("long")
+    # a join key of its own gives both sides an exchange of their own, whose large partitions Spark may split
+    place = F.xxhash64("id").alias("place")
+    groups = near_duplicates(rows.select(id_.alias("doc_id"), F.col(text).alias("text")), shingle_words, percent)
+    stay = groups.where("kept and doc_id is not null").select(F.col("doc_id").alias("id")).distinct().select("id", place)
+    known = rows.where(id_.isNotNull()).withColumn("id", id_).select("*", place).join(stay, ["id", "place"], "left_semi")
+    return known.select(*rows.columns).union(rows.where(id_.isNull())).toDF(*docs.columns)
