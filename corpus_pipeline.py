@@ -8,7 +8,6 @@ result is written to the shared folder before the next one reads it.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from veriloom.llm import exact_dedup, near_dedup, packing, secret_scan, toxicity
 from veriloom.llm.common import table, through_table
@@ -28,10 +27,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each group of near duplicates: five words, a similarity of 0.8.
 
-    Documents without an id are in no group and stay.
+    Rows that repeat an id are one document; rows without an id are in no group and stay.
     """
-    kept = near_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return near_dedup.without_near_copies(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
