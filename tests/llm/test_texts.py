@@ -49,30 +49,107 @@ def test_secret_scan_equals_brute_force(spark):
     assert secret_scan.scan_secrets(df.limit(0)).count() == 0
 
 
+ROWS_OF_KEYS = ["`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz", "0123456789"]
+SIGNS = dict(zip("013457@$!|", "oieastasil"))
+
+
+def follows(a, b):
+    return any(a + b in row or b + a in row for row in ROWS_OF_KEYS)
+
+
+def brute_word(part):
+    """Bits of a part of a value as a word, in any case and with signs for letters; infinite if it is none."""
+    letters = "".join(SIGNS.get(c, c) for c in part.lower())
+    bits = secret_scan._ranked()[0].get(letters, math.inf)
+    upper = sum(c.isupper() for c in part)
+    cases = (upper > 0) + (math.log2(math.comb(len(part), min(upper, 2))) if 1 < upper < len(part) else 0)
+    return bits + cases + sum(a != b for a, b in zip(part.lower(), letters))
+
+
+def brute_date(part):
+    """Bits of a part of a value as a date, read by its digits and signs."""
+    cuts = "[-/._]?"
+    year, month, day = "(19|20)[0-9][0-9]", "(0[1-9]|1[0-2])", "(0[1-9]|[12][0-9]|3[01])"
+    kinds = (year, year + cuts + month, year + cuts + month + cuts + day, day + cuts + month + cuts + year)
+    if not any(re.fullmatch(k, part) for k in kinds):
+        return math.inf
+    return math.log2(150) + (math.log2(12) if len(part) > 4 else 0) + (math.log2(31) if len(part) > 7 else 0)
+
+
+def brute_char(c):
+    return math.log2(10) if c.isdigit() else math.log2(26) if c.isascii() and c.isalpha() else math.log2(33) if c.isascii() else 16
+
+
 def brute_bits(value):
-    """Least cost over all segmentations, by recursion over the same spans."""
-    spans = {}
-    for a, b, bits in secret_scan._spans(value):
-        spans.setdefault(a, []).append((b, bits))
-    each = [secret_scan._brute_bits(c) for c in value]
-    for end in range(1, len(value) + 1):
-        for size in range(1, end):
-            times = 1
-            while end - (times + 1) * size >= 0 and value[end - (times + 1) * size : end - times * size] == value[end - size : end]:
-                times += 1
-            if times > 1:
-                spans.setdefault(end - size * times, []).append((end, sum(each[end - size : end]) + math.log2(times)))
-    best = [math.inf] * len(value) + [0.0]
-    for at in reversed(range(len(value))):
-        best[at] = min([sum(each[at:end]) + 1 + best[end] for end in range(at + 1, len(value) + 1)] + [bits + 1 + best[b] for b, bits in spans.get(at, ())])
-    return best[0]
-
-
-@pytest.mark.parametrize("value", ["a", "password", "P@ssword2024", "abcabcabc", "qwertyuiop!1", "kX9#vT2!qLm", "monkey1999-12-31dragon", "aaaabbbbaaaabbbb", "zxcvbn123321", "ééé日本", "20240101admin"])
+    """Least cost over all ways to cut a value, each part priced as everything that it may be, all by themselves."""
+
+    def price(a, b):
+        part = value[a:b]
+        best = min(sum(map(brute_char, part)), brute_word(part))
+        if longest_date.get(a) == b:
+            best = min(best, brute_date(part))
+        if 3 <= b - a <= 64 and all(follows(x, y) for x, y in zip(part.lower(), part.lower()[1:])):
+            best = min(best, math.log2(47) + 2 * math.log2(b - a))
+        for size in range(1, min(32, (b - a) // 2) + 1):
+            unit, times = part[:size], (b - a) // size
+            whole = unit * times == part
+            repeats_itself = any(unit == unit[:n] * (size // n) for n in range(1, size) if size % n == 0)
+            more = value[:a].endswith(unit)
+            if whole and not repeats_itself and (times <= 16 or not more):
+                best = min(best, cost(unit) + math.log2(times))
+        return best + 1
+
+    # of the dates that start in a place, the one that goes farthest
+    longest_date = {a: max((b for b in range(a + 4, min(len(value), a + 10) + 1) if brute_date(value[a:b]) < math.inf), default=0) for a in range(len(value))}
+    best = [0.0]
+    for b in range(1, len(value) + 1):
+        best.append(min(best[a] + price(a, b) for a in range(b)))
+    return best[-1]
+
+
+def cost(value):
+    return brute_bits(value)
+
+
+@pytest.mark.parametrize("value", [
+    "a", "password", "P@ssword2024", "abcabcabc", "qwertyuiop!1", "kX9#vT2!qLm", "monkey1999-12-31dragon", "aaaabbbbaaaabbbb", "zxcvbn123321", "ééé日本", "20240101admin", "mastertyuiop", "passwordpasswordpassword",
+    "a" * 40, "31.12.1999x", "DRAGON", "DrAgOn", "xyzzyxyzabc", "qwqwqwqwqwqwqwqwqwqwqwqwqwqwqwqwqwqwqwqw", "19991231", "1999123",
+])
 def test_guess_cost_equals_brute_force(value):
     assert secret_scan.guess_bits(value) == pytest.approx(brute_bits(value))
 
 
+def test_guess_cost_of_random_values_equals_brute_force():
+    rng = random.Random(3)
+    parts = ["dragon", "Qwe", "aa", "2023", "12", "x", "#", "tyu", "abcab", "s3cr3t", "é", "0-0", "31"]
+    for _ in range(60):
+        value = "".join(rng.choices(parts, k=rng.randrange(1, 6)))
+        assert secret_scan.guess_bits(value) == pytest.approx(brute_bits(value)), value
+
+
+@pytest.mark.parametrize("enough", [10, 36, 80])
+def test_reading_on_changes_no_verdict(enough):
+    rng = random.Random(enough)
+    for _ in range(150):
+        value = "".join(rng.choice(["dragon", "a" * 40, "ab" * 50, "qwertyuiop", "kX9#", "7", "password"]) for _ in range(rng.randrange(1, 12)))
+        assert (secret_scan.guess_bits(value, enough) >= enough) == (secret_scan.guess_bits(value) >= enough), value
+
+
+def test_walks_and_repeats_from_any_start():
+    assert secret_scan.guess_bits("mastertyuiop") <= 16.5
+    assert secret_scan.guess_bits("passwordpassword") < secret_scan.guess_bits("password") + 4
+
+
+def test_many_matches_take_no_long_time():
+    import time
+
+    text = " ".join(f"password=abcdef{i} key: dragon" for i in range(20_000))
+    for text in (text, "key=" + "a" * 50_000, "token: " + "kX9#vT2!qLm" * 10_000):
+        began = time.process_time()
+        secret_scan.find_secrets(text)
+        assert time.process_time() - began < 15
+
+
 def test_guess_costs_rank_secrets():
     cheap, dear = ("password", "P@ssword2024", "qwertyuiop", "aaaaaaaaaaaa", "changeme123", "2024-01-31"), ("kX9#vT2!qLm", "b7db7aa4a5fcc78305")
     assert max(map(secret_scan.guess_bits, cheap)) < 36 <= min(map(secret_scan.guess_bits, dear))

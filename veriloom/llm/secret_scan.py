@@ -7,11 +7,21 @@ Patterns are leftmost and non-overlapping within a kind; matches that are too sh
 
 The method adds `guess` spans: values behind a wider set of credential words (pass, pwd, passphrase, key, bearer, ..., also at
 the end of a longer name as in `encryption_key`), of any characters but white space, quotes and angle brackets, whose guess
-cost is at least `min_bits`. Between them is `:`, `=`, `:=`, `=>` or `==`; white space is enough after `bearer`. The cost of a value is the least, over
-all ways to cut it into spans, of the bits it takes to guess every span: a word of a list, in whatever letter case and with
-digits for letters; a date; a repeat of a shorter unit; a walk over neighbouring keys or an alphabetic or numeric sequence;
-or brute force. So `P@ssword2024` is cheap and no secret, `kX9#vT2!qLm` costs what its characters cost. Values that a pattern
-found already get no second span.
+cost is at least `min_bits`. Between them is `:`, `=`, `:=`, `=>` or `==`; white space is enough after `bearer`. Values that a
+pattern found already get no second span.
+
+The cost of a value is the least, over all ways to cut it into spans, of the bits that it takes to guess every span, and one
+bit a span for its kind. Spans are
+
+* a ranked word, in whatever letter case and with digits or signs for letters: the bits of its rank, of its capitals and of
+  each sign that stands for a letter;
+* a date, or a year with or without month and day;
+* a walk of 3 to 64 characters over neighbouring keys, or along the alphabet or the digits, from any start, either way;
+* a unit of up to 32 characters, itself no repeat, 2 to 16 times or as often as it stands there: its own least cost and the
+  bits of the number;
+* brute force, as many bits as each character's kind has.
+
+So `P@ssword2024` is cheap and no secret, `kX9#vT2!qLm` costs what its characters cost.
 """
 
 from __future__ import annotations
@@ -23,12 +33,11 @@ import math
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.common import slices
+from veriloom.llm.common import place_of, positional, slices
 
 KINDS = ("assign", "access", "hex", "guess")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -58,17 +67,21 @@ _ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./", "abcdef
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d", re.ASCII)
 #: Bits for saying what kind a span is.
 _SPAN_BITS = 1.0
-_LONGEST_UNIT = 32
+_LONGEST_UNIT, _MOST_TIMES, _LONGEST_WALK = 32, 16, 64
+#: No span but a repeat or brute force is longer.
+_LONGEST_SPAN = 64
 
 
 @lru_cache(1)
-def _ranked() -> tuple[dict[str, float], int]:
-    """Bits of each word by its rank, and the longest word's length.
+def _ranked() -> tuple[dict[str, float], set[str]]:
+    """Bits of each word by its rank, and all beginnings of the words.
 
-    `WORDS` come first, then words and parts of words of 3 or more letters in the order in which three public vocabularies
-    learnt them from large corpora, most frequent first.
+    `WORDS` come first, then words and parts of words of 3 to 64 letters in the order in which the four public vocabularies of
+    `public_tokenizers` (MIT and Apache 2.0 licences, see its LICENSES.txt) learnt them from large corpora, most frequent
+    first: mostly English, and in two of them the other languages of the corpus too.
     """
     import public_tokenizers
+    import sentencepiece
 
     ranks = {w: i for i, w in enumerate(WORDS)}
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
@@ -76,13 +89,15 @@ def _ranked() -> tuple[dict[str, float], int]:
     for name in ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"):
         with open(public_tokenizers.path(name), "rb") as file:
             lists.append([base64.b64decode(line.split()[0]).decode("utf-8", "replace").strip() for line in file])
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    lists.append([model.id_to_piece(i).strip("\u2581") for i in range(model.get_piece_size())])
     for words in lists:
         rank = len(WORDS)
         for word in dict.fromkeys(w.lower() for w in words):
-            if len(word) >= 3 and word.isalpha():
+            if 3 <= len(word) <= _LONGEST_SPAN and word.isalpha():
                 ranks[word] = min(ranks.get(word, rank), rank)
                 rank += 1
-    return {w: math.log2(i + 2) for w, i in ranks.items()}, max(map(len, ranks))
+    return {w: math.log2(i + 2) for w, i in ranks.items()}, {w[:n] for w in ranks for n in range(1, len(w) + 1)}
 
 
 @lru_cache(1)
@@ -100,51 +115,70 @@ def _brute_bits(char: str) -> float:
     return math.log2(33) if char.isascii() else 16.0
 
 
-def _spans(value: str) -> Iterator[tuple[int, int, float]]:
-    """(start, end, bits) of words, dates, repeats and walks."""
+def _walk_bits(size: int) -> float:
+    return math.log2(47) + 2 * math.log2(size)
+
+
+def _word_bits(bits: float, part: str, plain: str) -> float:
+    """Bits of a ranked word as `part` writes it; `plain` is its letters, in lower case."""
+    upper, size = sum(c.isupper() for c in part), len(part)
+    signs = sum(a != b for a, b in zip(part.lower(), plain))
+    return bits + (upper > 0) + (math.log2(math.comb(size, min(upper, 2))) if 1 < upper < size else 0.0) + signs
+
+
+def _date_bits(size: int) -> float:
+    return math.log2(150) + (size > 4) * math.log2(12) + (size > 7) * math.log2(31)
+
+
+def guess_bits(value: str, enough: float = math.inf) -> float:
+    """The least bits over all segmentations of a value, in time linear in its length.
+
+    Once the result is sure to be `enough` or more, a number as large is returned without reading on.
+    """
     low = value.lower()
     low = low if len(low) == len(value) else value
     plain = low.translate(_PLAIN)
-    ranked, longest = _ranked()
-    for start in range(len(value)):
-        for end in range(start + 3, min(len(value), start + longest) + 1):
-            if (bits := ranked.get(plain[start:end])) is not None:
-                upper = sum(c.isupper() for c in value[start:end])
-                swapped = sum(a != b for a, b in zip(low[start:end], plain[start:end]))
-                yield start, end, bits + (upper > 0) * 1.0 + math.log2(math.comb(end - start, min(upper, 2))) * (1 < upper < end - start) + swapped
-        if m := _DATE.match(value, start):
-            yield start, m.end(), math.log2(150) + (m.end() - start > 4) * math.log2(12) + (m.end() - start > 7) * math.log2(31)
+    ranked, beginnings = _ranked()
     pairs = _neighbours()
-    start = 0
-    while start < len(low) - 1:
-        end = start + 1
-        while end < len(low) and (low[end - 1], low[end]) in pairs:
-            end += 1
-        if end - start >= 3:
-            for stop in {end, min(end, start + 3)}:
-                yield start, stop, math.log2(47) + 2 * math.log2(stop - start)
-        start = max(end - 1, start + 1)
-
-
-def guess_bits(value: str) -> float:
-    """The least bits over all segmentations of a value; linear in its length but for the spans that it has."""
-    ending: dict[int, list[tuple[int, float]]] = {}
-    for start, end, bits in _spans(value):
-        ending.setdefault(end, []).append((start, bits))
-    least = [0.0] * (len(value) + 1)
-    each = [_brute_bits(c) for c in value]
-    before = [0.0, *accumulate(each)]
-    brute, alike = math.inf, [0] * (_LONGEST_UNIT + 1)
+    dates: dict[int, list[int]] = {}
+    for start in range(len(value)):
+        if value[start].isdigit() and (m := _DATE.match(value, start)):
+            dates.setdefault(m.end(), []).append(start)
+    words: dict[int, list[tuple[int, float]]] = {}
+    units: dict[str, float | None] = {}
+    least, brute, walk = [0.0], math.inf, 1
+    alike = [0] * (_LONGEST_UNIT + 1)
     for end in range(1, len(value) + 1):
         # a brute-force span goes on, or opens here
-        brute = min(brute, least[end - 1] + _SPAN_BITS) + each[end - 1]
-        least[end] = min([brute, *(least[start] + _SPAN_BITS + bits for start, bits in ending.get(end, ()))])
-        # the longest repeat of a unit that ends here; alike: characters up to here that equal those a unit before
+        brute = best = min(brute, least[end - 1] + _SPAN_BITS) + _brute_bits(value[end - 1])
+        for stop in range(end, len(plain) + 1):
+            if (part := plain[end - 1 : stop]) not in beginnings:
+                break
+            if (bits := ranked.get(part)) is not None:
+                words.setdefault(stop, []).append((end - 1, _word_bits(bits, value[end - 1 : stop], part)))
+        for start, bits in words.pop(end, ()):
+            best = min(best, least[start] + _SPAN_BITS + bits)
+        for start in dates.get(end, ()):
+            best = min(best, least[start] + _SPAN_BITS + _date_bits(end - start))
+        # walk: characters up to here of which each follows its neighbour
+        walk = walk + 1 if end > 1 and (low[end - 2], low[end - 1]) in pairs else 1
+        for size in range(3, min(walk, _LONGEST_WALK) + 1):
+            best = min(best, least[end - size] + _SPAN_BITS + _walk_bits(size))
+        # alike: characters up to here that equal those a unit before
         for size in range(1, min(_LONGEST_UNIT, end - 1) + 1):
             alike[size] = alike[size] + 1 if value[end - 1] == value[end - 1 - size] else 0
             if alike[size] >= size:
-                times = alike[size] // size + 1
-                least[end] = min(least[end], least[end - size * times] + _SPAN_BITS + before[end] - before[end - size] + math.log2(times))
+                unit, most = value[end - size : end], alike[size] // size + 1
+                if unit not in units:
+                    units[unit] = guess_bits(unit) if (unit + unit).find(unit, 1) == size else None
+                if units[unit] is None:
+                    continue
+                for times in {*range(2, min(most, _MOST_TIMES) + 1), most}:
+                    best = min(best, least[end - size * times] + _SPAN_BITS + units[unit] + math.log2(times))
+        least.append(best)
+        # a later span starts in the last places, unless it is brute force or a repeat that has long begun
+        if end % 32 == 0 and min(brute, *least[-_LONGEST_SPAN - _LONGEST_UNIT :]) >= enough and max(alike) < _LONGEST_SPAN:
+            return enough
     return least[-1]
 
 
@@ -156,13 +190,20 @@ def find_secrets(text: str | None, min_bits: float = 36.0) -> list[tuple[str, in
     found += [("hex", m.start(), m.end()) for m in _HEX.finditer(text)]
     low = text.lower()
     at = 0 if any(x in low for x in _STEMS) else len(text)
+    # values come in ascending order: what covers one starts at or before it, and the farthest end of those says so
+    base, next_, covered = sorted((a, b) for _, a, b in found), 0, -1
     while m := _CONTEXT.search(text, at):
         start, end = m.span(1)
         at = end
-        if any(a <= start and end <= b for _, a, b in found):
+        while next_ < len(base) and base[next_][0] <= start:
+            covered = max(covered, base[next_][1])
+            next_ += 1
+        if end <= covered:
             continue
-        if guess_bits(m[1].rstrip(".,;:)")) >= min_bits:
-            found.append(("guess", start, start + len(m[1].rstrip(".,;:)"))))
+        value = m[1].rstrip(".,;:)")
+        if guess_bits(value, min_bits) >= min_bits:
+            found.append(("guess", start, start + len(value)))
+            covered = max(covered, start + len(value))
         else:
             at = max(start, end - _LONGEST_CONTEXT)  # the value may itself be the context of another
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
@@ -212,21 +253,27 @@ def scan_secrets(docs: DataFrame, min_bits: float = 36.0, id_col: str = "doc_id"
     return own.mapInArrow(_scan(min_bits), f"doc_id bigint, {counts}, base_sha256 string, spans string")
 
 
-def without_secrets(docs: DataFrame, min_bits: float = 36.0, mark: str = "[SECRET]") -> DataFrame:
-    """`docs` with every secret in `text` replaced by `mark`, and n_chars, where there is such a column, after it."""
+def without_secrets(docs: DataFrame, min_bits: float = 36.0, mark: str = "[SECRET]", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """`docs` with every secret in `text` replaced by `mark`, and n_chars, where there is such a column, after it.
+
+    Every row stays, in its columns and with their names whatever these are. Null and empty texts stay as they are; texts of any
+    length are scanned whole; spans that overlap are replaced together; repeated rows are alike; an empty table stays empty.
+    """
+    rows, text = positional(docs), place_of(docs, text_col)
+    size = place_of(docs, size_col) if size_col.lower() in map(str.lower, docs.columns) else None
 
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
-        for batch in slices(batches):
-            texts = batch.column("text").to_pylist()
+        for batch in slices(batches, text=text):
+            texts = batch.column(text).to_pylist()
             clean = [redact(t, find_secrets(t, min_bits), mark) for t in texts]
-            at = batch.schema.get_field_index("text")
-            batch = batch.set_column(at, "text", pa.array(clean, batch.schema.field(at).type))
-            if (at := batch.schema.get_field_index("n_chars")) >= 0:
-                old = batch.column(at).to_pylist()
+            at = batch.schema.get_field_index(text)
+            batch = batch.set_column(at, batch.schema.field(at), pa.array(clean, batch.schema.field(at).type))
+            if size:
+                at, old = batch.schema.get_field_index(size), batch.column(size).to_pylist()
                 new = [n if a == b else len(b) for n, a, b in zip(old, texts, clean)]
-                batch = batch.set_column(at, "n_chars", pa.array(new, batch.schema.field(at).type))
+                batch = batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
             yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
