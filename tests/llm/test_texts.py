@@ -1,5 +1,6 @@
 import hashlib
 import math
+import pickle
 import random
 import re
 
@@ -361,6 +362,7 @@ def test_neighbours_are_exact_over_all_terms(monkeypatch, block):
     weight = np.array([rng.uniform(1, 9) for _ in names])
     index = toxicity.Index(list(names), weight, [toxicity.content_digest(t) for t in examples], np.arange(len(examples)), np.zeros(len(examples)), 0.1, np.array(owner), np.array(term), np.array(count))
     texts = [text(rng.choice([0, 1, 4, 50])) for _ in range(60)] + examples[:20] + ["", "unheard"]
+    index = pickle.loads(pickle.dumps(index))  # as workers get it
     cosines, found = index.nearest(len(texts), *toxicity.TermNumbers(list(names))(pa.array(texts)), [toxicity.content_digest(t) for t in texts])
     got = [[(-round(c, 9), i) for c, i in zip(cs, es) if i >= 0] for cs, es in zip(cosines.tolist(), found.tolist())]
     for mine, want in zip(got, brute_neighbours(texts, examples, weight, names)):

@@ -25,7 +25,6 @@ import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,10 +33,9 @@ from veriloom.llm.common import discard, place_of, positional, resident, slices,
 
 #: Bound of the fit: distinct texts of each label in the sample.
 MOST_EXAMPLES = 1500
-NEIGHBOURS, BLOCK = 15, 256
+NEIGHBOURS, BLOCK = 15, 512
 #: Terms in so large a share of the examples have their weights in a matrix, the others in lists.
-_COMMON = 1 / 8
-_MOST_WORDS, _LONGEST_WORD = 300_000, 64
+_COMMON = 1 / 16
 #: Cosines count to so many parts of 1, so that sums in another order are the same.
 _PARTS = 10**9
 
@@ -49,13 +47,6 @@ def words_of(texts):
     return pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"\PL+")
 
 
-def terms_of(word: str) -> Iterator[str]:
-    """A word, and its beginnings of 4 to 6 characters (marked `~`) if it is longer."""
-    yield word
-    for k in range(4, min(6, len(word) - 1) + 1):
-        yield "~" + word[:k]
-
-
 def terms(text: str | None) -> Counter:
     """The terms of a text with their counts."""
     import pyarrow as pa
@@ -63,7 +54,7 @@ def terms(text: str | None) -> Counter:
     found: Counter = Counter()
     for word, n in Counter(words_of(pa.array([text], pa.string()))[0].as_py()).items():
         if word:
-            for term in terms_of(word):
+            for term in (word, *("~" + word[:k] for k in (4, 5, 6) if len(word) > k)):
                 found[term] += n
     return found
 
@@ -84,19 +75,29 @@ def _spread(starts, sizes):
 
 
 class TermNumbers:
-    """Counts the terms of a vocabulary in texts. Words met lately are remembered."""
+    """Counts the terms of a vocabulary in texts, a batch at a time."""
 
     def __init__(self, names: list[str]):
-        self.number = {name: i for i, name in enumerate(names)}
-        self.known: dict[str, tuple[int, ...]] = {}
+        import pyarrow as pa
+
+        self.names = pa.array(names, pa.string())
 
-    def of_word(self, word: str) -> tuple[int, ...]:
-        found = tuple(i for term in terms_of(word) if (i := self.number.get(term)) is not None)
-        if len(word) <= _LONGEST_WORD:
-            if len(self.known) >= _MOST_WORDS:
-                self.known.clear()
-            self.known[word] = found
-        return found
+    def of_words(self, words):
+        """(number of terms of each word, the terms' numbers word by word) of an Arrow array of distinct words."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        length = pc.utf8_length(words).to_numpy(zero_copy_only=False)
+        parts, whose = [words], [np.arange(len(words))]
+        for k in (4, 5, 6):
+            longer = np.flatnonzero(length > k)
+            parts.append(pc.binary_join_element_wise("~", pc.utf8_slice_codeunits(words.take(pa.array(longer)), 0, k), ""))
+            whose.append(longer)
+        found = pc.fill_null(pc.index_in(pa.concat_arrays(parts), value_set=self.names), -1).to_numpy(zero_copy_only=False)
+        word = np.concatenate(whose)[found >= 0]
+        order = np.argsort(word, kind="stable")
+        return np.bincount(word, minlength=len(words)), found[found >= 0][order].astype(np.int64)
 
     def __call__(self, texts):
         """(text, term, count), by text and term, of an Arrow array of texts."""
@@ -105,12 +106,10 @@ class TermNumbers:
 
         lists = words_of(texts)
         coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        of = [self.of_word(w) if x is None else x for w, x in zip(words, map(self.known.get, words))]
-        sizes = np.fromiter(map(len, of), np.int64, len(of))
-        pool, starts = np.fromiter(chain.from_iterable(of), np.int64, int(sizes.sum())), np.cumsum(sizes) - sizes
+        sizes, pool = self.of_words(coded.dictionary)
+        starts = np.cumsum(sizes) - sizes
         text = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-        width, height = max(len(of), 1), max(len(self.number), 1)
+        width, height = max(len(sizes), 1), max(len(self.names), 1)
         pair, times = np.unique(text * width + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
         text, word = pair // width, pair % width
         key = np.repeat(text, sizes[word]) * height + pool[_spread(starts[word], sizes[word])]
@@ -146,12 +145,14 @@ class Index:
         n, owner, term = len(self.contents), np.asarray(self.owner, np.int64), np.asarray(self.term, np.int64)
         values = (1 + np.log(np.asarray(self.count, float))) * self.weight[term]
         values /= np.sqrt(np.bincount(owner, values * values, n))[owner]
-        # blocks of examples with the same heaviest terms have the tightest bounds
-        heaviest = np.full(n, -1)
-        by_weight = np.lexsort((-term, values))
-        heaviest[owner[by_weight]] = term[by_weight]
+        # examples that share their most frequent term (which tells the language), then the heaviest one, lie together: the more
+        # alike those of a block, the tighter its bounds
+        frequent, heaviest = np.full(n, -1), np.full(n, -1)
+        for kind, size in ((frequent, np.asarray(self.count)), (heaviest, values)):
+            order = np.lexsort((-term, size))
+            kind[owner[order]] = term[order]
         place = np.empty(n, np.int64)
-        place[np.lexsort((np.arange(n), heaviest))] = np.arange(n)
+        place[np.lexsort((np.arange(n), heaviest, frequent))] = np.arange(n)
         self.blocks = -(-n // BLOCK)
         self.example_at = np.append(np.argsort(place), np.arange(n, self.blocks * BLOCK))
         self.place, self.radix = place, max(self.blocks * BLOCK, 1)
@@ -162,9 +163,8 @@ class Index:
         frequent = np.flatnonzero(size >= max(1, n * _COMMON))
         self.common[frequent] = np.arange(len(frequent))
         at, row = place[owner], self.common[term]
-        self.matrix = np.zeros((len(frequent), self.blocks * BLOCK))
-        self.matrix[row[row >= 0], at[row >= 0]] = values[row >= 0]
-        self.matrix_max = self.matrix.reshape(len(frequent), self.blocks, BLOCK).max(2) if self.blocks else self.matrix
+        self.cells = (len(frequent), row[row >= 0].astype(np.int32), at[row >= 0].astype(np.int32), values[row >= 0])
+        self._fill()
         # the lists: runs of one term in one block, where they start, how long they are, their largest weight
         rare = row < 0
         term, at, values = term[rare], at[rare], values[rare]
@@ -178,6 +178,22 @@ class Index:
         self.runs_of = np.searchsorted(term[first], np.arange(len(self.names) + 1))
         self.owner = self.term = self.count = None
 
+    def _fill(self) -> None:
+        """The weights of common terms: a row for each, a column for each example's place."""
+        import numpy as np
+
+        n, row, at, values = self.cells
+        self.matrix = np.zeros((n, self.blocks * BLOCK))
+        self.matrix[row, at] = values
+        self.matrix_max = self.matrix.reshape(n, self.blocks, BLOCK).max(2) if self.blocks else self.matrix
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("matrix", "matrix_max")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._fill()
+
     def nearest(self, n: int, text, term, count, contents: list, k: int = NEIGHBOURS):
         """(cosines, examples) of the k best examples of each of n texts, best first; of those with a common term and another
         content, ties to the smaller digest. Places that no example takes have a cosine of 0."""
@@ -193,9 +209,11 @@ class Index:
         rare = row < 0
         starts, sizes = self.runs_of[term[rare]], self.runs_of[term[rare] + 1] - self.runs_of[term[rare]]
         run, asker, weight = _spread(starts, sizes), np.repeat(text[rare], sizes), np.repeat(weights[rare], sizes)
-        order = np.argsort(self.run_block[run], kind="stable")
+        # the runs of each block and text lie together
+        cell = self.run_block[run].astype(np.int64) * n + asker
+        order = np.argsort(cell, kind="stable")
         run, asker, weight = run[order], asker[order], weight[order]
-        edges = np.searchsorted(self.run_block[run], np.arange(self.blocks + 1))
+        ends = np.concatenate(([0], np.cumsum(np.bincount(cell, minlength=self.blocks * n))))
         bounds = np.bincount(asker * self.blocks + self.run_block[run], weight * self.run_max[run], n * self.blocks).reshape(n, self.blocks)
         bounds = bounds + dense @ self.matrix_max + 1e-8
         ranked, everyone = np.argsort(-bounds, axis=1, kind="stable"), np.arange(n)
@@ -207,15 +225,13 @@ class Index:
                 break
             for b in np.unique(block[open_]).tolist():
                 who = np.flatnonzero(open_ & (block == b))
-                here = np.full(n, -1)
-                here[who] = np.arange(len(who))
                 scores = dense[who] @ self.matrix[:, b * BLOCK : (b + 1) * BLOCK]
-                part = slice(edges[b], edges[b + 1])
-                mine = here[asker[part]]
-                runs, mine, heavy = run[part][mine >= 0], mine[mine >= 0], weight[part][mine >= 0]
+                start, size = ends[b * n + who], ends[b * n + who + 1] - ends[b * n + who]
+                mine, places = np.repeat(np.arange(len(who)) * BLOCK, size), _spread(start, size)
+                runs, heavy = run[places], weight[places]
                 length = self.run_size[runs]
                 postings = _spread(self.run_start[runs], length)
-                scores += np.bincount(np.repeat(mine * BLOCK, length) + self.at[postings], np.repeat(heavy, length) * self.values[postings], len(who) * BLOCK).reshape(-1, BLOCK)
+                scores += np.bincount(np.repeat(mine, length) + self.at[postings], np.repeat(heavy, length) * self.values[postings], len(who) * BLOCK).reshape(-1, BLOCK)
                 parts = np.rint(scores * _PARTS).astype(np.int64)
                 keys = np.where(parts > 0, parts * self.radix + (self.radix - 1 - self.example_at[b * BLOCK : (b + 1) * BLOCK]), -1)
                 same = own[who] - b * BLOCK
@@ -307,7 +323,7 @@ def _document_counts(shared, key: str):
         import pyarrow as pa
 
         numbers = resident(("toxicity", key), lambda: TermNumbers(shared.value))
-        counts, n = np.zeros(len(numbers.number), np.int64), 0
+        counts, n = np.zeros(len(numbers.names), np.int64), 0
         for batch in slices(batches):
             counts += np.bincount(numbers(batch.column("text"))[1], minlength=len(counts))
             n += batch.num_rows
@@ -341,7 +357,7 @@ def _votes(shared, key: str):
         index, numbers = resident(("toxicity", key), lambda: (shared.value, TermNumbers(shared.value.names)))
         for batch in batches:
             names = batch.column("names").flatten().dictionary_encode()
-            number = np.fromiter(map(numbers.number.__getitem__, names.dictionary.to_pylist()), np.int64, len(names.dictionary))
+            number = pc.index_in(names.dictionary, value_set=numbers.names).to_numpy(zero_copy_only=False).astype(np.int64)
             text = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column("names")).to_numpy(zero_copy_only=False))
             near = index.nearest(batch.num_rows, text, number[names.indices.to_numpy(zero_copy_only=False)], batch.column("counts").flatten().to_numpy(zero_copy_only=False), batch.column("content").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(index.votes(*near))], ["y", "vote"])
