@@ -10,9 +10,9 @@
    tree of as many edges as members, however large. A task's window forwards a key once.
 4. Pairs of a document and a hub within a signature distance of 46 (a pair at 0.8 is beyond it once in 100,000) are
    confirmed on the full shingle sets; links make components: a forest in each task, then star steps over all.
-5. Keys whose members still lie in different components are done in full. Components with near members in one key are a
-   family; in a grid of bounded blocks, each member outside a family's largest component is confirmed against all members of
-   other components. No partner is dropped: pairs that stay unconfirmed are those within one component already. Tasks hand
+5. Keys whose members still lie in different components are done in full, in grids of bounded blocks: each member outside a
+   key's largest component meets all others of the key. Components with near members in one key are a family, of which each
+   member outside the largest component is confirmed against all members of other components. No partner is dropped: pairs that stay unconfirmed are those within one component already. Tasks hand
    on what joins components, never all pairs of a group.
 """
 
@@ -32,7 +32,7 @@ _WINDOW_KEYS = 500_000
 _WINDOW_LINKS = 500_000
 _HUB_ROWS = 64
 #: Bounds of a block of a family or a key; a cell compares two blocks.
-_BLOCK_ROWS, _BLOCK_BYTES = 256, 4_000_000
+_BLOCK_ROWS, _BLOCK_BYTES = 1024, 8_000_000
 _LARGEST = (1 << 32) - 1
 
 
@@ -329,7 +329,7 @@ class _Sets:
 
 
 def _label_forest(left, right):
-    """Of two blocks of one key: label pairs (hub, id) that tie together all labels which have near members."""
+    """Of members of a key and a block of all of them: label pairs (hub, id) that tie together the labels which have near members."""
     import numpy as np
     import pyarrow as pa
 
@@ -337,10 +337,8 @@ def _label_forest(left, right):
     if left.num_rows and right.num_rows:
         a, b = _matrix(left.column("sig").combine_chunks()), _matrix(right.column("sig").combine_chunks())
         a_label, b_label = left.column("label").to_numpy(), right.column("label").to_numpy()
-        # rows of the most common label are met from the other side, in this cell or in its mirror image
-        labels, counts = np.unique(np.concatenate((a_label, b_label)), return_counts=True)
         sets = _Sets()
-        for i in np.flatnonzero(a_label != labels[counts.argmax()]):
+        for i in range(len(a)):
             js = np.flatnonzero(b_label != a_label[i])
             for label in np.unique(b_label[js[(b[js] != a[i]).sum(1) <= FARTHEST]]).tolist():
                 if sets.join(int(a_label[i]), label):
@@ -405,22 +403,24 @@ def family_links(edges: DataFrame, labels: DataFrame, prints: DataFrame, texts:
     Blocks of a key are bounded by rows, those of a family by rows and by bytes of text, so a cell takes as much memory
     whatever the size of its family and the lengths of its texts (one text at least).
     """
-    blocks = lambda n: F.ceil(F.col(n) / _BLOCK_ROWS).cast("int")
+    enough = lambda n, b=F.lit(0): F.greatest(F.ceil(n / _BLOCK_ROWS), F.ceil(b / _BLOCK_BYTES), F.lit(1)).cast("int")
     mixed = edges.join(_different(edges, labels).select("key").distinct(), "key", "left_semi")
     members = mixed.select("key", "id").union(mixed.select("key", F.col("hub").alias("id"))).distinct()
-    sized = members.join(members.groupBy("key").agg(F.count("*").alias("n")), "key")
-    rows = through_table(sized.join(labels, "id", "left").join(prints.select("id", "sig"), "id").select(
-        "key", "id", F.coalesce("label", "id").alias("label"), "sig", blocks("n").alias("blocks")), "mixed")
-    forest = _grid(rows, "key", "true", "blocks", "blocks", "id", "label", "sig").applyInArrow(_label_forest, "hub bigint, id bigint")
+    named = members.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    sizes = named.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most"))
+    # members of a key's largest component are met from the other side
+    sized = named.join(sizes, "key").select(
+        "key", "id", "label", (F.col("label") != F.col("most.label")).alias("minor"), enough(2 * (F.col("n") - F.col("most.n"))).alias("minor_blocks"), enough(F.col("n")).alias("blocks"))
+    rows = through_table(sized.join(prints.select("id", "sig"), "id"), "mixed")
+    forest = _grid(rows, "key", "minor", "minor_blocks", "blocks", "id", "label", "sig").applyInArrow(_label_forest, "hub bigint, id bigint")
     tied = components(forest)
     families = tied.select(F.col("id").alias("label"), F.col("label").alias("family"))
 
     of = rows.select("id", "label").distinct().join(families, "label").join(texts.select("id", "size"), "id")
     sizes = of.groupBy("family", "label").agg(F.count("*").alias("n"), F.sum("size").alias("b")).groupBy("family").agg(
         F.sum("n").alias("n"), F.sum("b").alias("b"), F.max(F.struct("n", "label", "b")).alias("most"))
-    enough = lambda n, b: F.greatest(F.ceil(n / _BLOCK_ROWS), F.ceil(b / _BLOCK_BYTES), F.lit(1)).cast("int")
     placed = of.join(sizes, "family").select(
-        "family", "id", "label", (F.col("label") != F.col("most.label")).alias("minor"), enough(F.col("n") - F.col("most.n"), F.col("b") - F.col("most.b")).alias("minor_blocks"), enough(F.col("n"), F.col("b")).alias("blocks"))
+        "family", "id", "label", (F.col("label") != F.col("most.label")).alias("minor"), enough(2 * (F.col("n") - F.col("most.n")), F.col("b") - F.col("most.b")).alias("minor_blocks"), enough(F.col("n"), F.col("b")).alias("blocks"))
     family = through_table(placed.join(texts.select("id", "packed"), "id"), "families")
     links = through_table(_grid(family, "family", "minor", "minor_blocks", "blocks", "id", "label", "packed").applyInArrow(_family_cell(k, percent), "hub bigint, id bigint"), "family-links")
     discard(rows, tied, family)
