@@ -17,6 +17,11 @@ def totals(attempts: DataFrame, by: str = "doc_id") -> DataFrame:
     return attempts.groupBy(by).agg(F.count("*").alias("calls"), *(F.sum(c).alias(c) for c in ("input_tokens", "output_tokens", "cost_usd")))
 
 
+def price(input_tokens: int, output_tokens: int, cache_read_tokens: int, cache_write_tokens: int, usd_in: float, usd_out: float) -> float:
+    """`cost`, for one document at hand."""
+    return (input_tokens * usd_in + output_tokens * usd_out + cache_read_tokens * usd_in * 0.1 + cache_write_tokens * usd_in * 1.25) / 1_000_000
+
+
 def cost(calls: DataFrame, prices: DataFrame) -> DataFrame:
     """`calls` with cost_usd; `prices` has model and USD per million tokens in and out. Reading from a cache costs a tenth of
     the input price, writing to it a quarter more. A model without a price costs 0."""

@@ -21,6 +21,9 @@ CLAIMS = """fields array<struct<name: string, value: double, unit_scale: double,
 CLAIM_KEYS = ("name", "value", "unit_scale", "currency", "page", "quote", "confidence")
 #: One claim per row, as verification and scoring read it.
 CLAIM_ROWS = "doc_id string, pos int, name string, value double, unit_scale double, currency string, page int, quote string, confidence double"
+#: One document per row, as an extractor gives it: what it claims, and what that took.
+EXTRACTIONS = """doc_id string, extractor string, model string, latency_s double, input_tokens bigint, output_tokens bigint, cost_usd double, retries int, error string,
+    fields array<struct<pos: int, name: string, value: double, unit_scale: double, currency: string, page: int, quote: string, confidence: double>>"""
 
 
 def line_items(spark: SparkSession) -> DataFrame:
