@@ -28,14 +28,21 @@ def outcome(actual: Column, grounded: Column, expected: Column) -> Column:
     )
 
 
+#: What a scored field carries along for an audit, where its sides have it.
+_NOTES, _EVIDENCE = ("note", "pos"), ("value", "unit_scale", "currency", "page", "quote")
+
+
 def score_fields(golden: DataFrame, claims: DataFrame) -> DataFrame:
     """A row for each golden field (doc_id, name, expected, ambiguous): its first claim, scaled, and the outcome.
 
     Golden labels drive: claims on other fields are ignored, missing ones are abstentions. `claims` has doc_id, name, pos,
-    value, unit_scale, grounded and confidence.
+    value, unit_scale, grounded and confidence. The label's note and place and the claim's own value, scale, currency, page and
+    quote stay on the row (as raw_value, unit_scale, ...), where there are such columns.
     """
-    own = first_claims(claims).select("doc_id", "name", (F.col("value") * F.col("unit_scale")).alias("actual"), "grounded", "confidence")
-    scored = golden.select("doc_id", "name", "expected", "ambiguous").join(own, ["doc_id", "name"], "left")
+    evidence = [F.col(c).alias("raw_value" if c == "value" else c) for c in _EVIDENCE if c in claims.columns]
+    own = first_claims(claims).select("doc_id", "name", (F.col("value") * F.col("unit_scale")).alias("actual"), "grounded", "confidence", *evidence)
+    notes = [c for c in _NOTES if c in golden.columns]
+    scored = golden.select("doc_id", "name", "expected", "ambiguous", *notes).join(own, ["doc_id", "name"], "left")
     return with_outcome(scored)
 
 
@@ -100,3 +107,10 @@ def document_grounding(fields: DataFrame) -> DataFrame:
     claimed = F.col("actual").isNotNull()
     share = F.try_divide(F.count_if(claimed & F.col("grounded")).cast("double"), F.count_if(claimed).cast("double"))
     return fields.groupBy("doc_id").agg(F.coalesce(share, F.lit(0.0)).alias("grounding_rate"))
+
+
+def totals(extractions: DataFrame) -> DataFrame:
+    """One row: documents, and what they took in all."""
+    zero = lambda c, t: F.coalesce(F.sum(c), F.lit(0).cast(t)).alias(f"total_{c}")
+    return extractions.agg(
+        F.count("*").alias("n_documents"), zero("cost_usd", "double"), zero("latency_s", "double"), zero("input_tokens", "bigint"), zero("output_tokens", "bigint"), zero("retries", "bigint"))

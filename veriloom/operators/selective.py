@@ -5,9 +5,7 @@ Everything global is over distinct confidences or documents, aggregated before i
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Above every confidence: nothing is answered.
@@ -46,25 +44,43 @@ def _share(a: str, b: str):
     return F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
 
 
+def running(rows: DataFrame, order: str, sums: dict[str, str], down: bool = False, buckets: int = 64) -> DataFrame:
+    """`rows` with running sums by `order`: each name in `sums` is the sum of a column up to and with the row.
+
+    Rows are sorted and summed within ranges of `order`, and what lies in the ranges before is added, so no task holds them all
+    unless all have one value. The ranges' edges are quantiles; which they are changes how even the tasks are, not the sums.
+    """
+    edges = rows.agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 10_000)).first()[0]
+    edges = F.array(*map(F.lit, sorted(set(edges)))) if edges else None
+    bucket = F.lit(0) if edges is None else F.size(F.filter(edges, lambda e: e <= F.col(order)))
+    ranged = rows.withColumn("_bucket", -bucket if down else bucket)
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # over the ranges
+    totals = ranged.groupBy("_bucket").agg(*(F.sum(c).alias(f"_{n}") for n, c in sums.items()))
+    offsets = totals.select("_bucket", *(F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in sums))
+    upto = Window.partitionBy("_bucket").orderBy(F.desc(order) if down else F.asc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    within = ranged.withColumns({n: F.sum(c).over(upto) for n, c in sums.items()})
+    return within.join(F.broadcast(offsets), "_bucket").withColumns({n: F.col(n) + F.col(f"_{n}") for n in sums}).drop("_bucket", *(f"_{n}" for n in sums))
+
+
 def _curve(counts: DataFrame) -> DataFrame:
-    down = Window.orderBy(F.desc("confidence")).rowsBetween(Window.unboundedPreceding, 0)
-    all_ = Window.orderBy(F.desc("confidence")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     answered = F.col("n_answered").cast("double")
-    summed = counts.select("confidence", F.sum("n").over(down).alias("n_answered"), F.sum("wrong").over(down).alias("errors"), F.sum("n").over(all_).alias("total"))
-    return summed.select("confidence", "n_answered", (answered / F.col("total")).alias("coverage"), (F.col("errors") / answered).alias("risk"))
+    total = counts.agg(F.sum("n").alias("total"))
+    summed = running(counts, "confidence", {"n_answered": "n", "errors": "wrong"}, down=True).crossJoin(F.broadcast(total))
+    return summed.select("confidence", "n", "wrong", "n_answered", (answered / F.col("total")).alias("coverage"), (F.col("errors") / answered).alias("risk"), "errors", "total")
 
 
 def _area(counts: DataFrame) -> DataFrame:
-    up = Window.orderBy("coverage")
-    steps = _curve(counts).select("coverage", "risk", F.lag("coverage").over(up).alias("c"), F.lag("risk").over(up).alias("r"))
-    return steps.agg(F.coalesce(F.sum((F.col("coverage") - F.col("c")) * (F.col("risk") + F.col("r")) / 2), F.lit(0.0)).alias("aurc"))
+    """Trapezoids between neighbours on the curve; a row knows the point before it from its own counts."""
+    before, errors = F.col("n_answered") - F.col("n"), F.col("errors") - F.col("wrong")
+    width, height = F.col("n") / F.col("total").cast("double"), (F.col("risk") + errors / before.cast("double")) / 2
+    return _curve(counts).agg(F.coalesce(F.sum(F.when(before > 0, width * height)), F.lit(0.0)).alias("aurc"))
 
 
 def _threshold(counts: DataFrame, alpha: float) -> DataFrame:
     if not 0.0 < alpha < 1.0:
         raise ValueError(f"alpha must lie between 0 and 1, not {alpha!r}")
     scores = counts.where("n > wrong").groupBy((F.lit(1.0) - F.col("confidence")).alias("score")).agg(F.sum(F.col("n") - F.col("wrong")).alias("m"))
-    reached = scores.withColumn("upto", F.sum("m").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, 0)))
+    reached = running(scores, "score", {"upto": "m"})
     n = scores.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("n_correct")).withColumn("k", F.ceil((F.col("n_correct") + 1) * (F.lit(1.0) - F.lit(alpha))).cast("bigint"))
     at = n.join(reached, F.col("upto") >= F.col("k"), "left").groupBy("n_correct", "k").agg(F.min("score").alias("score"))
     return at.select("n_correct", "k", F.coalesce(F.lit(1.0) - F.col("score"), F.lit(IMPOSSIBLE)).alias("threshold"))
@@ -81,7 +97,7 @@ def _evaluate(counts: DataFrame, cut: DataFrame, alpha: float) -> DataFrame:
 
 def risk_coverage(items: DataFrame) -> DataFrame:
     """(confidence, n_answered, coverage, risk) for each distinct confidence, answering it and everything above."""
-    return _curve(_by_confidence(items))
+    return _curve(_by_confidence(items)).select("confidence", "n_answered", "coverage", "risk")
 
 
 def aurc(items: DataFrame) -> DataFrame:
@@ -105,9 +121,9 @@ def evaluate(test: DataFrame, cut: DataFrame, alpha: float = 0.1) -> DataFrame:
 def summarise(fields: DataFrame, alpha: float = 0.1) -> DataFrame:
     """One row: sizes, threshold, operating point on the test half, area and baseline error over all items.
 
-    Items are read once, into counts per half and confidence; the rest is over those.
+    Items are read once, into counts per half and confidence, which are kept: the rest reads only those.
     """
-    counts = _by_confidence(scored_items(fields).join(split_documents(fields), "doc_id"), "half")
+    counts = _by_confidence(scored_items(fields).join(split_documents(fields), "doc_id"), "half").persist()
     whole = counts.groupBy("confidence").agg(F.sum("n").alias("n"), F.sum("wrong").alias("wrong"))
     cut = _threshold(counts.where("half = 0"), alpha)
     point = _evaluate(counts.where("half = 1"), cut, alpha).select("coverage", "error_on_answered", "guarantee_held", F.col("n_total").alias("n_test"))
@@ -119,6 +135,6 @@ def summarise(fields: DataFrame, alpha: float = 0.1) -> DataFrame:
     return joined.withColumns({"threshold_supported": F.col("threshold") < IMPOSSIBLE, "aurc_is_informative": F.col("n_distinct_confidences") >= 4, "alpha": F.lit(alpha)})
 
 
-def least_calibration(alpha: float) -> int:
+def least_calibration(alpha: Column) -> Column:
     """The fewest correct calibration items that can carry `alpha`."""
-    return max(1, math.ceil((1.0 - alpha) / alpha))
+    return F.greatest(F.lit(1), F.ceil((F.lit(1.0) - alpha) / alpha)).cast("bigint")

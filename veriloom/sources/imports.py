@@ -5,11 +5,12 @@ from __future__ import annotations
 import lzma
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from veriloom.functions import columns as C
+from veriloom.operators.selective import running
 
 COLUMNS = ("filename", "keys", "text_djvu", "text_tesseract", "text_textract", "text_best")
 
@@ -50,8 +51,11 @@ def read_xz(spark: SparkSession, path: str) -> DataFrame:
 
 
 def positioned(rows: DataFrame, order: str) -> DataFrame:
-    """`rows` with `position` from 0 by `order`, for files whose reader does not count."""
-    return rows.withColumn("position", F.row_number().over(Window.orderBy(order)) - 1)
+    """`rows` with `position` from 0 by `order`, for files whose reader does not count; equal values get neighbouring places.
+
+    Rows are ranked within ranges, and the sizes of the ranges before are added.
+    """
+    return running(rows.withColumn("_one", F.lit(1)), order, {"position": "_one"}).withColumn("position", F.col("position") - 1).drop("_one")
 
 
 def zip_by_position(left: DataFrame, right: DataFrame) -> DataFrame:
