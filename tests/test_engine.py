@@ -1,22 +1,19 @@
 import json
-import os
-from pathlib import Path
+import random
+import sys
 
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from veriloom import cli, schemas
+from veriloom import cli, render, schemas
 from veriloom.functions import columns as C
 from veriloom.operators import frontier, gate, ratios, scoring, selective
-from veriloom.operators.extract import Heuristic, Model, Replay
+from veriloom.operators.extract import Heuristic, Model, Replay, Reply, UsageError, build
 from veriloom.operators.verify import admit, verify
-from veriloom.plans.run import run_corpus
-from veriloom.sources import corpus, imports, runs
+from veriloom.plans.run import artifact, run_corpus, score_run
+from veriloom.sources import corpus, fixtures, imports, runs
 
-#: A six-document example corpus with published results; its folder is named by whoever has it.
-EXAMPLES = Path(os.environ.get("VERILOOM_EXAMPLE_CORPUS", "/nonexistent"))
-needs_examples = pytest.mark.skipif(not EXAMPLES.exists(), reason="VERILOOM_EXAMPLE_CORPUS names no folder")
 LABELS = {
     "a": [("revenue_ltm", 1_250_000.0, False), ("total_debt", 400_000.0, False), ("cash", 60_000.0, False), ("interest_expense", 20_000.0, False), ("cfads", None, False), ("principal_repayments", 5_000.0, False)],
     "b": [("revenue_ltm", 5.0, True), ("total_debt", None, False), ("cash", None, True)],
@@ -37,34 +34,98 @@ def small(tmp_path_factory):
 
 
 @pytest.fixture(scope="module")
-def run(spark):
-    return run_corpus(spark, str(EXAMPLES), Heuristic())
+def examples(tmp_path_factory):
+    root = tmp_path_factory.mktemp("examples")
+    fixtures.write_example(str(root))
+    return root
+
+
+@pytest.fixture(scope="module")
+def run(spark, examples):
+    return run_corpus(spark, str(examples), Heuristic())
 
 
-@needs_examples
-def test_published_outcomes(run):
+def test_every_outcome_is_as_made(run):
+    """Known by construction, and the same totals as the published baseline: 19, 8, 3, 1, 15, 2 of 48 fields."""
+    kinds = dict(zip("CMOHAU", schemas.OUTCOMES[:4] + schemas.OUTCOMES[4:]))
+    got = {(r.doc_id, r.name): r.outcome for r in run.fields.collect()}
+    assert got == {(d, item): kinds[k] for d, row in fixtures.OUTCOMES.items() for item, k in zip(schemas.ITEMS, row)}
     overall = run.report.where("scope = 'overall'").first()
     assert [overall[o] for o in schemas.OUTCOMES] == [19, 8, 3, 1, 15, 2]
     assert (overall.accuracy, overall.coverage, overall.hallucination_rate, overall.omission_rate) == (0.59375, 0.90625, 0.0625, 0.09375)
+    assert overall.grounding_rate == pytest.approx(28 / 30) and overall.n_abstained == 18
     ambiguous = run.report.where("scope = 'ambiguous'").first()
-    assert [ambiguous[m] for m in ("accuracy", "coverage", "grounding_rate", "hallucination_rate", "abstention_precision")] == [0.2, 0.8, 0.75, 0.0, 1.0]
-
-
-@needs_examples
-def test_published_selective_and_ratios(run):
-    s = run.selective.first()
-    assert (s.n_calibration, s.n_calibration_correct, s.n_test, s.threshold, s.guarantee_held) == (19, 13, 11, 0.6, False)
-    assert s.aurc == pytest.approx(0.0567778, abs=1e-7) and s.baseline_error == pytest.approx(11 / 30)
+    assert ambiguous.n_fields == len(fixtures.AMBIGUOUS)
+
+
+def by_hand(row):
+    """The four ratios of one document's values, worked out one by one; null where they are refused."""
+    v = dict(zip(schemas.ITEMS, row))
+    bad = lambda *items: any(v[i] == "rejected" for i in items)
+    adjusted = None if v["ebitda_reported"] is None or bad("ebitda_reported", "ebitda_addbacks") else v["ebitda_reported"] + (v["ebitda_addbacks"] or 0)
+    leverage = None if v["total_debt"] is None or bad("total_debt", "cash") or not adjusted or adjusted <= 0 else (v["total_debt"] - (v["cash"] or 0)) / adjusted
+    legs = (v["interest_expense"], v["principal_repayments"])
+    flow = adjusted if v["cfads"] is None else v["cfads"]
+    dscr = None if bad("cfads", "interest_expense", "principal_repayments") or flow is None or None in legs or sum(legs) <= 0 else flow / sum(legs)
+    return {"ltm_revenue": None if bad("revenue_ltm") else v["revenue_ltm"], "adjusted_ebitda": adjusted, "leverage": leverage, "dscr": dscr}
+
+
+def test_ratios_of_the_examples_by_hand(run):
+    claimed = {"C": lambda x: x, "M": lambda x: 3 * x, "H": lambda x: x, "U": lambda x: "rejected", "O": lambda x: None, "A": lambda x: None}
+    counts = dict.fromkeys(schemas.RATIO_OUTCOMES, 0)
+    for d, (name, kinds) in enumerate(fixtures.OUTCOMES.items()):
+        values = [fixtures.value_of(d, i) for i in range(8)]
+        got, want = by_hand([claimed[k](x) for k, x in zip(kinds, values)]), by_hand([None if k in "AH" else x for k, x in zip(kinds, values)])
+        rows = {r.ratio: r for r in run.comparisons.where(F.col("doc_id") == name).collect()}
+        for ratio in schemas.RATIOS:
+            assert (rows[ratio].extracted, rows[ratio].expected) == (pytest.approx(got[ratio]), pytest.approx(want[ratio])), (name, ratio)
+            outcome = (
+                "both_abstained" if got[ratio] is want[ratio] is None else "extraction_abstained" if got[ratio] is None else "golden_abstained" if want[ratio] is None
+                else "agree" if abs(got[ratio] - want[ratio]) <= 0.01 * max(abs(got[ratio]), abs(want[ratio])) else "disagree")
+            assert rows[ratio].outcome == outcome
+            counts[outcome] += 1
     r = run.ratio_summary.first()
-    assert [r[o] for o in schemas.RATIO_OUTCOMES] == [6, 6, 8, 3, 1]
-    assert (r.agreement, r.safety) == (pytest.approx(14 / 24), pytest.approx(17 / 24))
+    assert {o: r[o] for o in schemas.RATIO_OUTCOMES} == counts and r.safety == pytest.approx((counts["agree"] + counts["both_abstained"] + counts["extraction_abstained"]) / 24)
 
 
-@needs_examples
-def test_committed_floors_hold(spark, run):
-    rows, undefined = gate.thresholds((EXAMPLES / "thresholds.json").read_text())
-    checks = gate.grade(run.metrics, gate.threshold_table(spark, rows), undefined)
-    assert gate.passes(checks).first()["passed"] and checks.count() == len(rows)
+def test_selective_summary_by_hand(run):
+    rows = [r for r in run.fields.collect() if r.actual is not None]
+    half = {d: i % 2 for i, d in enumerate(sorted(fixtures.OUTCOMES))}
+    right = sorted(1 - r.confidence for r in rows if half[r.doc_id] == 0 and r.outcome == "correct")
+    k = -(-(len(right) + 1) * 9 // 10)
+    cut = 1 - right[k - 1] if k <= len(right) else selective.IMPOSSIBLE
+    test = [r for r in rows if half[r.doc_id] == 1]
+    answered = [r for r in test if r.confidence >= cut]
+    s = run.selective.first()
+    assert (s.n_items, s.n_calibration_correct, s.n_test, s.threshold) == (30, len(right), len(test), pytest.approx(cut))
+    assert s.coverage == pytest.approx(len(answered) / len(test)) and s.baseline_error == pytest.approx(11 / 30)
+
+
+def test_the_artifact_is_whole(spark, run, tmp_path):
+    path = f"{tmp_path}/{run.run_id}"
+    runs.save_run(artifact(run, spark), path, run.documents)
+    kept = runs.as_dict(spark, path)
+    assert {"run_id", "extractor", "corpus_root", "created_at", "alpha", "verified", "skipped", "report", "latency_p50", "cost_per_document", "ratios", "selective", "documents"} <= set(kept)
+    assert kept["report"]["overall"]["taxonomy"] == dict(zip(schemas.OUTCOMES, [19, 8, 3, 1, 15, 2])) and list(kept["report"]["per_field"]) == list(schemas.ITEMS)
+    assert kept["report"]["n_documents"] == 6 and kept["report"]["n_fields"] == 48 and kept["latency_p50"] >= 0 and kept["cost_per_document"] == 0
+    assert len(kept["selective"]["curve"]["coverage"]) == kept["selective"]["n_distinct_confidences"] and sum(kept["ratios"]["counts"].values()) == 24
+    assert [d["doc_id"] for d in kept["documents"]] == sorted(fixtures.OUTCOMES)
+    first = kept["documents"][0]
+    assert [f["name"] for f in first["fields"]] == list(schemas.ITEMS) and [r["name"] for r in first["ratios"]] == list(schemas.RATIOS) and first["n_pages"] == 2 and first["source"]
+    debt = first["fields"][0]
+    assert debt["quote"].startswith("Total revenue") and debt["page"] == 1 and debt["raw_value"] == fixtures.value_of(0, 0) and debt["note"] == "made as C" and debt["outcome"] == "correct"
+    assert first["ratios"][0]["inputs_used"] == ["revenue_ltm"]
+
+
+def test_reports_as_text(spark, run, examples, capsys):
+    text = "\n".join(render.run(run, verbose=True))
+    for part in ("59.4%", "90.6%", "93.3%", "6.2%", "Outcomes", "hallucination", "example-6", "revenue_ltm (", "no threshold" if not run.selective.first().threshold_supported else "threshold"):
+        assert part in text, part
+    assert cli.main(["corpus", str(examples)], spark) == cli.OK and "48 fields: 32 stated, 16 absent" in capsys.readouterr().out
+    assert cli.main(["gate", str(examples)], spark) == cli.OK and "PASS: 6 thresholds" in capsys.readouterr().out
+    assert cli.main(["sweep", str(examples), "--extractor", "heuristic,offline"], spark) == cli.OK
+    out = capsys.readouterr().out
+    assert "heuristic" in out and "59.4%" in out and "offline failed" in out
 
 
 def test_a_small_corpus(spark, small):
@@ -94,9 +155,9 @@ def test_cli_exit_codes(spark, small, tmp_path, capsys):
     assert cli.main(["extract", root], spark) == cli.OK and cli.main(["corpus", root], spark) == cli.OK
     assert cli.main(["run", root, "--save", str(tmp_path / "runs")], spark) == cli.OK
     assert "hallucination" in capsys.readouterr().out
-    (tmp_path / "runs" / "bad").mkdir()
-    (tmp_path / "runs" / "bad" / "x.txt").write_text("not json")
-    listed = runs.list_runs(spark, f"{tmp_path}/runs/*/*.txt").collect()
+    (tmp_path / "runs" / "bad" / "run").mkdir(parents=True)
+    (tmp_path / "runs" / "bad" / "run" / "x.txt").write_text("not json")
+    listed = runs.list_runs(spark, f"{tmp_path}/runs/*/run/*.txt").collect()
     assert [(r.extractor, r.error is None) for r in listed] == [("heuristic", True), (None, False)]
 
 
@@ -210,25 +271,124 @@ def test_replay_keeps_the_last_admitted(spark):
     assert (row.value, row.unit_scale, row.confidence) == (7.0, 1.0, 1.0)
 
 
-def test_model_asks_again_with_what_was_wrong(spark):
-    def claim(**x):
-        return {"name": "cash", "value": 5, "unit_scale": 1, "currency": None, "page": 1, "quote": "Cash 5", "confidence": 0.9} | x
+def claim(**x):
+    return {"name": "cash", "value": 5, "unit_scale": 1, "currency": None, "page": 1, "quote": "Cash 5", "confidence": 0.9} | x
+
 
-    replies = [json.dumps({"fields": [claim(quote="Cash 6"), claim(name="cfads", value=None, page=None, quote=None)]}), "prose {\"fields\": [%s]} end" % json.dumps(claim())]
+def answer(*claims):
+    return json.dumps({"fields": list(claims)})
+
+
+def asking(*replies):
+    """A model that gives these replies in turn, and what it was asked."""
     asked = []
 
     def ask(prompt):
         asked.append(prompt)
-        return replies[len(asked) - 1]
+        reply = replies[len(asked) - 1]
+        if isinstance(reply, Exception):
+            raise reply
+        return reply
+
+    return ask, asked
 
-    found = Model(ask).document(["Cash 5"])
-    assert found["cash"]["value"] == 5 and found["cfads"]["value"] is None and "not on page 1" in asked[1]
-    assert Model(lambda p: "no json").document(["x"]) == {}
-    assert Model(lambda p: json.dumps({"fields": [claim(extra=1)]})).document(["Cash 5"]) == {}
-    fields = Model(lambda p: json.dumps({"fields": [claim()]})).claims(spark.createDataFrame([("d", ["Cash 5"])], schemas.TEXT))
+
+def test_model_asks_again_with_what_was_wrong(spark):
+    ask, asked = asking(answer(claim(quote="Cash 6"), claim(name="cfads", value=None, page=None, quote=None)), "prose " + answer(claim()) + " end")
+    taken = Model(ask).document(["Cash 5"])
+    assert taken.found["cash"]["value"] == 5 and taken.found["cfads"]["value"] is None and "not on page 1" in asked[1] and taken.retries == 1
+    text = answer(claim())
+    fields = Model(lambda p: text).claims(spark.createDataFrame([("d", ["Cash 5"])], schemas.TEXT))
     assert fields.where("name = 'cash'").first().value == 5.0 and fields.count() == 8
 
 
+@pytest.mark.parametrize("bad", ["not json", '{"fields": [{"name": "not-an-item"}]}', "{}", '{"fields": 5}', answer(claim(extra=1)), answer(claim(value="five")), '{"fields": [}'])
+def test_model_asks_again_after_an_unreadable_reply(bad):
+    ask, asked = asking(bad, answer(claim()))
+    taken = Model(ask).document(["Cash 5"])
+    assert taken.found["cash"]["value"] == 5 and taken.retries == 1 and "not what was asked for" in asked[1] and taken.error is None
+    ask, asked = asking(bad, bad)
+    assert Model(ask).document(["Cash 5"]).found == {} and len(asked) == 2
+    ask, asked = asking(bad)
+    assert Model(ask, retries=0).document(["Cash 5"]).retries == 0 and len(asked) == 1
+
+
+def test_a_failed_call_or_a_refusal_ends_the_attempts():
+    for last in (RuntimeError("reset"), Reply(None), Reply("x", refused=True)):
+        ask, asked = asking(answer(claim(), claim(name="total_debt", value=7)), last)
+        taken = Model(ask, retries=5).document(["Cash 5"])
+        assert set(taken.found) == {"cash"} and taken.error and len(asked) == 2
+    ask, asked = asking()
+    assert Model(ask).document([]).error == "no pages" and asked == []
+
+
+def test_a_runs_tokens_costs_and_retries(spark):
+    replies = iter([Reply(answer(claim(quote="Cash 6")), 1000, 200, 50, 20), Reply(answer(claim()), 1000, 200), Reply(answer(claim()), 500, 100)])
+    documents = spark.createDataFrame([("d", ["Cash 5"]), ("e", ["Cash 5"])], schemas.TEXT).coalesce(1)
+    model = Model(lambda p: None, name="m", model="big", prices=(5.0, 25.0))
+    rows = [(d, model_document(model, replies)) for d in ("d", "e")]
+    each = 1000 * 5 + 200 * 25
+    assert [t.cost_usd for _, t in rows] == [pytest.approx((2 * each + 50 * 0.5 + 20 * 6.25) / 1e6), pytest.approx(each / 2e6)]
+    reply = Reply(answer(claim()), 1000, 200)
+    priced = Model(lambda p: reply, prices=(5.0, 25.0))
+    golden = spark.createDataFrame([("d", "cash", 5.0, False), ("e", "cash", 6.0, True)], "doc_id string, name string, expected double, ambiguous boolean")
+    done = score_run(golden, documents, priced)
+    t = done.totals.first()
+    assert (t.n_documents, t.total_input_tokens, t.total_output_tokens, t.total_retries, t.total_cost_usd) == (2, 2000, 400, 0, pytest.approx(2 * each / 1e6))
+    assert done.latency.first().cost_per_document == pytest.approx(each / 1e6) and done.latency.first().latency_p50 >= 0
+    assert {r.doc_id: r.input_tokens for r in done.documents.collect()} == {"d": 1000, "e": 1000}
+
+
+def model_document(model, replies):
+    model.ask = lambda prompt: next(replies)
+    return model.document(["Cash 5"])
+
+
+def test_a_model_behind_a_program():
+    reply = answer(claim())
+    taken = build("command", argv=[sys.executable, "-c", f"import sys; sys.stdin.read(); print('so: ' + {reply!r})"]).document(["Cash 5"])
+    assert taken.found["cash"]["value"] == 5 and taken.cost_usd == 0
+    assert "ended with 3" in build("command", argv=[sys.executable, "-c", "raise SystemExit(3)"]).document(["Cash 5"]).error
+    for bad in ({"name": "command", "argv": ["no-such-program"]}, {"name": "command"}, {"name": "offline"}, {"name": "nobody"}, {"name": "heuristic", "model": "big"}):
+        with pytest.raises(UsageError):
+            build(**bad)
+
+
+def test_pdfs_with_a_parser(spark, tmp_path):
+    """Any parser will do; one that fails makes a document without pages, whose error is on its row."""
+    for folder in ("golden", "text", "pdfs"):
+        (tmp_path / folder).mkdir()
+    for d in ("a", "b", "c"):
+        (tmp_path / "golden" / f"{d}.json").write_text(json.dumps({"doc_id": d, "fields": [{"name": "cash", "value": 5.0}]}))
+    (tmp_path / "text" / "a.json").write_text('{"pages": ["Cash 9"]}')
+    (tmp_path / "pdfs" / "a.pdf").write_bytes(b"%PDF-Cash 5\x0cmore")
+    (tmp_path / "pdfs" / "b.pdf").write_bytes(b"%PDF-broken")
+    (tmp_path / "pdfs" / "c.pdf").write_bytes(b"no")
+
+    def parser(data):
+        if b"broken" in data:
+            raise ValueError("unreadable")
+        return data[5:].decode().split("\x0c")
+
+    done = run_corpus(spark, str(tmp_path), Heuristic(), parser=parser)
+    rows = {r.doc_id: r for r in done.documents.collect()}
+    assert {d: (r.n_pages, r.fields[0].outcome, r.error) for d, r in rows.items()} == {"a": (2, "correct", None), "b": (0, "omission", "ValueError: unreadable"), "c": (0, "omission", "empty, too large or no PDF")}
+    assert run_corpus(spark, str(tmp_path), Heuristic()).fields.first().outcome == "mismatch"  # without a parser the text counts
+    with pytest.raises(corpus.CorpusError):
+        corpus.document(spark, str(tmp_path), "b")
+
+
+def test_running_sums(spark):
+    rng = random.Random(4)
+    rows = [(rng.randrange(300) / 300, rng.randrange(5)) for _ in range(2000)]
+    for down in (False, True):
+        got = selective.running(spark.createDataFrame(rows, "x double, n int").groupBy("x").agg(F.sum("n").alias("n")), "x", {"upto": "n"}, down, 7).collect()
+        for r in got:
+            assert r.upto == sum(n for x, n in rows if (x >= r.x if down else x <= r.x))
+    placed = imports.positioned(spark.createDataFrame(rows, "x double, n int").repartition(5), "x").orderBy("position").collect()
+    assert [r.position for r in placed] == list(range(2000)) and [r.x for r in placed] == sorted(x for x, _ in rows)
+
+
 def test_thresholds():
     rows, undefined = gate.thresholds('{"allow_undefined": true, "metrics": {"accuracy": 0.5, "field.cash.accuracy": {"max": 1, "note": "n"}}}')
     assert undefined and rows == [("accuracy", "min", 0.5, ""), ("field.cash.accuracy", "max", 1.0, "n")]

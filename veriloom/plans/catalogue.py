@@ -8,14 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriloom.functions import columns as C
-from veriloom.operators import attempts, frontier, gate, ratios, scoring, selective, verify
+from veriloom.functions import kernels
+from veriloom.operators import attempts, containment, frontier, gate, ratios, scoring, selective, verify
 from veriloom.operators.extract import Heuristic
 from veriloom.schemas import ITEMS, OUTCOMES, RATES, RATIO_OUTCOMES
-from veriloom.sources import corpus, imports
+from veriloom.sources import corpus, imports, writers
+from veriloom.sources.scratch import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -102,13 +104,18 @@ def _fields(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.with_outcome(e)
 
 
-@query(f"WITH {CLAIMS} SELECT doc_id, name, round(expected, 6) AS expected, ambiguous, round(actual, 6) AS actual, grounded, confidence, outcome FROM s")
+@query(f"""WITH {CLAIMS} SELECT doc_id, name, round(expected, 6) AS expected, ambiguous, round(actual, 6) AS actual, grounded, confidence, outcome, 'note ' || event_id AS note,
+    round(actual / CASE WHEN event_id % 2 = 0 THEN 1000 ELSE 1 END, 6) AS raw_value, CASE WHEN event_id % 2 = 0 THEN 1000::DOUBLE ELSE 1::DOUBLE END AS unit_scale, CAST(event_id % 4 AS INTEGER) AS page, 'quote ' || k AS quote FROM s""")
 def field_scores(spark, sf):
+    """Every other claim is in thousands; notes, pages and quotes stay on the row."""
     e = _events(spark, sf)
-    golden = e.select("doc_id", "name", "expected", "ambiguous")
-    claims = e.select("doc_id", "name", F.lit(0).alias("pos"), F.col("actual").alias("value"), F.lit(1.0).alias("unit_scale"), "grounded", "confidence")
+    i = F.col("event_id")
+    golden = e.select("doc_id", "name", "expected", "ambiguous", F.concat(F.lit("note "), i.cast("string")).alias("note"))
+    scale = F.when(i % 2 == 0, F.lit(1000.0)).otherwise(F.lit(1.0))
+    claims = e.select(
+        "doc_id", "name", F.lit(0).alias("pos"), (F.col("actual") / scale).alias("value"), scale.alias("unit_scale"), "grounded", "confidence", (i % 4).cast("int").alias("page"), F.concat(F.lit("quote "), F.col("k").cast("string")).alias("quote"))
     return scoring.score_fields(golden, claims).select(
-        "doc_id", "name", F.round("expected", 6).alias("expected"), "ambiguous", F.round("actual", 6).alias("actual"), "grounded", "confidence", "outcome")
+        "doc_id", "name", F.round("expected", 6).alias("expected"), "ambiguous", F.round("actual", 6).alias("actual"), "grounded", "confidence", "outcome", "note", F.round("raw_value", 6).alias("raw_value"), "unit_scale", "page", "quote")
 
 
 @query(f"WITH {CLAIMS} SELECT outcome, count(*) AS n, round(count(*) / CAST((SELECT count(*) FROM s) AS DOUBLE), 9) AS share FROM s GROUP BY outcome")
@@ -204,7 +211,7 @@ def selective_summary(spark, sf):
 @query("SELECT a / 100.0::DOUBLE AS alpha, CAST(greatest(1, ceil((CAST(1 AS DOUBLE) - a / 100.0::DOUBLE) / (a / 100.0::DOUBLE))) AS BIGINT) AS least FROM range(1, 100) t(a)")
 def min_calibration(spark, sf):
     alpha = F.col("id") / F.lit(100.0)
-    return spark.range(1, 100).select(alpha.alias("alpha"), F.greatest(F.lit(1), F.ceil((F.lit(1.0) - alpha) / alpha)).cast("bigint").alias("least"))
+    return spark.range(1, 100).select(alpha.alias("alpha"), selective.least_calibration(alpha).alias("least"))
 
 
 # ratios over customers
@@ -251,11 +258,33 @@ def _ratio_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return sides[0], sides[1]
 
 
-@query(f"WITH {RATIO_SQL} SELECT doc_id, side, ratio, round(value, 6) AS value, value IS NULL AS abstained FROM rv")
+_LEG = "CASE WHEN interest IS NULL THEN 'INTEREST_EXPENSE' END, CASE WHEN principal IS NULL THEN 'PRINCIPAL_REPAYMENTS' END"
+_NEG = "CASE WHEN interest < 0 THEN 'INTEREST_EXPENSE' END, CASE WHEN principal < 0 THEN 'PRINCIPAL_REPAYMENTS' END"
+REASON_SQL = f"""
+    rs AS (SELECT *, CASE WHEN ebitda IS NULL THEN 'EBITDA_REPORTED is missing or abstained' WHEN addbacks IS NULL THEN 'EBITDA_ADDBACKS not disclosed; treated as 0' ELSE '' END AS why FROM ae),
+    rn AS (SELECT doc_id, side, 'ltm_revenue' AS ratio, CASE WHEN revenue IS NULL THEN 'REVENUE_LTM is missing or abstained' ELSE '' END AS reason, CASE WHEN revenue IS NULL THEN '' ELSE 'revenue_ltm' END AS inputs FROM rs
+        UNION ALL SELECT doc_id, side, 'adjusted_ebitda', why, CASE WHEN ebitda IS NULL THEN '' WHEN addbacks IS NULL THEN 'ebitda_reported' ELSE 'ebitda_reported,ebitda_addbacks' END FROM rs
+        UNION ALL SELECT doc_id, side, 'leverage', CASE WHEN debt_bad THEN 'TOTAL_DEBT failed evidence verification (grounded=False) and is unusable' WHEN debt IS NULL THEN 'TOTAL_DEBT is missing or abstained'
+            WHEN ebitda IS NULL THEN 'adjusted EBITDA unavailable: ' || why WHEN adj <= 0 THEN 'adjusted EBITDA is non-positive'
+            ELSE concat_ws('; ', CASE WHEN cash IS NULL THEN 'CASH not disclosed; treated as 0' END, nullif(why, '')) END,
+            CASE WHEN debt_bad OR debt IS NULL OR ebitda IS NULL OR adj <= 0 THEN '' ELSE concat_ws(',', 'total_debt', CASE WHEN cash IS NOT NULL THEN 'cash' END, 'ebitda_reported', CASE WHEN addbacks IS NOT NULL THEN 'ebitda_addbacks' END) END FROM rs
+        UNION ALL SELECT doc_id, side, 'dscr', CASE WHEN cfads_bad THEN 'CFADS failed evidence verification (grounded=False) and is unusable'
+            WHEN cfads IS NULL AND ebitda IS NULL THEN 'CFADS not disclosed and adjusted EBITDA proxy unavailable: ' || why
+            WHEN interest IS NULL OR principal IS NULL THEN 'debt service not disclosed (' || concat_ws(', ', {_LEG}) || ' missing); assuming zero would overstate DSCR'
+            WHEN interest < 0 OR principal < 0 THEN concat_ws(', ', {_NEG}) || ' is negative; debt service is stored as a positive magnitude, so this input cannot be netted into a ratio'
+            WHEN interest + principal <= 0 THEN 'debt service is non-positive'
+            WHEN cfads IS NULL THEN concat_ws('; ', 'CFADS not disclosed; adjusted EBITDA used as proxy', nullif(why, '')) ELSE '' END,
+            CASE WHEN cfads_bad OR cfads IS NULL AND ebitda IS NULL OR interest IS NULL OR principal IS NULL OR interest < 0 OR principal < 0 OR interest + principal <= 0 THEN ''
+            WHEN cfads IS NULL THEN concat_ws(',', 'ebitda_reported', CASE WHEN addbacks IS NOT NULL THEN 'ebitda_addbacks' END, 'interest_expense', 'principal_repayments') ELSE 'cfads,interest_expense,principal_repayments' END FROM rs)"""
+
+
+@query(f"WITH {RATIO_SQL}, {REASON_SQL} SELECT rv.doc_id, side, ratio, round(value, 6) AS value, value IS NULL AS abstained, reason, inputs FROM rv JOIN rn USING (doc_id, side, ratio)")
 def ratio_values(spark, sf):
+    """The number that a refusal prints is left out here, as `%g` has no like in the SQL."""
     extracted, golden = _ratio_inputs(spark, sf)
     both = ratios.ratio_rows(extracted).withColumn("side", F.lit("extracted")).union(ratios.ratio_rows(golden).withColumn("side", F.lit("golden")))
-    return both.select("doc_id", "side", "ratio", F.round("value", 6).alias("value"), "abstained")
+    reason = F.regexp_replace("reason", r" \([-+.0-9e]+\); .*", "")
+    return both.select("doc_id", "side", "ratio", F.round("value", 6).alias("value"), "abstained", reason.alias("reason"), F.array_join("inputs", ",").alias("inputs"))
 
 
 @query(f"WITH {RATIO_SQL} SELECT doc_id, ratio, round(extracted, 6) AS extracted, round(expected, 6) AS expected, outcome FROM cm")
@@ -304,7 +333,7 @@ LIMITS = [("accuracy", "min", 0.5), ("coverage", "min", 0.99), ("hallucination_r
 
 
 def _metrics(spark: SparkSession, sf: str) -> DataFrame:
-    fields = _fields(spark, sf)
+    fields = _fields(spark, sf).persist()
     values = gate.metrics(scoring.report(fields), ratios.summary(ratios.compare(*_ratio_inputs(spark, sf))), selective.summarise(fields))
     return values.withColumn("value", _r(F.col("value")))
 
@@ -353,25 +382,28 @@ def retry_accept_first(spark, sf):
     return attempts.accept_first(rows).withColumn("value", _r(F.col("value")))
 
 
-_SWEEP_SQL = f"""{CLAIMS}, w AS (SELECT event_id % 8 AS config, count(*) AS n_fields, count(*) FILTER (outcome = 'correct') / nullif(CAST(count(expected) AS DOUBLE), 0) AS accuracy,
-    sum(k) / CAST(count(*) AS DOUBLE) AS cost, CAST(sum(event_id % 3) AS BIGINT) AS retries FROM s GROUP BY 1)"""
+_SWEEP_SQL = f"""{CLAIMS}, w0 AS (SELECT event_id % 8 AS label, {COUNT_SQL} FROM s GROUP BY 1), w AS (SELECT label, n_fields, {RATE_SQL} FROM w0),
+    k AS (SELECT event_id % 8 AS label, sum(k) / CAST(count(*) AS DOUBLE) AS cost, median(CAST(k AS DOUBLE)) AS latency_p50, CAST(sum(event_id % 3) AS BIGINT) AS retries, count(*) AS n_documents FROM s GROUP BY 1),
+    j AS (SELECT * FROM w JOIN k USING (label)),
+    f AS (SELECT label FROM j a WHERE accuracy IS NOT NULL AND cost IS NOT NULL AND NOT EXISTS (
+        SELECT 1 FROM j b WHERE b.accuracy >= a.accuracy AND b.cost <= a.cost AND (b.accuracy > a.accuracy OR b.cost < a.cost)))"""
 
 
 def _sweep(spark: SparkSession, sf: str) -> DataFrame:
-    fields = _fields(spark, sf).withColumn("config", F.col("event_id") % 8)
-    return fields.groupBy("config").agg(
-        F.count("*").alias("n_fields"), F.try_divide(F.count_if(F.col("outcome") == "correct").cast("double"), F.count("expected").cast("double")).alias("accuracy"),
-        (F.sum("k") / F.count("*").cast("double")).alias("cost"), F.sum(F.col("event_id") % 3).alias("retries"))
+    fields = _fields(spark, sf).withColumn("label", F.col("event_id") % 8)
+    runs = fields.select("label", F.col("k").cast("double").alias("cost_usd"), F.col("k").cast("double").alias("latency_s"), (F.col("event_id") % 3).alias("retries"))
+    return frontier.sweep(fields, runs)
 
 
-@query(f"WITH {_SWEEP_SQL} SELECT config, n_fields, round(accuracy, 9) AS accuracy, round(cost, 9) AS cost, retries FROM w")
+@query(f"""WITH {_SWEEP_SQL} SELECT label, n_fields, {', '.join(RATES)}, n_documents, round(cost, 9) AS cost, round(latency_p50, 9) AS latency_p50, retries,
+    label IN (SELECT label FROM f) AS on_frontier FROM j""")
 def sweep_rows(spark, sf):
-    return _sweep(spark, sf).withColumns({"accuracy": _r(F.col("accuracy")), "cost": _r(F.col("cost"))})
+    return _sweep(spark, sf).withColumns({c: _r(F.col(c)) for c in (*RATES, "cost", "latency_p50")})
 
 
-@query(f"WITH {_SWEEP_SQL} SELECT config, round(accuracy, 9) AS accuracy FROM w ORDER BY accuracy DESC, config LIMIT 1")
+@query(f"WITH {_SWEEP_SQL} SELECT label, accuracy FROM w ORDER BY accuracy DESC, label LIMIT 1")
 def top_accuracy(spark, sf):
-    return _sweep(spark, sf).orderBy(F.desc_nulls_last("accuracy"), "config").limit(1).select("config", _r(F.col("accuracy")).alias("accuracy"))
+    return frontier.best(_sweep(spark, sf)).select("label", _r(F.col("accuracy")).alias("accuracy"))
 
 
 @query("""WITH b AS (SELECT p_partkey AS label, CAST(p_size AS DOUBLE) AS accuracy, p_retailprice AS cost FROM part),
@@ -390,34 +422,35 @@ def pareto_frontier(spark, sf):
     return frontier.pareto(rows, "p_brand").select("p_brand", "p_partkey", "accuracy", "cost")
 
 
-# text of documents
+# text: lines with labels and figures, built from the documents and their ids so that SQL knows what they hold
 
-VOCABULARY = [("function", 1, "the"), ("function", 1, "and"), ("place", 2, "in the"), ("place", 2, "on the"), ("german", 3, "der"), ("german", 3, "und"), ("french", 4, "les"), ("spanish", 5, "los")]
-VOCAB_SQL = "vo(item, conf, phrase, ord) AS (VALUES " + ", ".join(f"('{i}', {c}, '{p}', {n})" for n, (i, c, p) in enumerate(VOCABULARY)) + ")"
-LINES_SQL = """
-    ar AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents),
-    li AS (SELECT doc_id, unnest(a) AS line, CAST(generate_subscripts(a, 1) - 1 AS INTEGER) AS line_no FROM ar)"""
-HITS_SQL = f"""{LINES_SQL}, {VOCAB_SQL},
-    hi AS (SELECT doc_id, line_no, item, conf, phrase, ord, length(phrase) AS span FROM li, vo WHERE (' ' || lower(line) || ' ') LIKE '% ' || phrase || ' %'),
+PHRASES = [(item, conf, phrase) for item, conf, phrase, _ in kernels.vocabulary()]
+VOCAB_SQL = "vo(item, conf, phrase, ord) AS (VALUES " + ", ".join(f"('{i}', {c}::DOUBLE, '{p}', {n})" for n, (i, c, p) in enumerate(PHRASES)) + ")"
+#: Documents' own lines, with two labels behind every fourth of them and a figure behind every third.
+LINES_SQL = f"""{VOCAB_SQL}, ar AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents),
+    l0 AS (SELECT doc_id, unnest(a) AS line, CAST(generate_subscripts(a, 1) - 1 AS INTEGER) AS line_no FROM ar),
+    li AS (SELECT doc_id, line_no, line || CASE WHEN (doc_id + line_no) % 4 = 0 THEN '. ' || upper(p.phrase) || ' ' || q.phrase ELSE '' END || CASE WHEN (doc_id + line_no) % 3 = 0 THEN ' 1,25' || (doc_id % 10) ELSE '' END AS line
+           FROM l0 JOIN vo p ON p.ord = doc_id % {len(PHRASES)} JOIN vo q ON q.ord = (doc_id * 7 + line_no) % {len(PHRASES)})"""
+HITS_SQL = f"""{LINES_SQL}, le AS (SELECT doc_id, line_no, line FROM li WHERE (doc_id + line_no) % 4 = 0),
+    hi AS (SELECT doc_id, line_no, item, conf, phrase, ord, length(phrase) AS span FROM le, vo WHERE regexp_matches(line, '(?i)\\b' || phrase || '\\b')),
     be AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY span DESC, ord) AS rn FROM hi) WHERE rn = 1)"""
 
 
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
     """Lines in reading order, without a shuffle."""
-    return _table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-
+    own = _table(spark, sf, "documents").select("doc_id", F.posexplode(C.lines(F.col("text"))).alias("line_no", "line"))
+    k, n = F.col("doc_id"), len(PHRASES)
+    phrases = F.array(*(F.lit(p) for _, _, p in PHRASES))
+    labels = F.concat(F.lit(". "), F.upper(F.get(phrases, (k % n).cast("int"))), F.lit(" "), F.get(phrases, ((k * 7 + F.col("line_no")) % n).cast("int")))
+    labelled = F.when((k + F.col("line_no")) % 4 == 0, labels).otherwise("")
+    figure = F.when((k + F.col("line_no")) % 3 == 0, F.concat(F.lit(" 1,25"), (k % 10).cast("string"))).otherwise("")
+    return own.select("doc_id", "line_no", F.concat("line", labelled, figure).alias("line"))
 
-def _line_hits(lines: DataFrame) -> DataFrame:
-    """(..., hits): the vocabulary's phrases on a line as an array in declaration order; the vocabulary is in the plan."""
-    padded = F.concat(F.lit(" "), F.lower("line"), F.lit(" "))
-    each = [F.when(F.contains(padded, F.lit(f" {p} ")), F.struct(F.lit(i).alias("item"), F.lit(c).alias("conf"), F.lit(p).alias("phrase"), F.lit(len(p)).alias("span"), F.lit(-n).alias("ord"))) for n, (i, c, p) in enumerate(VOCABULARY)]
-    return lines.withColumn("hits", F.array_compact(F.array(*each)))
 
-
-def _best_lines(lines: DataFrame) -> DataFrame:
-    """The longest phrase of each line, the first declared of equals, or null."""
-    by = lambda h: F.struct(h["span"], h["ord"], h["item"], h["conf"], h["phrase"])
-    return _line_hits(lines).withColumn("best", F.array_max(F.transform("hits", by))).drop("hits")
+def _pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The same lines as pages of ten."""
+    lines = _lines(spark, sf).withColumn("page", F.floor(F.col("line_no") / 10).cast("int"))
+    return lines.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
 
 
 @query(f"WITH {LINES_SQL} SELECT doc_id, line_no, line FROM li WHERE trim(line) <> ''")
@@ -425,121 +458,113 @@ def page_lines(spark, sf):
     return _lines(spark, sf).where("trim(line) <> ''").select("doc_id", "line_no", "line")
 
 
-@query(f"WITH {HITS_SQL} SELECT doc_id, line_no, item, phrase FROM hi")
+@query(f"WITH {HITS_SQL} SELECT doc_id, line_no, item, phrase, conf AS confidence FROM hi")
 def label_hits(spark, sf):
-    return _line_hits(_lines(spark, sf)).select("doc_id", "line_no", F.explode("hits").alias("h")).select("doc_id", "line_no", "h.item", "h.phrase")
+    return _lines(spark, sf).select("doc_id", "line_no", F.explode(C.label_hits("line")).alias("h")).select("doc_id", "line_no", "h.item", "h.phrase", "h.confidence")
 
 
 @query(f"WITH {HITS_SQL} SELECT doc_id, line_no, item, phrase FROM be")
 def best_label(spark, sf):
-    return _best_lines(_lines(spark, sf)).where("best is not null").select("doc_id", "line_no", "best.item", "best.phrase")
+    return _lines(spark, sf).withColumn("h", C.best_label("line")).where("h.item is not null").select("doc_id", "line_no", "h.item", "h.phrase")
+
 
+#: Labelled lines with a figure: their own, behind the label, or that of the page's next line if it has no label. Documents
+#: with digits of their own are left out on both sides.
+_FIGURES_SQL = f"""{HITS_SQL}, nd AS (SELECT doc_id FROM documents WHERE NOT regexp_matches(text, '[0-9]')),
+    ne AS (SELECT li.doc_id, li.line_no, li.line, be.item, be.conf, lead(li.line) OVER w AS below, lead(be.item) OVER w AS below_item, CAST(li.line_no // 10 AS INTEGER) AS page
+           FROM li JOIN nd USING (doc_id) LEFT JOIN be USING (doc_id, line_no) WINDOW w AS (PARTITION BY li.doc_id, li.line_no // 10 ORDER BY li.line_no)),
+    ca AS (SELECT *, NOT regexp_matches(line, '[0-9]') AS wrapped, CAST(1250 + doc_id % 10 AS DOUBLE) AS value FROM ne
+           WHERE item IS NOT NULL AND (regexp_matches(line, '[0-9]') OR below_item IS NULL AND regexp_matches(below, '[0-9]')))"""
 
-@query(f"WITH {HITS_SQL} SELECT doc_id, item, CAST(min(line_no) AS INTEGER) AS line_no FROM be GROUP BY 1, 2")
+
+def _candidates(spark: SparkSession, sf: str) -> DataFrame:
+    plain = _table(spark, sf, "documents").where(~F.col("text").rlike("[0-9]")).select("doc_id")
+    found = _pages(spark, sf).join(plain, "doc_id", "left_semi").select("doc_id", "page", F.explode(C.page_candidates("text")).alias("c"))
+    return found.select("doc_id", "page", (F.col("page") * 10 + F.col("c.line_no")).alias("line_no"), "c.item", "c.confidence", "c.value", "c.quote", "c.wrapped")
+
+
+@query(f"WITH {_FIGURES_SQL} SELECT doc_id, page, item, CAST(min(line_no) AS INTEGER) AS line_no, arg_min(value, line_no) AS value FROM ca GROUP BY 1, 2, 3")
 def first_hit(spark, sf):
-    return _best_lines(_lines(spark, sf)).where("best is not null").groupBy("doc_id", F.col("best.item").alias("item")).agg(F.min("line_no").alias("line_no"))
+    """Of each page and item the first line with a figure."""
+    return _candidates(spark, sf).groupBy("doc_id", "page", "item").agg(F.min("line_no").alias("line_no"), F.min_by("value", "line_no").alias("value"))
 
 
-@query(f"""WITH {HITS_SQL}, ne AS (SELECT li.doc_id, li.line_no, li.line, be.item, be.conf, lead(li.line) OVER w AS below, lead(be.item) OVER w AS below_item
-    FROM li LEFT JOIN be USING (doc_id, line_no) WINDOW w AS (PARTITION BY li.doc_id ORDER BY li.line_no))
-    SELECT doc_id, line_no, item, round(greatest(0, conf - 0.1::DOUBLE), 9) AS confidence, md5(line || chr(10) || below) AS quote FROM ne WHERE item IS NOT NULL AND below IS NOT NULL AND below_item IS NULL""")
+@query(f"WITH {_FIGURES_SQL} SELECT doc_id, line_no, item, round(greatest(0, conf - 0.1::DOUBLE), 9) AS confidence, md5(line || chr(10) || below) AS quote FROM ca WHERE wrapped")
 def wrapped_rows(spark, sf):
-    """A labelled line whose next line has no label; next lines come from the document's own array, not from a window."""
-    docs = _table(spark, sf, "documents").select("doc_id", F.split("text", "\n", -1).alias("a"))
-    pairs = docs.select("doc_id", F.posexplode(F.zip_with("a", F.slice("a", F.lit(2), F.size("a")), lambda x, y: F.struct(x.alias("line"), y.alias("below")))).alias("line_no", "p"))
-    own = _best_lines(pairs.select("doc_id", "line_no", F.col("p.line").alias("line"), F.col("p.below").alias("below"))).where("best is not null and below is not null")
-    below = _best_lines(own.select("doc_id", "line_no", F.col("best").alias("own"), F.col("line").alias("first"), F.col("below").alias("line"))).where("best is null")
-    confidence = F.greatest(F.lit(0.0), F.col("own.conf") - F.lit(0.1))
-    return below.select("doc_id", "line_no", "own.item", _r(confidence).alias("confidence"), F.md5(F.concat_ws("\n", "first", "line")).alias("quote"))
+    return _candidates(spark, sf).where("wrapped").select("doc_id", "line_no", "item", _r(F.col("confidence")).alias("confidence"), F.md5("quote").alias("quote"))
 
 
-def _earliest(text: Column, choices: list[tuple[str, str]]) -> Column:
-    """The choice whose pattern matches first in a text; of equal places the earlier choice."""
-    places = [F.when(F.regexp_instr(text, F.lit(f"(?i){p}")) > 0, F.struct(F.regexp_instr(text, F.lit(f"(?i){p}")).alias("at"), F.lit(n).alias("n"), F.lit(v).alias("v"))) for n, (v, p) in enumerate(choices)]
-    return F.array_min(F.array_compact(F.array(*places)))["v"]
+def _quoted_sql(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
 
 
 def _earliest_sql(text: str, choices: list[tuple[str, str]]) -> str:
-    rows = " UNION ALL ".join(f"SELECT {n} AS n, '{v}' AS v, regexp_extract({text}, '(?is)^(.*?)(?:{p})', 1) AS pre, regexp_matches({text}, '(?i){p}') AS hit" for n, (v, p) in enumerate(choices))
+    """The choice whose pattern matches first in a text; of equal places the earlier choice."""
+    rows = " UNION ALL ".join(f"SELECT {n} AS n, '{v}' AS v, regexp_extract({text}, {_quoted_sql(f'(?s)^(.*?)(?:{p})')}, 1) AS pre, regexp_matches({text}, {_quoted_sql(p)}) AS hit" for n, (v, p) in enumerate(choices))
     return f"(SELECT v FROM ({rows}) WHERE hit ORDER BY length(pre), n LIMIT 1)"
 
 
-SCALES = [("1e9", "in +billions|the the"), ("1e6", "in +millions|of the"), ("1e3", "in +thousands|and the")]
-MONEY = [("EUR", "der|das"), ("GBP", "£|the"), ("USD", "los|las")]
-MARKED_SQL = "SELECT doc_id, 'In ' || CASE doc_id % 4 WHEN 0 THEN 'millions ' WHEN 1 THEN 'thousands ' WHEN 2 THEN '' ELSE 'billions ' END || text AS t FROM documents"
+DECLARED = ["(in thousands) then in millions", "figures A$m, US$'000", "$ '000 and €", "all in  billions", "AUD, not USD", "S$ or NZ$", "£", "no units"]
+DECLARED_SQL = f"SELECT doc_id, substr(text, 1, doc_id % 50) || ' ' || [{', '.join(map(_quoted_sql, DECLARED))}][doc_id % {len(DECLARED)} + 1] || ' ' || text AS t FROM documents"
 
 
-def _marked(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents with a units note in front of most of them."""
-    k = F.col("doc_id") % 4
-    note = F.when(k == 0, "millions ").when(k == 1, "thousands ").when(k == 2, "").otherwise("billions ")
-    return _table(spark, sf, "documents").select("doc_id", F.concat(F.lit("In "), note, F.col("text")).alias("t"))
+def _declared(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with a declaration of units or currency somewhere near their start."""
+    note = F.get(F.array(*map(F.lit, DECLARED)), (F.col("doc_id") % len(DECLARED)).cast("int"))
+    return _table(spark, sf, "documents").select("doc_id", F.concat(F.substr("text", F.lit(1), (F.col("doc_id") % 50).cast("int")), F.lit(" "), note, F.lit(" "), F.col("text")).alias("t"))
 
 
-@query(f"WITH d AS ({MARKED_SQL}) SELECT doc_id, coalesce({_earliest_sql('t', SCALES)}, '1') AS scale FROM d")
+@query(f"WITH d AS ({DECLARED_SQL}) SELECT doc_id, coalesce(CAST({_earliest_sql('t', [(str(v), f'(?i:{p})') for v, p in kernels.UNITS])} AS DOUBLE), 1) AS scale FROM d")
 def unit_scale(spark, sf):
-    return _marked(spark, sf).select("doc_id", F.coalesce(_earliest(F.col("t"), SCALES), F.lit("1")).alias("scale"))
+    return _declared(spark, sf).select("doc_id", C.unit_scale("t").alias("scale"))
 
 
-@query(f"SELECT doc_id, {_earliest_sql('text', MONEY)} AS currency FROM documents")
+@query(f"WITH d AS ({DECLARED_SQL}) SELECT doc_id, {_earliest_sql('t', [(v, p.replace('(?i)', '(?i:') + ')' if p.startswith('(?i)') else p) for v, p in kernels.CURRENCIES])} AS currency FROM d")
 def currency(spark, sf):
-    return _table(spark, sf, "documents").select("doc_id", _earliest(F.col("text"), MONEY).alias("currency"))
+    return _declared(spark, sf).select("doc_id", C.currency("t").alias("currency"))
 
 
-@query("SELECT doc_id, CAST(len(string_split(text, chr(10))) AS INTEGER) AS n_pages FROM documents")
-def page_count(spark, sf):
-    return _table(spark, sf, "documents").select("doc_id", F.size(F.split("text", "\n", -1)).alias("n_pages"))
+def _asked_sql(most: int) -> str:
+    """What a model is asked about a document whose lines are its pages."""
+    asked = C.ASKED.replace("\n", "' || chr(10) || '")
+    return f"""array_to_string(list_transform(string_split(text, chr(10))[1:{most}], lambda p, i: '<page number="' || i || '">' || chr(10) || p || chr(10) || '</page>'), chr(10)) || '{asked}'"""
 
 
-@query("SELECT doc_id, CAST(least(len(string_split(text, chr(10))), 60) AS INTEGER) AS kept, md5(array_to_string(string_split(text, chr(10))[1:60], '|')) AS digest FROM documents")
+@query(f"SELECT doc_id, CAST(least(len(string_split(text, chr(10))), 3) AS INTEGER) AS kept, md5({_asked_sql(3)}) AS digest FROM documents")
 def page_truncate(spark, sf):
-    pages = F.slice(F.split("text", "\n", -1), 1, 60)
-    return _table(spark, sf, "documents").select("doc_id", F.size(pages).alias("kept"), F.md5(F.array_join(pages, "|")).alias("digest"))
+    asked = _table(spark, sf, "documents").select("doc_id", C.prompt(C.lines(F.col("text")), most_pages=3).alias("p"))
+    return asked.select("doc_id", F.size(F.regexp_extract_all("p", F.lit("<page number="), F.lit(0))).alias("kept"), F.md5("p").alias("digest"))
 
 
-_FLAT = "trim(regexp_replace(lower(text), '[ \\n\\t\\r]+', ' ', 'g'))"
+#: `columns.normalise`, for what the tables hold.
+def _plain_sql(text: str) -> str:
+    return rf"trim(regexp_replace(replace(lower(nfc_normalize({text})), 'ß', 'ss'), '\s+', ' ', 'g'))"
 
 
-def _flat(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text), "[ \\n\\t\\r]+", " "))
-
-
-QUOTES_SQL = f"""q AS (SELECT item_id, {_FLAT} AS q FROM benchmark), d AS (SELECT doc_id, {_FLAT} AS p FROM documents),
-    f AS (SELECT item_id, doc_id FROM q JOIN d ON contains(p, q) WHERE q <> '')"""
-
-
-def _quoted(spark: SparkSession, sf: str) -> DataFrame:
-    """(item_id, doc_id): passages found in documents, by an equi-join instead of a nested loop.
-
-    A passage's words but its first and last are whole words of any text that holds it. Passages and documents meet on a run
-    of such words, up to six, and only then is the whole passage looked for. Passages of less than three words have no such
-    word and are compared with every document.
-    """
-    quotes = _table(spark, sf, "benchmark").select("item_id", _flat(F.col("text")).alias("q")).where("q <> ''").withColumn("w", F.split("q", " "))
-    quotes = quotes.withColumn("width", F.greatest(F.lit(0), F.least(F.lit(6), F.size("w") - 2)))
-    widths = sorted(r["width"] for r in quotes.select("width").distinct().collect())  # 0 to 6
-    docs = _table(spark, sf, "documents").select("doc_id", _flat(F.col("text")).alias("p"))
-    run = lambda at, width: F.xxhash64(F.array_join(F.slice(F.col("w"), at, width), " "))
-    parts = []
-    for width in widths:
-        own = quotes.where(F.col("width") == width)
-        if not width:
-            parts.append(docs.join(own, F.contains("p", "q")).select("item_id", "doc_id"))
-            continue
-        keyed = own.select("item_id", "q", run(F.lit(2), width).alias("key"))
-        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - width + 1))
-        runs = docs.withColumn("w", F.split("p", " ")).select("doc_id", F.explode(F.array_distinct(F.transform(starts, lambda at: run(at, width)))).alias("key"))
-        met = runs.join(keyed, "key").select("doc_id", "item_id", "q").distinct()
-        parts.append(met.join(docs, "doc_id").where(F.contains("p", "q")).select("item_id", "doc_id"))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.union(part)
-    return found
-
-
-@query(f"WITH {QUOTES_SQL} SELECT * FROM f")
+@query(f"""WITH b AS (SELECT text AS quote, row_number() OVER (ORDER BY item_id) - 1 AS k, count(*) OVER () AS n FROM benchmark),
+    p AS (SELECT doc_id, text, CASE doc_id % 3 WHEN 0 THEN quote WHEN 1 THEN substr(text, doc_id % 40 + 1, 60) ELSE replace(substr(text, doc_id % 40 + 1, 60), ' ', '') END AS quote FROM documents JOIN b ON k = doc_id % n),
+    q AS (SELECT doc_id, {_plain_sql('text')} AS t, {_plain_sql('quote')} AS q FROM p)
+    SELECT doc_id, q <> '' AND (contains(t, q) OR contains(replace(t, ' ', ''), replace(q, ' ', ''))) AS quoted FROM q""")
 def quote_on_page(spark, sf):
-    return _quoted(spark, sf)
+    """A third of the documents are asked for a passage of the benchmark, a third for words of their own, a third for those
+    without their blanks, which only the comparison without white space finds."""
+    passages = imports.positioned(_table(spark, sf, "benchmark"), "item_id").select(F.col("position").alias("k"), F.col("text").alias("passage"))
+    docs = _table(spark, sf, "documents").select("doc_id", "text", (F.col("doc_id") % passages.count()).alias("k")).join(F.broadcast(passages), "k")  # the benchmark is small by its nature
+    own = F.substr("text", (F.col("doc_id") % 40 + 1).cast("int"), F.lit(60))
+    quote = F.when(F.col("doc_id") % 3 == 0, F.col("passage")).when(F.col("doc_id") % 3 == 1, own).otherwise(F.replace(own, F.lit(" "), F.lit("")))
+    return docs.select("doc_id", C.quote_on_page(quote, F.col("text")).alias("quoted"))
+
+
+_FLAT = "trim(regexp_replace(lower(text), '[ \\n\\t\\r]+', ' ', 'g'))"
+
+
+@query(f"""WITH q AS (SELECT item_id, {_FLAT} AS q FROM benchmark UNION ALL SELECT -event_id, event_type FROM events WHERE event_id < 3), d AS (SELECT doc_id, {_FLAT} AS p FROM documents)
+    SELECT item_id, doc_id FROM q JOIN d ON contains(p, q) WHERE q <> ''""")
+def passages_in_documents(spark, sf):
+    """Passages of the benchmark, and a few words, wherever documents hold them."""
+    words = _table(spark, sf, "events").where("event_id < 3").select((-F.col("event_id")).alias("item_id"), F.col("event_type").alias("text"))
+    passages = _table(spark, sf, "benchmark").select("item_id", "text").union(words)
+    return containment.contained(passages.select(F.col("item_id").alias("passage_id"), "text"), _table(spark, sf, "documents")).select(F.col("passage_id").alias("item_id"), "doc_id")
 
 
 CITED_SQL = """
@@ -586,35 +611,60 @@ def heuristic_claims(spark, sf):
     return claims.select(F.col("doc_id").cast("bigint").alias("event_id"), "name", "value", "unit_scale", "currency", "page", "confidence", "quote")
 
 
-# numbers: a grammar without look-behind, so that both engines have it
+# numbers: figures as they are printed, by ids, so that SQL knows their values
 
-_NUMBER = r"(?:^|[^\w.'])(\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)"
-NUMBERS_SQL = f"nu AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_NUMBER.replace(chr(39), chr(39) * 2)}', 1)) AS n FROM documents), nv AS (SELECT doc_id, n, try_cast(replace(n, ',', '') AS DOUBLE) AS value FROM nu)"
+_FIGURES = {  # what is printed, and the values in it, of n = 1000 + event_id % 9000
+    0: ("Revenue {c} (note 3) against ({c}) in 2023", "[n, 3, -n, 2023]"), 1: ("v1.2 and note3 but $'000", "[]"), 2: ("US$ {n}.5 million or {n}-", "[(n + 0.5) * 1000000, -n]"),
+    3: ("£{n}k, - {n} and (£{c}m", "[n * 1000, -n, n * 1000000]"), 4: ("x{n} {n}% {n}bn", "[n, n * 1000000000]"), 5: ("({n} tn) {n} t", "[-n * 1000000000000, n * 1000000000000]"),
+}
+_AMOUNTS = {  # what is printed, its first plausible amount, and that one's own scale
+    0: ("2023 {c}", "n", "1"), 1: ("Note 12 ({c})", "-n", "1"), 2: ("A$'000 {n} m", "n", "1000000"), 3: ("5% - {n}", "CASE WHEN n < 1900 OR n > 2099 THEN -n END", "1"), 4: ("$2019 and {n}", "2019", "1"), 5: ("000 2001 nothing", "NULL", "1"), 6: ("{n}.25 bln", "n + 0.25", "1000000000"), 7: ("{n} tn", "n", "1"),
+}
 
 
-def _numbers(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _table(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(_NUMBER), F.lit(1))).alias("n"))
-    return docs.withColumn("value", F.replace("n", F.lit(","), F.lit("")).try_cast("double"))
+def _printed(spark: SparkSession, sf: str, forms: dict) -> DataFrame:
+    """(event_id, text): the form that an id calls for, `{n}` as digits and `{c}` with separators."""
+    i = F.col("event_id")
+    n = 1000 + i % 9000
+    text = F.get(F.array(*(F.lit(t) for t, *_ in forms.values())), (i % len(forms)).cast("int"))
+    filled = F.replace(F.replace(text, F.lit("{n}"), n.cast("string")), F.lit("{c}"), F.concat(F.substring(n.cast("string"), 1, 1), F.lit(","), F.substring(n.cast("string"), 2, 3)))
+    return _table(spark, sf, "events").select("event_id", filled.alias("text"))
+
+
+def _by_form(forms: dict, part: int) -> str:
+    return f"CASE event_id % {len(forms)} " + " ".join(f"WHEN {k} THEN {v[part]}" for k, v in forms.items()) + " END"
+
+
+_PRINTED_SQL = "nu AS (SELECT event_id, CAST(1000 + event_id % 9000 AS DOUBLE) AS n FROM events)"
 
 
-@query(f"WITH {NUMBERS_SQL} SELECT doc_id, n, value FROM nv")
+@query(f"""WITH {_PRINTED_SQL}, vs AS (SELECT event_id, CAST({_by_form(_FIGURES, 1)} AS DOUBLE[]) AS v FROM nu)
+    SELECT event_id, unnest(v) AS value, CAST(unnest(range(len(v))) AS INTEGER) AS place FROM vs""")
 def numbers_in_text(spark, sf):
-    return _numbers(spark, sf).select("doc_id", "n", "value")
+    return _printed(spark, sf, _FIGURES).select("event_id", F.posexplode(C.numbers_in_text("text")).alias("place", "value"))
 
 
-@query(f"WITH {NUMBERS_SQL} SELECT doc_id, n, value FROM nv WHERE NOT regexp_full_match(n, '(19|20)[0-9][0-9]') AND n <> '000'")
+@query(f"WITH {_PRINTED_SQL} SELECT event_id, CAST({_by_form(_AMOUNTS, 1)} AS DOUBLE) AS value FROM nu")
 def plausible_number(spark, sf):
-    return _numbers(spark, sf).where(~F.col("n").rlike("^(?:19|20)[0-9][0-9]$") & (F.col("n") != "000")).select("doc_id", "n", "value")
+    return _printed(spark, sf, _AMOUNTS).withColumn("found", C.plausible_number("text")).select("event_id", "found.value")
 
 
-@query(f"WITH {NUMBERS_SQL} SELECT doc_id, n, CASE WHEN value < 1000 THEN value * 1000 ELSE value END AS scaled FROM nv")
+@query(f"""WITH {_PRINTED_SQL}, v AS (SELECT event_id, CAST({_by_form(_AMOUNTS, 1)} AS DOUBLE) AS value, {_by_form(_AMOUNTS, 2)} AS own, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 1000 END AS units FROM nu)
+    SELECT event_id, value, CAST(CASE WHEN own <> 1 THEN own ELSE units END AS DOUBLE) AS unit_scale, value * CASE WHEN own <> 1 THEN own ELSE units END AS scaled FROM v WHERE value IS NOT NULL""")
 def scaled_numbers(spark, sf):
-    v = F.col("value")
-    inline = F.when(v < 1000, 1.0).otherwise(0.001)
-    return _numbers(spark, sf).select("doc_id", "n", F.when(inline != 1, v).otherwise(v * 1000).alias("scaled"))
+    """A claim's scale is the figure's own, or else its page's."""
+    units = F.when(F.col("event_id") % 3 == 0, F.lit("Accounts")).otherwise(F.lit("Accounts in thousands"))
+    pages = F.array(F.concat(units, F.lit("\nTurnover "), F.col("text")))
+    claims = Heuristic().claims(_printed(spark, sf, _AMOUNTS).select(F.col("event_id").cast("string").alias("doc_id"), pages.alias("pages")))
+    own = claims.where("name = 'revenue_ltm' and value is not null")
+    return own.select(F.col("doc_id").cast("bigint").alias("event_id"), "value", "unit_scale", (F.col("value") * F.col("unit_scale")).alias("scaled"))
 
 
-@query(f"""WITH {NUMBERS_SQL}, g AS (SELECT doc_id, list(value) AS vs, max(value) AS top FROM nv GROUP BY doc_id), w AS (SELECT *, top * CASE WHEN doc_id % 3 = 0 THEN 1.004::DOUBLE WHEN doc_id % 3 = 1 THEN 1.5::DOUBLE ELSE 0.001::DOUBLE END AS want FROM g)
+_NUMBER = r"(?:^|[^\w.'])(\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)"
+_NUMBERS_SQL = f"nu AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_NUMBER.replace(chr(39), chr(39) * 2)}', 1)) AS n FROM documents), nv AS (SELECT doc_id, n, try_cast(replace(n, ',', '') AS DOUBLE) AS value FROM nu)"
+
+
+@query(f"""WITH {_NUMBERS_SQL}, g AS (SELECT doc_id, list(value) AS vs, max(value) AS top FROM nv GROUP BY doc_id), w AS (SELECT *, top * CASE WHEN doc_id % 3 = 0 THEN 1.004::DOUBLE WHEN doc_id % 3 = 1 THEN 1.5::DOUBLE ELSE 0.001::DOUBLE END AS want FROM g)
     SELECT doc_id, len(list_filter(vs, lambda n: abs(n - want) <= 0.01::DOUBLE * abs(want) OR abs(n - want * 1000) <= 0.01::DOUBLE * abs(want * 1000))) > 0 AS quoted FROM w""")
 def value_in_quote(spark, sf):
     quotes = _table(spark, sf, "documents").select("doc_id", F.transform(F.regexp_extract_all("text", F.lit(_NUMBER), F.lit(1)), lambda n: F.replace(n, F.lit(","), F.lit("")).try_cast("double")).alias("vs")).where(F.size("vs") > 0)
@@ -645,16 +695,44 @@ def clamp_confidence(spark, sf):
 
 # corpora, imports, presentation
 
-@query("""SELECT count(DISTINCT doc_id) AS n_documents, count(*) AS n_fields, count(*) FILTER (quality = 1) AS n_stated, count(*) FILTER (quality = 0) AS n_absent, count(*) FILTER (toxic = 1) AS n_ambiguous FROM labels""")
+
+def _records(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels as golden records: one field a label, stated or not by `quality`, ambiguous by `toxic`."""
+    rows = _table(spark, sf, "labels").groupBy("doc_id").agg(F.collect_list(F.struct(F.lit("cash").alias("name"), F.when(F.col("quality") == 1, F.lit(5.0)).alias("value"), F.lit(1).alias("page"), (F.col("toxic") == 1).alias("ambiguous"), F.lit("").alias("note"))).alias("fields"))
+    return rows.select(F.col("doc_id").cast("string").alias("doc_id"), "fields")
+
+
+def _corpus(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Golden records and texts of all documents, written to a corpus folder and read again; a document's lines are its pages."""
+    documents = _table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), C.lines(F.col("text")).alias("pages"))
+    fields = F.coalesce("fields", F.array().cast("array<struct<name: string, value: double, page: int, ambiguous: boolean, note: string>>"))
+    root = scratch(spark, "corpus")
+    writers.save_corpus(documents.join(_records(spark, sf), "doc_id", "left").select("doc_id", "pages", fields.alias("fields")), root)
+    return corpus.golden_records(spark, root), corpus.text_documents(spark, root)
+
+
+@query("SELECT doc_id, CAST(len(string_split(text, chr(10))) AS INTEGER) AS n_pages, md5(text) AS digest FROM documents")
+def page_count(spark, sf):
+    """Pages of documents that were written to a corpus folder and read again."""
+    return _corpus(spark, sf)[1].select(F.col("doc_id").cast("bigint").alias("doc_id"), F.size("pages").alias("n_pages"), F.md5(F.array_join("pages", "\n")).alias("digest"))
+
+
+@query("SELECT doc_id, 'cash' AS name, CASE WHEN quality = 1 THEN 5::DOUBLE END AS expected, toxic = 1 AS ambiguous FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)")
+def golden_labels(spark, sf):
+    """Labels that were written to a corpus folder and read again."""
+    rows = corpus.golden_fields(_corpus(spark, sf)[0])
+    return rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), "name", "expected", "ambiguous")
+
+
+@query("""SELECT count(DISTINCT doc_id) AS n_documents, count(*) AS n_fields, count(*) FILTER (quality = 1) AS n_stated, count(*) FILTER (quality IS DISTINCT FROM 1) AS n_absent, count(*) FILTER (toxic = 1) AS n_ambiguous FROM labels""")
 def corpus_inventory(spark, sf):
-    stated, doubtful = F.col("quality") == 1, F.col("toxic") == 1
-    return _table(spark, sf, "labels").agg(
-        F.count_distinct("doc_id").alias("n_documents"), F.count("*").alias("n_fields"), F.count_if(stated).alias("n_stated"), F.count_if(F.col("quality") == 0).alias("n_absent"), F.count_if(doubtful).alias("n_ambiguous"))
+    return corpus.inventory(_records(spark, sf))
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION SELECT page_id FROM pages WHERE page_id NOT IN (SELECT doc_id FROM labels)")
 def unlabelled_documents(spark, sf):
-    return _table(spark, sf, "documents").select("doc_id").join(_table(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti")
+    pdfs = _table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"))
+    return corpus.unlabelled(_table(spark, sf, "labels").select("doc_id"), _table(spark, sf, "documents").select("doc_id"), pdfs)
 
 
 @query("SELECT l.doc_id, CASE WHEN p.page_id IS NOT NULL THEN 'pdf' WHEN d.doc_id IS NOT NULL THEN 'text' ELSE 'missing' END AS kind FROM labels l LEFT JOIN pages p ON p.page_id = l.doc_id LEFT JOIN documents d ON d.doc_id = l.doc_id AND d.doc_id % 5 <> 0")
@@ -701,11 +779,14 @@ def json_block(spark, sf):
     return _table(spark, sf, "events").select("event_id", F.from_json(C.json_block(reply), "k bigint")["k"].alias("k"))
 
 
-@query("""SELECT conv_id, md5(string_agg('<page number="' || (turn + 1) || '">' || chr(10) || text || chr(10) || '</page>', chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id""")
+@query(f"""WITH t AS (SELECT conv_id, list(text ORDER BY turn) AS pages FROM conversations GROUP BY conv_id)
+    SELECT conv_id, md5(array_to_string(list_transform(pages[1:60], lambda p, i: '<page number="' || i || '">' || chr(10) || p || chr(10) || '</page>'), chr(10)) || '{C.ASKED.replace(chr(10), "' || chr(10) || '")}'
+        || CASE WHEN conv_id % 2 = 0 THEN chr(10) || chr(10) || '{C.FEEDBACK}' || chr(10) || '- cash: ' || conv_id || chr(10) || '- again' ELSE '' END) AS digest FROM t""")
 def prompt_assembly(spark, sf):
-    part = F.concat(F.lit('<page number="'), (F.col("turn") + 1).cast("string"), F.lit('">\n'), F.col("text"), F.lit("\n</page>"))
-    turns = _table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", part.alias("part")))).alias("parts"))
-    return turns.select("conv_id", F.md5(F.array_join(F.col("parts.part"), "\n")).alias("digest"))
+    """What a model is asked about each conversation, every other one with what was wrong before."""
+    turns = _table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    problems = F.when(F.col("conv_id") % 2 == 0, F.array(F.concat(F.lit("cash: "), F.col("conv_id").cast("string")), F.lit("again"))).otherwise(F.array().cast("array<string>"))
+    return turns.select("conv_id", F.md5(C.prompt(F.col("t.text"), problems)).alias("digest"))
 
 
 @query(f"""WITH {CLAIMS}, n AS (SELECT outcome, count(*) AS n, (SELECT count(*) FROM s) AS total FROM s GROUP BY 1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,11 +30,11 @@ def _json(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
 
 
 def golden_records(spark: SparkSession, root: str) -> DataFrame:
-    """Labels, one row per document."""
+    """Labels, one row per document, by the name of their file."""
     found = _json(spark, f"{root}/golden/*.json", schemas.GOLDEN)
     if found is None:
         raise CorpusError(f"{root} has no golden labels")
-    return found.withColumn("file", _stem())
+    return found.withColumn("file", _stem()).orderBy("file")
 
 
 def golden_fields(records: DataFrame) -> DataFrame:
@@ -52,17 +54,72 @@ def text_documents(spark: SparkSession, root: str) -> DataFrame:
     return found.select(F.coalesce("doc_id", _stem()).alias("doc_id"), pages.alias("pages"))
 
 
-def pdf_files(spark: SparkSession, root: str) -> DataFrame:
-    """(doc_id, path, valid): sources to parse; valid is non-empty, at most 64 MiB and with the magic bytes."""
+def pdf_files(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
+    """(doc_id, path, valid, and the content if wanted): sources to parse; valid is non-empty, at most 64 MiB and with the magic bytes."""
     try:
         found = spark.read.format("binaryFile").load(f"{root}/pdfs/*.pdf")
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return spark.createDataFrame([], "doc_id string, path string, valid boolean")
+        return spark.createDataFrame([], "doc_id string, path string, valid boolean" + ", content binary" * content)
     magic = F.substring("content", 1, 5) == F.lit(b"%PDF-")
     name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
-    return found.select(name.alias("doc_id"), "path", ((F.col("length") > 0) & (F.col("length") <= 64 << 20) & magic).alias("valid"))
+    return found.select(name.alias("doc_id"), "path", ((F.col("length") > 0) & (F.col("length") <= 64 << 20) & magic).alias("valid"), *["content"] * content)
+
+
+#: From a PDF's bytes to the text of its pages; raises for what it can't read.
+Parser = Callable[[bytes], list[str]]
+
+
+def installed_parser() -> Parser | None:
+    """A parser made of a PDF library, if one is installed."""
+    try:
+        import fitz
+    except ImportError:
+        return None
+
+    def parse(data: bytes) -> list[str]:
+        with fitz.open(stream=data, filetype="pdf") as pdf:
+            return [page.get_text() for page in pdf]
+
+    return parse
+
+
+def pdf_documents(spark: SparkSession, root: str, parser: Parser) -> DataFrame:
+    """(doc_id, pages, error) of the PDFs, parsed where they are read; one that can't be parsed has no pages and says why."""
+
+    def parse(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = []
+            for doc_id, data, valid in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "content", "valid"))):
+                try:
+                    rows.append((doc_id, [str(p) for p in parser(data)], None) if valid else (doc_id, [], "empty, too large or no PDF"))
+                except Exception as e:  # whatever the library raises is this document's own
+                    rows.append((doc_id, [], f"{type(e).__name__}: {e}"))
+            kinds = (pa.string(), pa.list_(pa.string()), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "pages", "error"]) if rows else pa.RecordBatch.from_arrays([pa.array([], k) for k in kinds], ["doc_id", "pages", "error"])
+
+    found = pdf_files(spark, root, content=True).select("doc_id", F.when(F.col("valid"), F.col("content")).alias("content"), "valid")
+    return found.mapInArrow(parse, "doc_id string, pages array<string>, error string")
+
+
+def documents(spark: SparkSession, root: str, parser: Parser | None = None) -> DataFrame:
+    """(doc_id, pages, error) of all sources that can be read: a PDF, where there is a `parser`, before a text of the same id."""
+    text = text_documents(spark, root).withColumn("error", F.lit(None).cast("string"))
+    if parser is None:
+        return text
+    pdfs = pdf_files(spark, root).select("doc_id").distinct()
+    return pdf_documents(spark, root, parser).unionByName(text.join(pdfs, "doc_id", "left_anti"))
+
+
+def document(spark: SparkSession, root: str, doc_id: str, parser: Parser | None = None) -> DataFrame:
+    """One document; without a source it is an error, not an empty document."""
+    found = documents(spark, root, parser).where(F.col("doc_id") == doc_id)
+    if not found.limit(1).count():
+        raise CorpusError(f"{doc_id}: there is no text, and no PDF that can be read here")
+    return found
 
 
 def resolve(records: DataFrame, text: DataFrame, pdfs: DataFrame) -> DataFrame:
@@ -72,8 +129,16 @@ def resolve(records: DataFrame, text: DataFrame, pdfs: DataFrame) -> DataFrame:
 
 
 def unlabelled(records: DataFrame, text: DataFrame, pdfs: DataFrame) -> DataFrame:
-    """Sources without a label."""
-    return text.select("doc_id").union(pdfs.select("doc_id")).distinct().join(records, "doc_id", "left_anti")
+    """Sources without a label, by id."""
+    return text.select("doc_id").union(pdfs.select("doc_id")).distinct().join(records, "doc_id", "left_anti").orderBy("doc_id")
+
+
+def listing(resolved: DataFrame) -> DataFrame:
+    """A row for each label of `resolve`, by id: its source, pages and numbers of fields."""
+    size = lambda keep: F.size(F.filter("fields", keep))
+    return resolved.select(
+        "doc_id", "kind", F.coalesce("pages", F.lit(0)).alias("pages"), F.size("fields").alias("n_fields"), size(lambda f: f["value"].isNotNull()).alias("n_stated"),
+        size(lambda f: F.coalesce(f["ambiguous"], F.lit(False))).alias("n_ambiguous"), F.coalesce("scanned", F.lit(False)).alias("scanned")).orderBy("doc_id")
 
 
 def inventory(records: DataFrame) -> DataFrame:
@@ -89,7 +154,7 @@ def recorded_claims(spark: SparkSession, root: str) -> DataFrame:
     found = _json(spark, f"{root}/*.json", schemas.CLAIMS)
     if found is None:
         return spark.createDataFrame([], schemas.CLAIM_ROWS)
-    return found.select(_stem().alias("doc_id"), F.posexplode("fields").alias("pos", "f")).select("doc_id", "pos", "f.*")
+    return found.select(_stem().alias("doc_id"), "latency_s", F.posexplode("fields").alias("pos", "f")).select("doc_id", "pos", "f.*", "latency_s")
 
 
 def save_table(frame: DataFrame, path: str) -> None:

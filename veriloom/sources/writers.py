@@ -38,6 +38,15 @@ def _json(value) -> bytes:
     return (json.dumps(value, indent=2, ensure_ascii=False) + "\n").encode()
 
 
+def save_text(root: str, name: str, text: str) -> None:
+    """A file of the corpus's own, such as a README."""
+    write_atomically(*_place(root, "", name), text.encode())
+
+
+def save_page_text(root: str, doc_id: str, pages: list[str]) -> None:
+    write_atomically(*_place(root, "text", f"{doc_id}.json"), _json({"doc_id": doc_id, "pages": list(pages)}))
+
+
 def save_golden(root: str, record: dict) -> None:
     """A label: doc_id, and fields with known names, once each."""
     names = [f["name"] for f in record["fields"]]
@@ -71,7 +80,7 @@ def save_corpus(documents: DataFrame, root: str) -> int:
     def write(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for doc_id, pages, fields in zip(batch["doc_id"], batch["pages"], batch["fields"]):
-                write_atomically(*_place(root, "text", f"{doc_id}.json"), _json({"doc_id": doc_id, "pages": list(pages)}))
+                save_page_text(root, doc_id, pages)
                 own = [{k: None if v is None or v != v else v for k, v in dict(f).items()} for f in fields]
                 save_golden(root, {"doc_id": doc_id, "source": "import", "pages": len(pages), "scanned": True, "fields": [f | {"page": None if f["page"] is None else int(f["page"]), "ambiguous": bool(f["ambiguous"])} for f in own]})
             yield pd.DataFrame({"n": [len(batch)]})

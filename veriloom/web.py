@@ -1,6 +1,6 @@
 """A thin HTTP face of the engine on the driver: looks at a corpus and its runs, starts runs, takes uploads and labels.
 
-GET `/`, `/api/config`, `/api/corpus`, `/api/runs`, `/api/runs/<id>`, `/api/inspect/<id>`, `/api/golden/<id>`;
+GET `/`, `/api/config`, `/api/corpus`, `/api/runs`, `/api/runs/<id>`, `/api/runs/<id>/<document>`, `/api/inspect/<id>`, `/api/golden/<id>`;
 POST `/api/run`, `/api/upload?filename=`; PUT `/api/golden/<id>`. What writes holds a lock; ids never become paths.
 """
 
@@ -16,11 +16,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriloom import schemas
-from veriloom.operators.extract import EXTRACTORS
+from veriloom.operators.extract import EXTRACTORS, build
 from veriloom.plans.run import artifact, inspect, run_corpus
 from veriloom.sources import corpus, runs, writers
 
-_PAGE = "<!doctype html><title>veriloom</title><h1>veriloom</h1><p>See <a href=/api/config>config</a>, <a href=/api/corpus>corpus</a>, <a href=/api/runs>runs</a>.</p>"
+#: A page that shows the corpus and the runs, starts a run, and opens one.
+_PAGE = """<!doctype html><meta charset=utf-8><title>veriloom</title>
+<style>body{font:15px sans-serif;margin:2em;max-width:60em}pre{background:#f4f4f4;padding:1em;overflow:auto}td,th{padding:.2em .8em;text-align:left}</style>
+<h1>veriloom</h1><p id=corpus></p><p><select id=extractor></select> <button id=go>Run</button> <span id=state></span></p>
+<table><thead><tr><th>run<th>extractor<th>made</thead><tbody id=runs></tbody></table><pre id=shown hidden></pre>
+<script>
+const get = async (path, options) => { const r = await fetch('/api/' + path, options), v = await r.json(); if (!r.ok) throw Error(v.error); return v };
+const el = id => document.getElementById(id), say = text => { el('state').textContent = text };
+async function list() {
+  el('runs').replaceChildren(...(await get('runs')).map(r => {
+    const row = document.createElement('tr');
+    for (const x of [r.run_id, r.extractor, r.created_at]) row.insertCell().textContent = x ?? r.error ?? '';
+    row.onclick = async () => { el('shown').hidden = false; el('shown').textContent = JSON.stringify(await get('runs/' + encodeURIComponent(r.run_id)), null, 1) };
+    return row }));
+}
+el('go').onclick = async () => { say('running'); try { await get('run', {method: 'POST', body: JSON.stringify({extractor: el('extractor').value})}); say(''); await list() } catch (e) { say(e.message) } };
+(async () => {
+  const config = await get('config'), corpus = await get('corpus');
+  for (const x of config.extractors) el('extractor').append(new Option(x, x, x == config.extractor, x == config.extractor));
+  el('corpus').textContent = `${config.corpus}: ${corpus.n_documents} labels, ${corpus.n_fields} fields, ${corpus.unlabelled} sources without a label`;
+  await list();
+})();
+</script>"""
+#: Documents of a run that one answer holds; the others are asked for by id.
+MOST_DOCUMENTS = 1000
 
 
 class Missing(LookupError):
@@ -50,7 +74,7 @@ class App:
 
     def list_runs(self) -> list[dict]:
         try:
-            return _rows(runs.list_runs(self.spark, f"{self.runs_root}/*/*.txt"))
+            return _rows(runs.list_runs(self.spark, f"{self.runs_root}/*/run/*.txt"))
         except AnalysisException as e:
             if "PATH_NOT_FOUND" in str(e):
                 return []
@@ -58,28 +82,30 @@ class App:
 
     def run(self, run_id: str) -> dict:
         try:
-            found = self.spark.read.text(f"{self.runs_root}/{run_id}", wholetext=True, pathGlobFilter="*.txt").first()
+            return runs.as_dict(self.spark, f"{self.runs_root}/{run_id}", MOST_DOCUMENTS)
         except AnalysisException as e:
             raise Missing(run_id) from e
+
+    def run_document(self, run_id: str, doc_id: str) -> dict:
+        found = runs.load_documents(self.spark, f"{self.runs_root}/{run_id}").where(F.col("doc_id") == doc_id).select(F.to_json("document")).first()
         if found is None:
-            raise Missing(run_id)
+            raise Missing(f"{run_id}, {doc_id}")
         return json.loads(found[0])
 
     def execute(self, extractor: str | None = None, alpha: float | None = None) -> dict:
-        name, alpha = extractor or self.extractor, self.alpha if alpha is None else float(alpha)
-        if name not in EXTRACTORS:
-            raise corpus.CorpusError(f"no extractor {name}")
+        made, alpha = build(extractor or self.extractor), self.alpha if alpha is None else float(alpha)
         with self.lock:
-            run = run_corpus(self.spark, self.root, EXTRACTORS[name](), True, alpha)
-            runs.save_run(artifact(run, self.spark, self.root, name, True, alpha), f"{self.runs_root}/{run.run_id}")
+            run = run_corpus(self.spark, self.root, made, True, alpha, parser=corpus.installed_parser())
+            runs.save_run(artifact(run, self.spark), f"{self.runs_root}/{run.run_id}", run.documents)
         return self.run(run.run_id)
 
     def inspect(self, doc_id: str) -> dict:
-        documents = corpus.text_documents(self.spark, self.root).where(F.col("doc_id") == doc_id)
-        if not documents.limit(1).count():
-            raise Missing(doc_id)
+        try:
+            documents = corpus.document(self.spark, self.root, doc_id, corpus.installed_parser())
+        except corpus.CorpusError as e:
+            raise Missing(doc_id) from e
         golden = corpus.golden_fields(corpus.golden_records(self.spark, self.root).where(F.col("doc_id") == doc_id))
-        rows = inspect(documents, EXTRACTORS[self.extractor](), schemas.line_items(self.spark), golden)
+        rows = inspect(documents, build(self.extractor), schemas.line_items(self.spark), golden)
         return {"doc_id": doc_id, "fields": _rows(rows.orderBy("ordinal"))}
 
     def golden(self, doc_id: str) -> dict:
@@ -137,6 +163,8 @@ def handler(app: App) -> type[BaseHTTPRequestHandler]:
                 call = (self.command, first)
                 if not rest and call in plain:
                     value = plain[call]()
+                elif call == ("GET", "runs") and "/" in rest:
+                    value = app.run_document(*map(document_id, rest.split("/", 1)))
                 elif rest and call in one:
                     value = one[call](document_id(rest))
                 elif not rest and call == ("POST", "run"):
