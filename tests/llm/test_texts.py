@@ -347,7 +347,7 @@ def brute_neighbours(texts, examples, weight, names, k=15):
     return out
 
 
-@pytest.mark.parametrize("block", [4, 32, 256])
+@pytest.mark.parametrize("block", [4, 32, 512])
 def test_neighbours_are_exact_over_all_terms(monkeypatch, block):
     monkeypatch.setattr(toxicity, "BLOCK", block)
     rng = random.Random(block)

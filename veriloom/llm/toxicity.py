@@ -10,8 +10,8 @@ sample beyond what the best of as many useless terms would reach by chance. For
 factor (plain TF-IDF) neighbours are near for their filler, and half of the toxic documents are missed.
 
 Examples lie in blocks, in the order of their heaviest terms; per term and block the index keeps the largest weight. A
-document's terms give every block a bound on its cosines; blocks are scored in descending order of it, until no bound can
-better the k-th cosine. The k nearest vote with their cosine as weight, and an isotonic curve, fitted on the votes on each
+document's terms give every block a bound on its cosines: the largest common part of any example in it and the largest weights
+of the other terms. The most promising block is scored first, then those whose bound can better the k-th cosine. The k nearest vote with their cosine as weight, and an isotonic curve, fitted on the votes on each
 example without itself, turns the vote into a calibrated score. An example that has the very text of a document never votes on
 it, so that a score is a function of the text and never of the row's own label; ties go by the digest of the text, not by id.
 """
@@ -33,9 +33,11 @@ from veriloom.llm.common import discard, place_of, positional, resident, slices,
 
 #: Bound of the fit: distinct texts of each label in the sample.
 MOST_EXAMPLES = 1500
-NEIGHBOURS, BLOCK = 15, 512
+NEIGHBOURS, BLOCK = 15, 256
 #: Terms in so large a share of the examples have their weights in a matrix, the others in lists.
 _COMMON = 1 / 16
+#: Texts that are searched for at once, and postings that are added up at once.
+_MOST_TEXTS, _MOST_POSTINGS = 256, 1_000_000
 #: Cosines count to so many parts of 1, so that sums in another order are the same.
 _PARTS = 10**9
 
@@ -185,10 +187,9 @@ class Index:
         n, row, at, values = self.cells
         self.matrix = np.zeros((n, self.blocks * BLOCK))
         self.matrix[row, at] = values
-        self.matrix_max = self.matrix.reshape(n, self.blocks, BLOCK).max(2) if self.blocks else self.matrix
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("matrix", "matrix_max")}
+        return {k: v for k, v in self.__dict__.items() if k != "matrix"}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -199,46 +200,59 @@ class Index:
         content, ties to the smaller digest. Places that no example takes have a cosine of 0."""
         import numpy as np
 
-        best = np.full((n, k), -1, np.int64)
+        if not n or not self.blocks:
+            return np.zeros((n, k)), np.full((n, k), -1)
         weights = (1 + np.log(count)) * self.weight[term]
         weights = weights / np.sqrt(np.bincount(text, weights * weights, n))[text]
-        row = self.common[term]
+        row, rare = self.common[term], self.common[term] < 0
         own = np.fromiter((self.place[i] if (i := self.of_content.get(c)) is not None else -1 for c in contents), np.int64, n)
+        apart = np.flatnonzero(own >= 0)
         dense = np.zeros((n, len(self.matrix)))
-        dense[text[row >= 0], row[row >= 0]] = weights[row >= 0]
-        rare = row < 0
+        dense[text[~rare], row[~rare]] = weights[~rare]
+        scores = dense @ self.matrix  # the common terms' part of every cosine
+        scores[apart, own[apart]] = -1
+
         starts, sizes = self.runs_of[term[rare]], self.runs_of[term[rare] + 1] - self.runs_of[term[rare]]
-        run, asker, weight = _spread(starts, sizes), np.repeat(text[rare], sizes), np.repeat(weights[rare], sizes)
-        # the runs of each block and text lie together
-        cell = self.run_block[run].astype(np.int64) * n + asker
-        order = np.argsort(cell, kind="stable")
-        run, asker, weight = run[order], asker[order], weight[order]
-        ends = np.concatenate(([0], np.cumsum(np.bincount(cell, minlength=self.blocks * n))))
-        bounds = np.bincount(asker * self.blocks + self.run_block[run], weight * self.run_max[run], n * self.blocks).reshape(n, self.blocks)
-        bounds = bounds + dense @ self.matrix_max + 1e-8
-        ranked, everyone = np.argsort(-bounds, axis=1, kind="stable"), np.arange(n)
-        for turn in range(self.blocks):
-            # each text's next block, unless its k-th cosine is beyond the bound
-            block = ranked[:, turn]
-            open_ = (bounds[everyone, block] > 2e-8) & (bounds[everyone, block] * _PARTS >= best.min(1) // self.radix)
-            if not open_.any():
-                break
-            for b in np.unique(block[open_]).tolist():
-                who = np.flatnonzero(open_ & (block == b))
-                scores = dense[who] @ self.matrix[:, b * BLOCK : (b + 1) * BLOCK]
-                start, size = ends[b * n + who], ends[b * n + who + 1] - ends[b * n + who]
-                mine, places = np.repeat(np.arange(len(who)) * BLOCK, size), _spread(start, size)
-                runs, heavy = run[places], weight[places]
-                length = self.run_size[runs]
-                postings = _spread(self.run_start[runs], length)
-                scores += np.bincount(np.repeat(mine, length) + self.at[postings], np.repeat(heavy, length) * self.values[postings], len(who) * BLOCK).reshape(-1, BLOCK)
-                parts = np.rint(scores * _PARTS).astype(np.int64)
-                keys = np.where(parts > 0, parts * self.radix + (self.radix - 1 - self.example_at[b * BLOCK : (b + 1) * BLOCK]), -1)
-                same = own[who] - b * BLOCK
-                within = (same >= 0) & (same < BLOCK)
-                keys[np.flatnonzero(within), same[within]] = -1
-                best[who] = np.partition(np.concatenate((best[who], keys), axis=1), -k, axis=1)[:, -k:]
-        best = -np.sort(-best, axis=1)
+        run, cell, weight = _spread(starts, sizes), np.repeat(text[rare] * self.blocks, sizes), np.repeat(weights[rare], sizes)
+        cell += self.run_block[run]
+        # the most that the other terms can add in a block, and what any example of it has of the common ones
+        bounds = np.bincount(cell, weight * self.run_max[run], n * self.blocks).reshape(n, self.blocks)
+        bounds = bounds + scores.reshape(n, self.blocks, BLOCK).max(2) + 1e-8
+        order = np.argsort(cell, kind="stable")  # the runs of each text and block lie together
+        run, weight = run[order], weight[order]
+        ends = np.concatenate(([0], np.cumsum(np.bincount(cell, minlength=n * self.blocks))))
+        heavy = np.concatenate(([0], np.cumsum(self.run_size[run])))[ends]  # postings up to each cell
+        keys = np.full((n, self.blocks, BLOCK), -1, np.int64)
+
+        def score(cells) -> None:
+            """Whole cosines of these cells, as keys in which the smaller example goes first."""
+            start, size = ends[cells], ends[cells + 1] - ends[cells]
+            places, offset = _spread(start, size), np.repeat(np.arange(len(cells)) * BLOCK, size)
+            length = self.run_size[run[places]]
+            of = np.repeat(np.arange(len(places)), length)
+            postings = (self.run_start[run[places]] - (np.cumsum(length) - length))[of] + np.arange(len(of))
+            added = np.bincount(offset[of] + self.at[postings], weight[places][of] * self.values[postings], len(cells) * BLOCK)
+            whole = scores.reshape(-1, BLOCK)[cells] + added.reshape(-1, BLOCK)
+            parts = np.rint(whole * _PARTS).astype(np.int64)
+            ranked = parts * self.radix + (self.radix - 1 - self.example_at.reshape(-1, BLOCK)[cells % self.blocks])
+            keys.reshape(-1, BLOCK)[cells] = np.where(parts > 0, ranked, -1)
+
+        def kth(values):
+            return np.partition(values, max(values.shape[1] - k, 0), axis=1)[:, max(values.shape[1] - k, 0)]
+
+        # no cosine is less than its common part: blocks that can't reach the k-th of those, or of the best block, are passed over
+        least, first = kth(scores), bounds.argmax(1) + np.arange(n) * self.blocks
+        score(first)
+        if self.blocks > 1:
+            least = np.maximum(least, kth(keys.reshape(n, -1)) // self.radix / _PARTS)
+            open_ = bounds >= np.maximum(least, 2e-8)[:, None]
+            open_.reshape(-1)[first] = False
+            cells = np.flatnonzero(open_)
+            for at in np.split(cells, np.flatnonzero(np.diff(np.cumsum(heavy[cells + 1] - heavy[cells]) // _MOST_POSTINGS)) + 1):
+                score(at)
+        flat = keys.reshape(n, -1)
+        best = -np.sort(-np.partition(flat, max(flat.shape[1] - k, 0), axis=1)[:, -k:], axis=1)
+        best = np.pad(best, ((0, 0), (0, k - best.shape[1])), constant_values=-1)
         return np.where(best >= 0, best // self.radix / _PARTS, 0.0), np.where(best >= 0, self.radix - 1 - best % self.radix, -1)
 
     def votes(self, cosines, examples):
@@ -324,7 +338,7 @@ def _document_counts(shared, key: str):
 
         numbers = resident(("toxicity", key), lambda: TermNumbers(shared.value))
         counts, n = np.zeros(len(numbers.names), np.int64), 0
-        for batch in slices(batches):
+        for batch in slices(batches, 4096):
             counts += np.bincount(numbers(batch.column("text"))[1], minlength=len(counts))
             n += batch.num_rows
         met = np.flatnonzero(counts)
@@ -399,9 +413,16 @@ SCORES = "held_out boolean, score double, predicted int, evidence array<bigint>,
 
 def _scored(shared, key: str, curve: Curve, texts):
     """(scores, examples, (text, term)) of an Arrow array of texts."""
+    import numpy as np
+
     index, numbers = resident(("toxicity", key), lambda: (shared.value, TermNumbers(shared.value.names)))
     text, term, count = numbers(texts)
-    cosines, examples = index.nearest(len(texts), text, term, count, [content_digest(t) for t in texts.to_pylist()])
+    contents, found = [content_digest(t) for t in texts.to_pylist()], []
+    for at in range(0, len(contents), _MOST_TEXTS):
+        own = slice(*np.searchsorted(text, (at, at + _MOST_TEXTS)))
+        some = contents[at : at + _MOST_TEXTS]
+        found.append(index.nearest(len(some), text[own] - at, term[own], count[own], some))
+    cosines, examples = (np.concatenate(x) for x in zip(*found))
     return curve.scores(index.votes(cosines, examples)), examples, (text, term)
 
 
@@ -411,7 +432,7 @@ def _score(shared, key: str, curve: Curve):
         import pyarrow as pa
 
         index = shared.value
-        for batch in slices(batches):
+        for batch in slices(batches, 2048):
             scores, examples, (text, term) = _scored(shared, key, curve, batch.column("text"))
             n, told = batch.num_rows, index.telling[term]
             evidence = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum((examples >= 0).sum(1)))).astype(np.int32), pa.array(index.ids[examples[examples >= 0]], pa.int64()))
@@ -450,7 +471,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_c
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
-        for batch in slices(batches, text=text):
+        for batch in slices(batches, 2048, text=text):
             scores, _, _ = _scored(shared, key, curve, batch.column(text))
             yield batch.filter(pa.array(scores < 0.5))
 
