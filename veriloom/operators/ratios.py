@@ -13,6 +13,27 @@ from veriloom.functions.columns import numbers_match
 from veriloom.schemas import ITEMS, RATIO_OUTCOMES, RATIOS
 
 
+# What a ratio says of itself; `{}` is an item, a number or another reason.
+REASONS = {
+    "rejected": "{} failed evidence verification (grounded=False) and is unusable",
+    "missing": "{} is missing or abstained",
+    "no add-backs": "EBITDA_ADDBACKS not disclosed; treated as 0",
+    "no cash": "CASH not disclosed; treated as 0",
+    "no ebitda": "adjusted EBITDA unavailable: {}",
+    "ebitda not positive": "adjusted EBITDA is non-positive ({}); leverage is not meaningful",
+    "proxy": "CFADS not disclosed; adjusted EBITDA used as proxy",
+    "no proxy": "CFADS not disclosed and adjusted EBITDA proxy unavailable: {}",
+    "no service": "debt service not disclosed ({} missing); assuming zero would overstate DSCR",
+    "negative service": "{} is negative; debt service is stored as a positive magnitude, so this input cannot be netted into a ratio",
+    "service not positive": "debt service is non-positive ({}); DSCR is undefined",
+}
+
+
+def _says(reason: str, about: Column | str = "") -> Column:
+    before, _, after = REASONS[reason].partition("{}")
+    return F.concat(F.lit(before), F.lit(about) if isinstance(about, str) else about, F.lit(after))
+
+
 def wide(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, name, value, grounded) rows as inputs; a claim that failed verification is rejected before its value counts."""
     rejected = F.coalesce("grounded", F.lit(True)) == F.lit(False)
@@ -44,11 +65,11 @@ def _answer(value: Column, reason: Column | str, inputs: Column) -> Column:
 
 
 def _rejected(item: str) -> Column:
-    return _refuse(f"{item.upper()} failed evidence verification (grounded=False) and is unusable")
+    return _refuse(_says("rejected", item.upper()))
 
 
 def _missing(item: str) -> Column:
-    return _refuse(f"{item.upper()} is missing or abstained")
+    return _refuse(_says("missing", item.upper()))
 
 
 def general(x: Column) -> Column:
@@ -73,7 +94,7 @@ def with_ratios(inputs: DataFrame) -> DataFrame:
         .when(_is("ebitda_reported", "missing"), _missing("ebitda_reported"))
         .when(_is("ebitda_addbacks", "rejected"), _rejected("ebitda_addbacks"))
         .when(_is("ebitda_addbacks", "ok"), _answer(F.col("ebitda_reported") + F.col("ebitda_addbacks"), "", names("ebitda_reported", "ebitda_addbacks")))
-        .otherwise(_answer(F.col("ebitda_reported"), "EBITDA_ADDBACKS not disclosed; treated as 0", names("ebitda_reported")))
+        .otherwise(_answer(F.col("ebitda_reported"), _says("no add-backs"), names("ebitda_reported")))
     )
     made = inputs.withColumns({"ltm_revenue": revenue, "adjusted_ebitda": ebitda})
     adjusted = F.col("adjusted_ebitda")
@@ -85,10 +106,10 @@ def with_ratios(inputs: DataFrame) -> DataFrame:
         F.when(_is("total_debt", "rejected"), _rejected("total_debt"))
         .when(_is("total_debt", "missing"), _missing("total_debt"))
         .when(_is("cash", "rejected"), _rejected("cash"))
-        .when(adjusted["abstained"], _refuse(F.concat(F.lit("adjusted EBITDA unavailable: "), adjusted["reason"])))
-        .when(adjusted["value"] <= 0, _refuse(F.concat(F.lit("adjusted EBITDA is non-positive ("), general(adjusted["value"]), F.lit("); leverage is not meaningful"))))
+        .when(adjusted["abstained"], _refuse(_says("no ebitda", adjusted["reason"])))
+        .when(adjusted["value"] <= 0, _refuse(_says("ebitda not positive", general(adjusted["value"]))))
         .otherwise(_answer(
-            F.try_divide(net, adjusted["value"]), F.concat_ws("; ", F.when(~has_cash, "CASH not disclosed; treated as 0"), note),
+            F.try_divide(net, adjusted["value"]), F.concat_ws("; ", F.when(~has_cash, _says("no cash")), note),
             F.concat(names("total_debt"), F.when(has_cash, names("cash")).otherwise(names()), adjusted["inputs"])))
     )
 
@@ -99,15 +120,15 @@ def with_ratios(inputs: DataFrame) -> DataFrame:
     service = F.col(legs[0]) + F.col(legs[1])
     dscr = (
         F.when(_is("cfads", "rejected"), _rejected("cfads"))
-        .when(proxied & adjusted["abstained"], _refuse(F.concat(F.lit("CFADS not disclosed and adjusted EBITDA proxy unavailable: "), adjusted["reason"])))
+        .when(proxied & adjusted["abstained"], _refuse(_says("no proxy", adjusted["reason"])))
         .when(_is(legs[0], "rejected"), _rejected(legs[0]))
         .when(_is(legs[1], "rejected"), _rejected(legs[1]))
-        .when(absent != "", _refuse(F.concat(F.lit("debt service not disclosed ("), absent, F.lit(" missing); assuming zero would overstate DSCR"))))
-        .when(negative != "", _refuse(F.concat(negative, F.lit(" is negative; debt service is stored as a positive magnitude, so this input cannot be netted into a ratio"))))
-        .when(service <= 0, _refuse(F.concat(F.lit("debt service is non-positive ("), general(service), F.lit("); DSCR is undefined"))))
+        .when(absent != "", _refuse(_says("no service", absent)))
+        .when(negative != "", _refuse(_says("negative service", negative)))
+        .when(service <= 0, _refuse(_says("service not positive", general(service))))
         .otherwise(_answer(
             F.try_divide(F.when(proxied, adjusted["value"]).otherwise(F.col("cfads")), service),
-            F.concat_ws("; ", F.when(proxied, "CFADS not disclosed; adjusted EBITDA used as proxy"), F.when(proxied, note)),
+            F.concat_ws("; ", F.when(proxied, _says("proxy")), F.when(proxied, note)),
             F.concat(F.when(proxied, adjusted["inputs"]).otherwise(names("cfads")), names(*legs))))
     )
     return made.withColumns({"leverage": leverage, "dscr": dscr})
