@@ -2,23 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
 import sys
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
-from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
+from veriloom.sources.scratch import discard, scratch, shared_folder, through_table
+
+__all__ = ["ASCII_SPACE", "LOWER", "UPPER", "Kept", "discard", "open_folder", "place_of", "positional", "publish", "resident", "scratch", "shared_folder", "slices", "table", "through_table"]
+
 #: The characters `[\x20\x09-\x0D]`; str/bytes methods of Python take the same ones from ASCII text.
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_own_shared: list[str] = []
-#: Scratch paths of this driver that nothing has deleted yet.
-_scratch: set[str] = set()
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -34,67 +31,6 @@ def place_of(df: DataFrame, column: str) -> str:
     return f"c{[c.lower() for c in df.columns].index(column.lower())}"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir.
-
-    Only a session on this machine alone may name none, as in tests; it gets a temporary folder. Anywhere else that is an
-    error: executors could not see such a folder.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    master = spark.conf.get("spark.master", "")
-    if master != "local" and not master.startswith("local["):
-        raise ValueError(f"spark.checkpoint.dir names no shared folder for the executors of {master}")
-    if not _own_shared:
-        _own_shared.append("file://" + tempfile.mkdtemp(prefix="veriloom-"))
-    return _own_shared[0]
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder; `discard` deletes it, or the end of this driver."""
-    path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
-    _scratch.add(path)
-    return path
-
-
-def _delete(path: str) -> None:
-    context = SparkContext._active_spark_context
-    jvm = SparkContext._jvm
-    if jvm is None:
-        return
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    conf = context._jsc.hadoopConfiguration() if context is not None else jvm.org.apache.hadoop.conf.Configuration()
-    place.getFileSystem(conf).delete(place, True)
-
-
-def discard(*tables: DataFrame | str) -> None:
-    """Delete tables of `through_table`, or scratch paths, that nothing will read any more."""
-    for x in tables:
-        path = x if isinstance(x, str) else getattr(x, "scratch_path", None)
-        if path in _scratch:
-            _scratch.discard(path)
-            _delete(path)
-
-
-@atexit.register
-def _discard_all() -> None:
-    for path in list(_scratch):
-        try:
-            discard(path)
-        except Exception:  # the gateway may be gone by now; what stays is the folder's owner's to sweep
-            return
-
-
-def through_table(df: DataFrame, what: str) -> DataFrame:
-    """`df` written to the shared folder and read back: a cut of the lineage that outlives executors."""
-    path = scratch(df.sparkSession, what)
-    df.write.parquet(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
-    back.scratch_path = path
-    return back
-
-
 def open_folder(uri: str):
     """(filesystem, path) of a folder for pyarrow, from a task or from the driver."""
     from pyarrow import fs
