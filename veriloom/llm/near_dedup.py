@@ -397,8 +397,9 @@ def _grid(rows: DataFrame, by: str, left_where: str, left_blocks: str, right_blo
     return left.groupBy(by, "i", "j").cogroup(right.groupBy(by, "i", "j"))
 
 
-def family_links(edges: DataFrame, labels: DataFrame, prints: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (hub, id) that join the components of near documents which share a key, as far as they are joined at all.
+def family_links(edges: DataFrame, labels: DataFrame, prints: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame | None:
+    """Links (hub, id) that join the components of near documents which share a key, as far as they are joined at all; None
+    where there are none.
 
     Blocks of a key are bounded by rows, those of a family by rows and by bytes of text, so a cell takes as much memory
     whatever the size of its family and the lengths of its texts (one text at least).
@@ -412,6 +413,9 @@ def family_links(edges: DataFrame, labels: DataFrame, prints: DataFrame, texts:
     sized = named.join(sizes, "key").select(
         "key", "id", "label", (F.col("label") != F.col("most.label")).alias("minor"), enough(2 * (F.col("n") - F.col("most.n"))).alias("minor_blocks"), enough(F.col("n")).alias("blocks"))
     rows = through_table(sized.join(prints.select("id", "sig"), "id"), "mixed")
+    if rows.isEmpty():
+        discard(rows)
+        return None
     forest = _grid(rows, "key", "minor", "minor_blocks", "blocks", "id", "label", "sig").applyInArrow(_label_forest, "hub bigint, id bigint")
     tied = components(forest)
     families = tied.select(F.col("id").alias("label"), F.col("label").alias("family"))
@@ -424,6 +428,9 @@ def family_links(edges: DataFrame, labels: DataFrame, prints: DataFrame, texts:
     family = through_table(placed.join(texts.select("id", "packed"), "id"), "families")
     links = through_table(_grid(family, "family", "minor", "minor_blocks", "blocks", "id", "label", "packed").applyInArrow(_family_cell(k, percent), "hub bigint, id bigint"), "family-links")
     discard(rows, tied, family)
+    if links.isEmpty():
+        discard(links)
+        return None
     return links
 
 
@@ -457,17 +464,19 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
 
     pairs = edges.select("hub", "id").distinct().join(reps, "id").join(reps.select(F.col("id").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
     near = through_table(pairs.select("hub", "id", "sig", "hub_sig").mapInArrow(_near, "hub bigint, id bigint, far bigint"), "near")
-    met = edges.select("id").union(edges.select(F.col("hub").alias("id"))).distinct()
-    texts = own.where("id is not null").mapInArrow(_packed, "id bigint, size bigint, packed binary").join(met, "id", "left_semi")
-    texts = through_table(texts, "texts")
+    place = F.xxhash64("id").alias("place")  # as below
+    met = edges.select("id").union(edges.select(F.col("hub").alias("id"))).distinct().select("id", place)
+    packed = own.where("id is not null").mapInArrow(_packed, "id bigint, size bigint, packed binary").select("*", place)
+    texts = through_table(packed.join(met, ["id", "place"], "left_semi").drop("place"), "texts")
 
     links = confirmed(near.select("hub", "id").distinct(), texts, shingle_words, percent).union(_repeated_ids(prints, classes))
     links = through_table(links, "confirmed")
     discard(near)
-    first = components(links)
-    more = family_links(edges, first, reps, texts, shingle_words, percent)
-    labels = components(links.union(more))
-    discard(reps, edges, texts, links, first, more)
+    labels = components(links)
+    if (more := family_links(edges, labels, reps, texts, shingle_words, percent)) is not None:
+        first, labels = labels, components(links.union(more))
+        discard(first, more)
+    discard(reps, edges, texts, links)
 
     of_class = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("class", F.coalesce("label", "rep").alias("component_id"))
     own_class = prints.select(F.col("id").alias("doc_id"), "class", "n_shingles")
