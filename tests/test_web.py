@@ -35,7 +35,9 @@ def test_endpoints(base):
     done = json.loads(ask(base + "/api/run", "POST", b"{}")[1])
     listed = json.loads(ask(base + "/api/runs")[1])
     assert [r["run_id"] for r in listed] == [done["run_id"]] and json.loads(ask(f"{base}/api/runs/{done['run_id']}")[1]) == done
-    assert {r["scope"]: r["accuracy"] for r in done["report"]}["overall"] == 1.0
+    assert done["report"]["overall"]["accuracy"] == 1.0 and [d["doc_id"] for d in done["documents"]] == ["d"]
+    assert json.loads(ask(f"{base}/api/runs/{done['run_id']}/d")[1])["fields"][0]["quote"] == "Cash 5"
+    assert ask(f"{base}/api/runs/{done['run_id']}/x")[0] == 404 and ask(f"{base}/api/runs/{done['run_id']}/..%2Fx")[0] == 400
     assert len(json.loads(ask(base + "/api/inspect/d")[1])["fields"]) == 8
     saved = json.loads(ask(base + "/api/golden/d", "PUT", b'{"fields": [{"name": "cash", "value": null}]}')[1])
     assert saved["fields"][0]["value"] is None
