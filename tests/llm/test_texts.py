@@ -360,7 +360,7 @@ def test_neighbours_are_exact_over_all_terms(monkeypatch, block):
         for name, n in toxicity.terms(t).items():
             owner.append(i), term.append(names.setdefault(name, len(names))), count.append(n)
     weight = np.array([rng.uniform(1, 9) for _ in names])
-    index = toxicity.Index(list(names), weight, [toxicity.content_digest(t) for t in examples], np.arange(len(examples)), np.zeros(len(examples)), 0.1, np.array(owner), np.array(term), np.array(count))
+    index = toxicity.Index(pa.array(list(names)), weight, [toxicity.content_digest(t) for t in examples], np.arange(len(examples)), np.zeros(len(examples)), 0.1, np.array(owner), np.array(term), np.array(count))
     texts = [text(rng.choice([0, 1, 4, 50])) for _ in range(60)] + examples[:20] + ["", "unheard"]
     index = pickle.loads(pickle.dumps(index))  # as workers get it
     cosines, found = index.nearest(len(texts), *toxicity.TermNumbers(list(names))(pa.array(texts)), [toxicity.content_digest(t) for t in texts])

@@ -37,7 +37,7 @@ NEIGHBOURS, BLOCK = 15, 256
 #: Terms in so large a share of the examples have their weights in a matrix, the others in lists.
 _COMMON = 1 / 16
 #: Texts that are searched for at once, and postings that are added up at once.
-_MOST_TEXTS, _MOST_POSTINGS = 256, 1_000_000
+_MOST_TEXTS, _MOST_POSTINGS = 128, 500_000
 #: Cosines count to so many parts of 1, so that sums in another order are the same.
 _PARTS = 10**9
 
@@ -79,10 +79,10 @@ def _spread(starts, sizes):
 class TermNumbers:
     """Counts the terms of a vocabulary in texts, a batch at a time."""
 
-    def __init__(self, names: list[str]):
+    def __init__(self, names):
         import pyarrow as pa
 
-        self.names = pa.array(names, pa.string())
+        self.names = names if isinstance(names, pa.Array) else pa.array(names, pa.string())
 
     def of_words(self, words):
         """(number of terms of each word, the terms' numbers word by word) of an Arrow array of distinct words."""
@@ -131,7 +131,7 @@ class Index:
     `contents`, the digests of their texts.
     """
 
-    names: list[str]
+    names: object  # an Arrow array of strings
     weight: object
     contents: list[str]
     ids: object
@@ -338,7 +338,7 @@ def _document_counts(shared, key: str):
 
         numbers = resident(("toxicity", key), lambda: TermNumbers(shared.value))
         counts, n = np.zeros(len(numbers.names), np.int64), 0
-        for batch in slices(batches, 4096):
+        for batch in slices(batches, 1024, 4_000_000):
             counts += np.bincount(numbers(batch.column("text"))[1], minlength=len(counts))
             n += batch.num_rows
         met = np.flatnonzero(counts)
@@ -389,7 +389,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic"):
     y = rows.column("y").to_numpy().astype(np.int64)
     flat = lambda c: rows.column(c).combine_chunks().flatten()
     coded = flat("names").dictionary_encode()
-    names, term, owner = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)
+    names, term, owner = coded.dictionary, coded.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)
     context = docs.sparkSession.sparkContext
     vocabulary = context.broadcast(names)  # the sample's terms
     counted = docs.select("text").mapInArrow(_document_counts(vocabulary, uuid.uuid4().hex), "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
@@ -432,12 +432,12 @@ def _score(shared, key: str, curve: Curve):
         import pyarrow as pa
 
         index = shared.value
-        for batch in slices(batches, 2048):
+        for batch in slices(batches, 1024, 4_000_000):
             scores, examples, (text, term) = _scored(shared, key, curve, batch.column("text"))
             n, told = batch.num_rows, index.telling[term]
             evidence = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum((examples >= 0).sum(1)))).astype(np.int32), pa.array(index.ids[examples[examples >= 0]], pa.int64()))
             ends = np.cumsum(np.bincount(text[told], minlength=n))
-            told_terms = pa.ListArray.from_arrays(np.concatenate(([0], ends)).astype(np.int32), pa.array([index.names[t] for t in term[told].tolist()], pa.string()))
+            told_terms = pa.ListArray.from_arrays(np.concatenate(([0], ends)).astype(np.int32), index.names.take(pa.array(term[told])))
             out = pa.array([held_out(d) for d in batch.column("doc_id").to_pylist()], pa.bool_())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), out, pa.array(scores), pa.array(scores >= 0.5).cast(pa.int32()), evidence, told_terms], ["doc_id", *(x.split()[0] for x in SCORES.split(", "))])
@@ -471,7 +471,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_c
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
-        for batch in slices(batches, 2048, text=text):
+        for batch in slices(batches, 1024, 4_000_000, text=text):
             scores, _, _ = _scored(shared, key, curve, batch.column(text))
             yield batch.filter(pa.array(scores < 0.5))
 
