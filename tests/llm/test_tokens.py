@@ -22,7 +22,7 @@ def texts():
 
 @pytest.mark.parametrize(("path", "kind"), [(BYTE, "byte"), (WORD, "word")])
 def test_ids_are_the_library_s(texts, path, kind):
-    tokens = WordTokens(path, kind, most=50)
+    tokens = WordTokens(path, kind, most_bytes=5_000)
     want = [np.asarray(x.ids, "<u4").tobytes() for x in tokens.library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
     for step in (7, 1000):
         got = [x for i in range(0, len(texts), step) for x in tokens.encode(pa.array(texts[i : i + step], pa.string()))]

@@ -54,11 +54,28 @@ def resident(name, make=dict):
     """What a worker keeps between tasks under a name. A worker keeps one operator's at a time: the last one's memory goes
     when another operator comes."""
     if name not in _resident:
-        _resident.clear()
+        if _resident:
+            _resident.clear()
+            _give_back()
         _resident[name] = make()
     return _resident[name]
 
 
+def _give_back() -> None:
+    """Return freed memory to the system, where the C library can: workers live on, and the next operator needs the room."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU library
+        pass
+
+
 class Kept(dict):
     """Values by text, kept for a worker's next texts. Bounded by bytes: when full, all go and are gathered anew."""
 
