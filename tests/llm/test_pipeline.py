@@ -7,7 +7,7 @@ from test_near_dedup import brute
 
 import __spark_entry__
 import corpus_pipeline
-from veriloom.llm import secret_scan, toxicity
+from veriloom.llm import near_dedup, secret_scan, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -117,6 +117,46 @@ def test_empty_table(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def python_functions(node):
+    """(most Python functions that a task of this plan runs one after another, those of its own stage)."""
+    if node.nodeName() == "AdaptiveSparkPlan":
+        node = node.initialPlan()
+    children = node.children()
+    below = [python_functions(children.apply(i)) for i in range(children.size())]
+    most, own = max((b[0] for b in below), default=0), max((b[1] for b in below), default=0)
+    own += bool(re.search("InArrow|InPandas|Python", node.nodeName()))
+    return max(most, own), 0 if "Exchange" in node.nodeName() else own
+
+
+def test_no_task_takes_two_python_workers(spark, tmp_path, monkeypatch):
+    """Workers live on: what one stage took more of, the next ones' memory is held by."""
+    rng = random.Random(5)
+    words, rows = [f"w{i}" for i in range(60)], []
+    for i in range(80):  # a chain of near copies, so that components are compared with each other
+        words = words[:]
+        for _ in range(rng.choice([1, 3])):
+            words[rng.randrange(60)] = f"x{rng.randrange(1000)}"
+        rows.append((i, " ".join(words + ["scum"] * (i % 9 == 0))))
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 9 == 0)) for i in range(80)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    plans = []
+
+    def kept(make):
+        def run(df, what):
+            plans.append((what, df._jdf.queryExecution().executedPlan()))
+            return make(df, what)
+
+        return run
+
+    for module in (toxicity, near_dedup, corpus_pipeline):
+        monkeypatch.setattr(module, "through_table", kept(module.through_table))
+    last = corpus_pipeline.run(spark, str(tmp_path))
+    plans.append(("packing", last._jdf.queryExecution().executedPlan()))
+    found = [(what, python_functions(plan)[0]) for what, plan in plans]
+    assert [(w, n) for w, n in found if n > 1] == []
+    assert {"examples", "toxicity", "prints", "edges", "links", "family-links", "secret-scans", "packing"} <= {w for w, n in found if n}
+
+
 def test_every_operator_has_a_query():
     names = set(__spark_entry__.queries())
     assert "pipeline" in names and all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11))

@@ -416,8 +416,10 @@ def family_links(edges: DataFrame, labels: DataFrame, prints: DataFrame, texts:
     if rows.isEmpty():
         discard(rows)
         return None
-    forest = _grid(rows, "key", "minor", "minor_blocks", "blocks", "id", "label", "sig").applyInArrow(_label_forest, "hub bigint, id bigint")
+    # through a table: a task of two Python functions takes two workers, which live on and each hold the next operator's memory
+    forest = through_table(_grid(rows, "key", "minor", "minor_blocks", "blocks", "id", "label", "sig").applyInArrow(_label_forest, "hub bigint, id bigint"), "key-links")
     tied = components(forest)
+    discard(forest)
     families = tied.select(F.col("id").alias("label"), F.col("label").alias("family"))
 
     of = rows.select("id", "label").distinct().join(families, "label").join(texts.select("id", "size"), "id")
