@@ -379,6 +379,37 @@ def test_term_numbers_agree_with_terms():
         assert {vocabulary[k]: c for x, k, c in zip(text.tolist(), term.tolist(), count.tolist()) if x == i} == want
 
 
+def test_words_of_any_script_are_cut_alike():
+    rng = random.Random(7)
+    signs = ["a", "B", "z", "é", "É", "ß", "İ", "ñ", "Ж", "字", "の", "𝒜", "😀", "—", "“", "\xa0", "\u0301", "ª", "²", "٣", "_", "-", "7", " ", "\n", "\0", "\u200b"]
+    texts = ["", None, "é", "—", "a—b", "—a—a—", "", "été—idiot", *("".join(rng.choices(signs, k=rng.choice([0, 1, 5, 40, 300]))) for _ in range(300)), None, ""]
+    vocabulary = sorted(set().union(*map(toxicity.terms, texts)))
+    for array, own in ((pa.array(texts, pa.string()), texts), (pa.array(texts, pa.string())[5:90], texts[5:90]), (pa.array([None, ""], pa.string()), [None, ""])):
+        text, term, count = toxicity.TermNumbers(vocabulary)(array)
+        assert (np.diff(text * len(vocabulary) + term) > 0).all()
+        for i, t in enumerate(own):
+            assert {vocabulary[k]: c for k, c in zip(term[text == i].tolist(), count[text == i].tolist())} == toxicity.terms(t)
+
+
+def test_words_that_share_a_beginning_look_it_up_once(monkeypatch):
+    """Documents hold many words that no other has: their beginnings are looked up once, and each word is found once."""
+    import pyarrow.compute as pc
+
+    looked_up, index_in = [], pc.index_in
+    monkeypatch.setattr(pc, "index_in", lambda values, **of: looked_up.extend(values.to_pylist()) or index_in(values, **of))
+    words = ["common" + a + b for a in "abcdefghij" for b in "abcdefghij"]
+    text, term, count = toxicity.TermNumbers(["~comm", "~commo", "commonaa"])(pa.array([" ".join(words)]))
+    assert (term.tolist(), count.tolist()) == ([0, 1, 2], [100, 100, 1]) and len(looked_up) == len(words) + 3
+
+
+def test_a_blocks_postings_lie_together(monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", 2)
+    monkeypatch.setattr(toxicity, "_COMMON", 2)  # all terms have lists
+    owner, term = np.repeat(np.arange(6), 9), np.tile(np.arange(9), 6)
+    index = toxicity.Index(pa.array([f"t{i}" for i in range(9)]), np.linspace(1, 2, 9), [str(i) for i in range(6)], np.arange(6), np.zeros(6), 0.1, owner, term, np.ones(54, int))
+    assert (np.diff(index.run_block[np.argsort(index.run_start)]) >= 0).all() and index.run_size.sum() == len(index.values) == 54
+
+
 def test_the_curve_rises():
     curve = toxicity.fit_curve(np.array([0.1, 0.1, 0.2, 0.5, 0.6, 0.9]), np.array([0, 0, 1, 0, 1, 1]), 0.5)
     scores = curve.scores(np.array([0.0, 0.1, 0.2, 0.5, 0.6, 1.0, np.nan]))

@@ -73,7 +73,38 @@ def _spread(starts, sizes):
     """All places of the ranges [start, start + size), one range after another."""
     import numpy as np
 
-    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+    starts, sizes = starts[sizes > 0], sizes[sizes > 0]
+    ends = np.cumsum(sizes)
+    places = np.ones(ends[-1] if len(ends) else 0, np.int64)  # each is one more than the last, but where a range begins
+    places[:1] = starts[:1]
+    places[ends[:-1]] = starts[1:] - starts[:-1] - sizes[:-1] + 1
+    return np.cumsum(places, out=places)
+
+
+def _runs(texts):
+    """(number of words of each text, words) of an Arrow array of texts: runs of ASCII letters and bytes of other characters, in
+    lower case. What `words_of` cuts further has such a character."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    lower = pc.utf8_lower(pc.fill_null(texts, "")).cast(pa.large_string())
+    _, places, body = lower.buffers()
+    ends = np.frombuffer(places, np.int64, len(lower) + 1, lower.offset * 8)
+    data = np.frombuffer(body or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    kind = np.zeros(256, bool)
+    kind[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", *range(128, 256)]] = True
+    inside = kind[data]
+    opens, closes = inside.copy(), inside.copy()
+    opens[1:] &= ~inside[:-1]
+    closes[:-1] &= ~inside[1:]
+    begins, stops = ends[:-1][ends[1:] > ends[:-1]], ends[1:][ends[1:] > ends[:-1]] - 1  # no word goes on from text to text
+    opens[begins], closes[stops] = inside[begins], inside[stops]
+    opens = np.flatnonzero(opens)
+    size = np.flatnonzero(closes) + 1 - opens
+    words = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(np.concatenate(([0], np.cumsum(size)))), pa.py_buffer(data[inside]))
+    return np.diff(np.searchsorted(opens, ends)), words.cast(pa.string())
 
 
 class TermNumbers:
@@ -91,35 +122,63 @@ class TermNumbers:
         import pyarrow.compute as pc
 
         length = pc.utf8_length(words).to_numpy(zero_copy_only=False)
-        parts, whose = [words], [np.arange(len(words))]
+        parts, whose, place = [words], [np.arange(len(words))], [np.arange(len(words))]
         for k in (4, 5, 6):
             longer = np.flatnonzero(length > k)
-            parts.append(pc.binary_join_element_wise("~", pc.utf8_slice_codeunits(words.take(pa.array(longer)), 0, k), ""))
+            # many words share a beginning, which is looked up once
+            coded = pc.utf8_slice_codeunits(words.take(pa.array(longer)), 0, k).dictionary_encode()
+            place.append(sum(map(len, parts)) + coded.indices.to_numpy(zero_copy_only=False))
+            parts.append(pc.binary_join_element_wise("~", coded.dictionary, ""))
             whose.append(longer)
         found = pc.fill_null(pc.index_in(pa.concat_arrays(parts), value_set=self.names), -1).to_numpy(zero_copy_only=False)
+        found = found[np.concatenate(place)]
         word = np.concatenate(whose)[found >= 0]
         order = np.argsort(word, kind="stable")
         return np.bincount(word, minlength=len(words)), found[found >= 0][order].astype(np.int64)
 
+    def of_runs(self, runs):
+        """The same of distinct runs of letters and other characters, each with the terms of all its words."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        other = np.flatnonzero(pc.not_equal(pc.binary_length(runs), pc.utf8_length(runs)).to_numpy(zero_copy_only=False))
+        lists = words_of(runs.take(pa.array(other)))
+        pieces = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        whole = np.ones(len(runs), bool)
+        whole[other] = pieces == 1
+        if whole.all():
+            return self.of_words(runs)
+        cut = pa.array(pieces > 1)
+        whose = np.concatenate((np.flatnonzero(whole), np.repeat(other, pieces * (pieces > 1))))
+        sizes, pool = self.of_words(pa.concat_arrays([runs.filter(pa.array(whole)), lists.filter(cut).flatten()]))
+        order = np.argsort(whose, kind="stable")
+        return np.bincount(whose, sizes, len(runs)).astype(np.int64), pool[_spread((np.cumsum(sizes) - sizes)[order], sizes[order])]
+
     def __call__(self, texts):
         """(text, term, count), by text and term, of an Arrow array of texts."""
         import numpy as np
         import pyarrow.compute as pc
 
-        lists = words_of(texts)
-        coded = lists.flatten().dictionary_encode()
-        sizes, pool = self.of_words(coded.dictionary)
+        each, words = _runs(texts)
+        coded = words.dictionary_encode()
+        sizes, pool = self.of_runs(coded.dictionary)
         starts = np.cumsum(sizes) - sizes
-        text = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        text = np.repeat(np.arange(len(texts)), each)
         width, height = max(len(sizes), 1), max(len(self.names), 1)
         pair, times = np.unique(text * width + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
         text, word = pair // width, pair % width
         key = np.repeat(text, sizes[word]) * height + pool[_spread(starts[word], sizes[word])]
         times = np.repeat(times, sizes[word])
-        order = np.argsort(key, kind="stable")
-        key = key[order]
+        bits = int(times.max(initial=0)).bit_length()
+        if (len(texts) * height) << bits < 2**63:  # both in one number, which is sorted sooner than places are
+            packed = np.sort(key << bits | times)
+            key, times = packed >> bits, packed & ((1 << bits) - 1)
+        else:
+            order = np.argsort(key, kind="stable")
+            key, times = key[order], times[order]
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-        counts = np.add.reduceat(times[order], first) if len(first) else first
+        counts = np.add.reduceat(times, first) if len(first) else first
         return key[first] // height, key[first] % height, counts
 
 
@@ -170,14 +229,15 @@ class Index:
         # the lists: runs of one term in one block, where they start, how long they are, their largest weight
         rare = row < 0
         term, at, values = term[rare], at[rare], values[rare]
-        order = np.lexsort((at, term))
+        order = np.lexsort((at, term, at // BLOCK))  # a block's postings lie together, so that a cache holds them
         term, at, values = term[order], at[order], values[order]
         block = at // BLOCK
         first = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])))) if len(term) else np.zeros(0, np.int64)
         self.at, self.values = (at % BLOCK).astype(np.int16), values
-        self.run_start, self.run_size = first, np.diff(np.append(first, len(term)))
-        self.run_block, self.run_max = block[first].astype(np.int16), np.maximum.reduceat(values, first) if len(first) else np.zeros(0)
-        self.runs_of = np.searchsorted(term[first], np.arange(len(self.names) + 1))
+        by_term = np.argsort(term[first], kind="stable")
+        self.run_start, self.run_size = first[by_term], np.diff(np.append(first, len(term)))[by_term]
+        self.run_block, self.run_max = block[first][by_term].astype(np.int16), np.maximum.reduceat(values, first)[by_term] if len(first) else np.zeros(0)
+        self.runs_of = np.searchsorted(term[first][by_term], np.arange(len(self.names) + 1))
         self.owner = self.term = self.count = None
 
     def _fill(self) -> None:
@@ -218,7 +278,7 @@ class Index:
         # the most that the other terms can add in a block, and what any example of it has of the common ones
         bounds = np.bincount(cell, weight * self.run_max[run], n * self.blocks).reshape(n, self.blocks)
         bounds = bounds + scores.reshape(n, self.blocks, BLOCK).max(2) + 1e-8
-        order = np.argsort(cell, kind="stable")  # the runs of each text and block lie together
+        order = np.argsort(cell.astype(np.min_scalar_type(n * self.blocks)), kind="stable")  # the runs of each text and block lie together
         run, weight = run[order], weight[order]
         ends = np.concatenate(([0], np.cumsum(np.bincount(cell, minlength=n * self.blocks))))
         heavy = np.concatenate(([0], np.cumsum(self.run_size[run])))[ends]  # postings up to each cell
@@ -227,11 +287,14 @@ class Index:
         def score(cells) -> None:
             """Whole cosines of these cells, as keys in which the smaller example goes first."""
             start, size = ends[cells], ends[cells + 1] - ends[cells]
-            places, offset = _spread(start, size), np.repeat(np.arange(len(cells)) * BLOCK, size)
+            places = _spread(start, size)
             length = self.run_size[run[places]]
-            of = np.repeat(np.arange(len(places)), length)
-            postings = (self.run_start[run[places]] - (np.cumsum(length) - length))[of] + np.arange(len(of))
-            added = np.bincount(offset[of] + self.at[postings], weight[places][of] * self.values[postings], len(cells) * BLOCK)
+            postings = _spread(self.run_start[run[places]], length)
+            added = np.repeat(weight[places], length)
+            added *= self.values.take(postings)
+            example = np.repeat(np.arange(len(cells)) * BLOCK, heavy[cells + 1] - heavy[cells])
+            example += self.at.take(postings)
+            added = np.bincount(example, added, len(cells) * BLOCK)
             whole = scores.reshape(-1, BLOCK)[cells] + added.reshape(-1, BLOCK)
             parts = np.rint(whole * _PARTS).astype(np.int64)
             ranked = parts * self.radix + (self.radix - 1 - self.example_at.reshape(-1, BLOCK)[cells % self.blocks])
@@ -244,10 +307,11 @@ class Index:
         least, first = kth(scores), bounds.argmax(1) + np.arange(n) * self.blocks
         score(first)
         if self.blocks > 1:
-            least = np.maximum(least, kth(keys.reshape(n, -1)) // self.radix / _PARTS)
+            least = np.maximum(least, kth(keys.reshape(-1, BLOCK)[first] if BLOCK >= k else keys.reshape(n, -1)) // self.radix / _PARTS)
             open_ = bounds >= np.maximum(least, 2e-8)[:, None]
             open_.reshape(-1)[first] = False
             cells = np.flatnonzero(open_)
+            cells = cells[np.argsort(cells % self.blocks, kind="stable")]
             for at in np.split(cells, np.flatnonzero(np.diff(np.cumsum(heavy[cells + 1] - heavy[cells]) // _MOST_POSTINGS)) + 1):
                 score(at)
         flat = keys.reshape(n, -1)
