@@ -478,9 +478,11 @@ SCORES = "held_out boolean, score double, predicted int, evidence array<bigint>,
 def _scored(shared, key: str, curve: Curve, texts):
     """(scores, examples, (text, term)) of an Arrow array of texts."""
     import numpy as np
+    import pyarrow as pa
 
     index, numbers = resident(("toxicity", key), lambda: (shared.value, TermNumbers(shared.value.names)))
     text, term, count = numbers(texts)
+    pa.default_memory_pool().release_unused()  # what the words took, before the search takes its own
     contents, found = [content_digest(t) for t in texts.to_pylist()], []
     for at in range(0, len(contents), _MOST_TEXTS):
         own = slice(*np.searchsorted(text, (at, at + _MOST_TEXTS)))
@@ -496,7 +498,7 @@ def _score(shared, key: str, curve: Curve):
         import pyarrow as pa
 
         index = shared.value
-        for batch in slices(batches, 1024, 4_000_000):
+        for batch in slices(batches, 512, 4_000_000):
             scores, examples, (text, term) = _scored(shared, key, curve, batch.column("text"))
             n, told = batch.num_rows, index.telling[term]
             evidence = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum((examples >= 0).sum(1)))).astype(np.int32), pa.array(index.ids[examples[examples >= 0]], pa.int64()))
@@ -535,7 +537,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_c
     def run(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
-        for batch in slices(batches, 1024, 4_000_000, text=text):
+        for batch in slices(batches, 512, 4_000_000, text=text):
             scores, _, _ = _scored(shared, key, curve, batch.column(text))
             yield batch.filter(pa.array(scores < 0.5))
 
