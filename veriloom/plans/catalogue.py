@@ -711,6 +711,13 @@ def _corpus(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return corpus.golden_records(spark, root), corpus.text_documents(spark, root)
 
 
+def _saved(spark: SparkSession, sf: str) -> str:
+    """The same corpus as tables; its folder."""
+    root = scratch(spark, "corpus")
+    writers.save_tables(_table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), C.lines(F.col("text")).alias("pages")), _records(spark, sf), root)
+    return root
+
+
 @query("SELECT doc_id, CAST(len(string_split(text, chr(10))) AS INTEGER) AS n_pages, md5(text) AS digest FROM documents")
 def page_count(spark, sf):
     """Pages of documents that were written to a corpus folder and read again."""
@@ -720,7 +727,7 @@ def page_count(spark, sf):
 @query("SELECT doc_id, 'cash' AS name, CASE WHEN quality = 1 THEN 5::DOUBLE END AS expected, toxic = 1 AS ambiguous FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)")
 def golden_labels(spark, sf):
     """Labels that were written to a corpus folder and read again."""
-    rows = corpus.golden_fields(_corpus(spark, sf)[0])
+    rows = corpus.golden_fields(corpus.golden_records(spark, _saved(spark, sf)))
     return rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), "name", "expected", "ambiguous")
 
 

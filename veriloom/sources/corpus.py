@@ -1,4 +1,8 @@
-"""Corpora on storage: `golden/*.json` labels, `text/*.json` pages, `pdfs/*.pdf`; all read by Spark's own readers."""
+"""Corpora on storage: `golden/*.json` labels, `text/*.json` pages, `pdfs/*.pdf`; all read by Spark's own readers.
+
+A corpus of many documents has its labels as a table instead, `golden.jsonl`, a record a line: a file a document
+costs an open each, and the driver a list of them all. Where both are there, a document's own file counts.
+"""
 
 from __future__ import annotations
 
@@ -19,22 +23,31 @@ def _stem() -> F.Column:
     return F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
 
 
-def _json(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
-    """Whole-file JSON, failing on malformed files; None where nothing is there."""
+def _json(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame | None:
+    """JSON, whole files or lines, failing on malformed ones; None where nothing is there."""
     try:
-        return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+        return spark.read.schema(schema).option("multiLine", not lines).option("mode", "FAILFAST").json(path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e):
             return None
         raise
 
 
+def _own_first(own: DataFrame | None, table: DataFrame | None, file: str) -> DataFrame | None:
+    """Documents with files of their own, and those of the table that have none; `file` is their file's name, in a table their id."""
+    own, table = own and own.withColumn(file, _stem()), table and table.withColumn(file, F.col("doc_id"))
+    if own is None or table is None:
+        return table if own is None else own
+    return own.unionByName(table.join(own.select(file), file, "left_anti"))
+
+
 def golden_records(spark: SparkSession, root: str) -> DataFrame:
-    """Labels, one row per document, by the name of their file."""
-    found = _json(spark, f"{root}/golden/*.json", schemas.GOLDEN)
+    """Labels, one row per document, by the name of their file, in a table their id."""
+    own, table = _json(spark, f"{root}/golden/*.json", schemas.GOLDEN), _json(spark, f"{root}/golden.jsonl", schemas.GOLDEN, lines=True)
+    found = _own_first(own, table, "file")
     if found is None:
         raise CorpusError(f"{root} has no golden labels")
-    return found.withColumn("file", _stem()).orderBy("file")
+    return found.orderBy("file")
 
 
 def golden_fields(records: DataFrame) -> DataFrame:

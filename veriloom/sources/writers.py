@@ -1,4 +1,4 @@
-"""Writing corpora: one JSON file per label, text or recorded claims, each appearing whole or not at all."""
+"""Writing corpora: one JSON file per label, text or recorded claims, or a table of many; each appears whole or not at all."""
 
 from __future__ import annotations
 
@@ -7,11 +7,12 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from veriloom.functions import kernels
 from veriloom.schemas import CLAIM_KEYS, ITEMS
-from veriloom.sources.corpus import CorpusError
+from veriloom.sources.corpus import CorpusError, save_table
 
 LARGEST_PDF = 64 << 20
 
@@ -87,3 +88,22 @@ def save_corpus(documents: DataFrame, root: str) -> int:
 
     written = documents.select("doc_id", "pages", "fields").mapInPandas(write, "n bigint").agg({"n": "sum"}).first()[0]
     return int(written or 0)
+
+
+def _known(value: Column, good: Column, what: str) -> Column:
+    return F.when(good, value).otherwise(F.raise_error(F.concat(F.lit(f"{what}: "), F.coalesce(value, F.lit("null")))).cast("string"))
+
+
+def save_tables(texts: DataFrame, labels: DataFrame, root: str) -> None:
+    """Write (doc_id, pages) texts and their (doc_id, fields) labels as a corpus of many documents: tables with a line a
+    document. Ids, items and records are those of `save_corpus`, a record for each id; all in the JVM, and of the texts
+    only ids and numbers of pages meet the labels."""
+    doc_id = F.col("doc_id")
+    good = (doc_id != "") & ~doc_id.contains("/") & ~doc_id.contains("\\") & ~doc_id.contains("..")
+    texts = texts.select(_known(doc_id, good, "not a document id").alias("doc_id"), "pages")
+    own = F.transform(F.coalesce("fields", F.array()), lambda f: F.struct(
+        _known(f["name"], f["name"].isin(*ITEMS), "no line item").alias("name"), F.nanvl(f["value"], F.lit(None).cast("double")).alias("value"), f["page"].alias("page"),
+        F.coalesce(f["ambiguous"], F.lit(False)).alias("ambiguous"), f["note"].alias("note")))
+    records = texts.groupBy("doc_id").agg(F.max(F.size("pages")).alias("pages")).join(labels, "doc_id", "left")
+    save_table(texts, f"{root}/text.jsonl")
+    save_table(records.select("doc_id", F.lit("import").alias("source"), "pages", F.lit(True).alias("scanned"), own.alias("fields")), f"{root}/golden.jsonl")
