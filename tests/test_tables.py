@@ -48,3 +48,19 @@ def test_bad_tables(spark, tmp_path):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables are not here")
 def test_labels_are_no_file_a_document(spark):
     assert 0 < files_of(spark, catalogue.golden_labels, "golden") < 40
+
+
+def test_texts_table(spark, tmp_path):
+    root = str(tmp_path)
+    odd = 'é  "\\\r\t\x00 {"pages": []}'
+    save(spark, root, [("a", [odd, ""]), ("b", [""]), ("c", ["x"]), ("e", [])], [])
+    read = lambda: sorted(tuple(r) for r in corpus.text_documents(spark, root).collect())
+    assert read() == [("a", [odd, ""]), ("b", [""]), ("c", ["x"]), ("e", [])]
+    writers.save_page_text(root, "c", ["own"])
+    (tmp_path / "text" / "d.json").write_text('{"pages": ["d"]}')
+    assert read() == [("a", [odd, ""]), ("b", [""]), ("c", ["own"]), ("d", ["d"]), ("e", [])]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables are not here")
+def test_texts_are_no_file_a_document(spark):
+    assert 0 < files_of(spark, catalogue.page_count, "text") < 40

@@ -1,7 +1,7 @@
 """Corpora on storage: `golden/*.json` labels, `text/*.json` pages, `pdfs/*.pdf`; all read by Spark's own readers.
 
-A corpus of many documents has its labels as a table instead, `golden.jsonl`, a record a line: a file a document
-costs an open each, and the driver a list of them all. Where both are there, a document's own file counts.
+A corpus of many documents has its labels and its texts as tables instead, `golden.jsonl` and `text.jsonl`, a line a document:
+a file a document costs an open each, and the driver a list of them all. Where both are there, a document's own file counts.
 """
 
 from __future__ import annotations
@@ -60,11 +60,11 @@ def golden_fields(records: DataFrame) -> DataFrame:
 
 def text_documents(spark: SparkSession, root: str) -> DataFrame:
     """Page texts (doc_id, pages); the id is the file's name where the file does not say it."""
-    found = _json(spark, f"{root}/text/*.json", schemas.TEXT)
+    found = _own_first(_json(spark, f"{root}/text/*.json", schemas.TEXT), _json(spark, f"{root}/text.jsonl", schemas.TEXT, lines=True), "file")
     if found is None:
         return spark.createDataFrame([], schemas.TEXT)
     pages = F.when(F.col("pages").isNull() | F.exists("pages", F.isnull), F.raise_error(F.lit("pages are a list of strings")).cast("array<string>")).otherwise(F.col("pages"))
-    return found.select(F.coalesce("doc_id", _stem()).alias("doc_id"), pages.alias("pages"))
+    return found.select(F.coalesce("doc_id", "file").alias("doc_id"), pages.alias("pages"))
 
 
 def pdf_files(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
